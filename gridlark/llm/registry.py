@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import decontaminate, mixing, sharding
 
 
 def queries() -> dict:
-    return {"op7_mixing": mixing.op7}
+    return {"op3_fm_decontaminate": decontaminate.op3, "op4_label_shards": sharding.op4, "op7_mixing": mixing.op7}
 
 
 def oracle_sql() -> dict[str, str]:
