@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, sharding
+from . import decontaminate, language, mixing, quality, sharding, toxicity
 
 
 def queries() -> dict:
-    return {"op3_fm_decontaminate": decontaminate.op3, "op4_label_shards": sharding.op4, "op7_mixing": mixing.op7}
+    return {"op1_cotrain_quality": quality.op1, "op2_nnpu_toxicity": toxicity.op2, "op3_fm_decontaminate": decontaminate.op3, "op4_label_shards": sharding.op4, "op6_hd_language": language.op6, "op7_mixing": mixing.op7}
 
 
 def oracle_sql() -> dict[str, str]:
