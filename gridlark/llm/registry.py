@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, quality, sharding, toxicity
+from . import decontaminate, language, mixing, quality, sharding, toxicity, vectors
 
 
 def queries() -> dict:
-    return {"op1_cotrain_quality": quality.op1, "op2_nnpu_toxicity": toxicity.op2, "op3_fm_decontaminate": decontaminate.op3, "op4_label_shards": sharding.op4, "op6_hd_language": language.op6, "op7_mixing": mixing.op7}
+    return {"op1_cotrain_quality": quality.op1, "op2_nnpu_toxicity": toxicity.op2, "op3_fm_decontaminate": decontaminate.op3, "op4_label_shards": sharding.op4, "op6_hd_language": language.op6, "op7_mixing": mixing.op7, "op10_collision_vectors": vectors.op10}
 
 
 def oracle_sql() -> dict[str, str]:
