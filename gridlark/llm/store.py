@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..cluster import ship
 
@@ -46,3 +47,9 @@ def removed(spark: SparkSession, path: str) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rows_and_bytes(docs: DataFrame) -> tuple[int, int]:
+    """Rows of a table and the UTF-8 bytes of its texts, measured; plans only guess these after a join."""
+    got = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("b")).first()
+    return got["n"], got["b"] or 0
