@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .store import table
+from .suffixes import suffix_order
 from .text import LOWER, NOT_ALNUM, Words, slices, small_ints
 
 #: Words of a window; an item of fewer is one window.
@@ -65,35 +66,10 @@ class FMIndex:
     def __init__(self, text: np.ndarray, left: np.ndarray, sampled: np.ndarray, top: int):
         """left[i]: symbols from i to the end of its piece, the 0 included; sampled[i]: position i is kept."""
         n = len(text)
-        bits = max(1, int(top).bit_length())
-        per = max(1, 62 // bits)
-        key = np.zeros(n, np.int64)
-        for j in range(per):
-            part = np.zeros(n, np.int64)
-            if j < n:
-                part[: n - j] = text[j:]
-                part[left <= j] = 0
-            key = (key << bits) | part
-        order = np.argsort(key, kind="stable")
-        depth, longest = per, int(left.max(initial=1))
-        while True:
-            ranked = key[order]
-            new = np.empty(n, bool)
-            new[:1] = True
-            new[1:] = ranked[1:] != ranked[:-1]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new)
-            if depth >= longest:
-                break
-            tail = np.zeros(n, np.int64)
-            tail[: n - depth] = rank[depth:]
-            tail[left <= depth] = 0
-            key = rank * (n + 1) + tail
-            order = np.argsort(key, kind="stable")
-            depth *= 2
+        order = suffix_order(text, left, top)
         self.bwt = text[order - 1].astype(np.int64)  # a piece's first row has the 0 before it, or the last 0
         self.below = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(text, minlength=top + 1))])
-        self.tree = WaveletMatrix(self.bwt, bits)
+        self.tree = WaveletMatrix(self.bwt, max(1, int(top).bit_length()))
         keep = sampled[order]
         self.kept_before = np.concatenate([np.zeros(1, np.int64), np.cumsum(keep)])
         self.keep, self.kept = keep, order[keep]

@@ -23,7 +23,7 @@ from .store import rows_and_bytes, saved
 from .text import BYTE_KEYS, SPACE, Hasher, Words, slices
 
 #: Paths that a task holds before it hands them on.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: Bytes of packed paths in a block.
 BLOCK_BYTES = 12 << 20
 #: Paths at one anchor from which on its windows go on by their hashes, not by the anchor.
