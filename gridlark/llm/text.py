@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer document is worked on alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 _RNG = np.random.Generator(np.random.PCG64(20240611))
 BYTE_KEYS = _RNG.integers(1, 2**63, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
