@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 _GOLDEN = 0x9E3779B97F4A7C15
 
@@ -16,20 +17,20 @@ def _mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def mix64(x: pd.Series) -> pd.Series:
     """The splitmix64 finaliser; the bits of an unsigned number as a long."""
     return pd.Series(_mix(x.to_numpy(np.int64).view(np.uint64)).view(np.int64))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def mix64_next(x: pd.Series) -> pd.Series:
     """The same after one step of the generator."""
     with np.errstate(over="ignore"):
         return pd.Series(_mix(x.to_numpy(np.int64).view(np.uint64) + np.uint64(_GOLDEN)).view(np.int64))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def fnv1a64(text: pd.Series) -> pd.Series:
     """FNV-1a of the UTF-8 bytes."""
     out = np.empty(len(text), np.uint64)
