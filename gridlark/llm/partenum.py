@@ -9,19 +9,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graph import components, groups
-from .store import saved, table
+from .graph import components, forest, groups
+from .store import rows_and_bytes, saved, table
 from .text import LOWER, SPACE, Hasher, Words, mixed, slices
 
 SHINGLE = 5
 #: A signature that more sets than this share is hot: its pairs are found by other signatures, or in rounds.
 HOT = 32
 #: Signatures of a task that are held before they are handed on, and bytes of signatures in a block.
-FLUSH, BLOCK_BYTES = 1 << 21, 24 << 20
-#: Rounds in which hot groups are compared with one member each, before what is left is compared in tiles.
-STAR_ROUNDS = 3
+FLUSH, BLOCK_BYTES = 1 << 19, 24 << 20
+#: Rounds in which hot groups are compared with one member each, before the rest is compared by what it shares beside.
+STAR_ROUNDS = 1
+#: Sets of a block when a family of hot groups is compared in full.
+BLOCK = 1024
 _LOW = np.uint64(127)
 
 
@@ -263,6 +266,86 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * same >= 80 * (F.size("x") + F.size("y") - same)).select("a", "b")
 
 
+def _stars(members: DataFrame, edges: DataFrame, comp: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, DataFrame, DataFrame]:
+    """Rounds in which each hot group (sig, node) that holds several components is compared with one member.
+
+    Returns the members of the groups that hold several even then (None: no such), the edges and components.
+    """
+    for turn in range(STAR_ROUNDS + 1):
+        now = members.join(comp, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
+        torn = now.groupBy("sig").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn))).alias("pivot")).where("least <> most")
+        torn = saved(torn)
+        if torn.isEmpty():
+            return None, edges, comp
+        now = now.join(torn, "sig")
+        members = saved(now.select("sig", "node"))
+        if turn == STAR_ROUNDS:
+            return members, edges, comp
+        asked = now.where(F.col("comp") != F.col("pivot.comp"))
+        more = _linked(asked.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")), sets)
+        edges = saved(edges.unionByName(more).distinct())
+        comp = saved(components(edges))
+    return members, edges, comp
+
+
+def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each tile (one or two blocks of sets): each node with the smallest node that it reaches by links inside."""
+    for tile in groups(batches, "tile"):
+        node, block, comp = (tile[c].to_numpy() for c in ("node", "block", "comp"))
+        if len(np.unique(comp)) < 2:
+            continue
+        items = tile["items"].combine_chunks()
+        items = items.chunk(0) if isinstance(items, pa.ChunkedArray) else items
+        size = np.diff(items.offsets.to_numpy())
+        owner = np.repeat(np.arange(len(node)), size)
+        _, code, df = np.unique(items.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        owner, code = owner[df[code] > 1], code[df[code] > 1]
+        _, code = np.unique(code, return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        owner, code = owner[order], code[order]
+        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        shared = np.zeros((len(left), len(right)), np.float32)
+        at = np.full(len(node), -1)
+        at[left] = np.arange(len(left))
+        at_right = np.full(len(node), -1)
+        at_right[right] = np.arange(len(right))
+        for lo in range(0, int(code[-1]) + 1 if len(code) else 0, 2048):
+            a, b = np.searchsorted(code, [lo, lo + 2048])
+            x, y = np.zeros((len(left), 2048), np.float32), np.zeros((len(right), 2048), np.float32)
+            o, c = owner[a:b], code[a:b] - lo
+            x[at[o[at[o] >= 0]], c[at[o] >= 0]] = 1
+            y[at_right[o[at_right[o] >= 0]], c[at_right[o] >= 0]] = 1
+            shared += x @ y.T
+        union = size[left][:, None] + size[right][None, :] - shared
+        i, j = np.nonzero(100 * shared >= 80 * union)
+        i, j = left[i], right[j]
+        by_node = np.argsort(node, kind="stable")
+        rank = np.empty(len(node), np.int64)
+        rank[by_node] = np.arange(len(node))
+        low = node[by_node][forest(len(node), rank[i], rank[j])[rank]]
+        some = low != node
+        yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(low[some])], ["a", "b"])
+
+
+def _compared(members: DataFrame, comp: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """Links (a, b) that connect what is linked among members (sig, node) of one family of hot groups.
+
+    A family is what common hot groups connect. It is compared in tiles of two blocks of BLOCK sets,
+    as products of matrices, and a tile gives a forest of its links, not its pairs.
+    """
+    least = members.groupBy("sig").agg(F.min("node").alias("b"))
+    family = components(members.join(least, "sig").select(F.col("node").alias("a"), "b"))
+    rows = family.select("node", F.col("comp").alias("family"))
+    sizes = rows.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.join(sizes, "family").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tile = F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")).alias("tile")
+    rows = rows.select(tile, "block", "node").join(comp, "node", "left").select("tile", "block", "node", F.coalesce("comp", "node").alias("comp")).join(sets, "node")
+    dealt = rows.select("tile", "block", "node", "comp", "items").repartition(parts, "tile").sortWithinPartitions("tile")
+    return dealt.mapInArrow(_tile_links, "a long, b long")
+
+
 def link_classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (key, text).
 
@@ -276,17 +359,19 @@ def link_classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
        with a node that has no more hot and empty partitions than spare ones is found by another, and
        pairs that share too few of theirs are dropped before they are compared.
     3. Candidates are compared exactly, by their whole sets.
-    4. Nodes with more hot partitions than spare ones (large groups of near copies) are compared, in
-       each hot group that still holds several components, with one member at a time; what is left after
-       STAR_ROUNDS is compared in full between components. So no link between components is lost.
+    4. Nodes with more hot partitions than spare ones (large groups of near copies, short texts around
+       a frequent passage) are compared, in each hot group that still holds several components, with one
+       member at a time, STAR_ROUNDS times. Of those left, two either share a shingle that at most HOT of
+       them have, and meet there; or most of both is hot, and these are compared in tiles, as products
+       of 0/1 matrices that give a forest of links each. So no link between components is lost.
 
     Null texts and texts without words have no shingles and are a component of their own. A null id
     keeps null, as component id too unless its component has an id. Rows that repeat are reported
     each. Very long texts are one row's work: memory is linear in them.
     """
     spark = docs.sparkSession
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 16, 3 * size // BLOCK_BYTES))
+    _, size = rows_and_bytes(docs)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 16, 3 * size // 2 // BLOCK_BYTES))
     blocks = 4 * parts
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), "text")
     rows = texts.mapInArrow(_emit(blocks), ROWS)
@@ -323,23 +408,27 @@ def link_classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     groups_ = of(HOT_GROUP, ("a", "sig"), ("blob", "blob"))
     members = saved(groups_.mapInArrow(_unpacked, "sig long, node long").withColumn("bucket", F.col("sig").bitwiseAND(F.lit(127)).cast("int")).join(hot.select("node", "bucket"), ["node", "bucket"]).select("sig", "node"))
     comp = saved(components(edges))
-    for turn in range(STAR_ROUNDS + 1):
-        if members.isEmpty():
-            break
-        now = members.join(comp, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
-        torn = now.groupBy("sig").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn))).alias("pivot")).where("least <> most")
-        torn = saved(torn)
-        if torn.isEmpty():
-            break
-        if turn < STAR_ROUNDS:
-            asked = now.join(torn, "sig").where(F.col("comp") != F.col("pivot.comp"))
-            asked = asked.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
-        else:
-            left = now.join(torn.select("sig"), "sig")
-            asked = left.alias("l").join(left.alias("r"), (F.col("l.sig") == F.col("r.sig")) & (F.col("l.comp") < F.col("r.comp")))
-            asked = asked.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
-        more = _linked(asked, sets)
-        edges = saved(edges.unionByName(more).distinct())
+    members, edges, comp = _stars(members, edges, comp, sets)
+    if members is not None:
+        # members of groups that still hold several components: what two of them share beside hot shingles
+        left = members.select("node").distinct().join(sets, "node")
+        # of each shingle HOT + 1 nodes at most are looked at: enough to know which ones are hot
+        rank = F.row_number().over(W.partitionBy("item").orderBy("node"))
+        some = left.select("node", F.explode("items").alias("item")).withColumn("rank", rank).where(F.col("rank") <= HOT + 1)
+        few = saved(some.groupBy("item").agg(F.collect_list("node").alias("nodes")).where(F.size("nodes") <= HOT))
+        rare = few.select(F.explode("nodes").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("rare"))
+        mostly = left.select("node", F.size("items").alias("size")).join(rare, "node", "left")
+        mostly = saved(mostly.select("node", (4 * F.coalesce("rare", F.lit(0)) <= F.col("size")).alias("mostly")))
+        few = few.where(F.size("nodes") > 1).select("item", F.explode("nodes").alias("node")).join(comp, "node", "left").join(mostly, "node")
+        few = saved(few.select("item", "node", "mostly", F.coalesce("comp", "node").alias("comp")))
+        # two that are mostly hot meet below
+        both = (F.col("l.item") == F.col("r.item")) & (F.col("l.comp") < F.col("r.comp")) & ~(F.col("l.mostly") & F.col("r.mostly"))
+        asked = few.alias("l").join(few.alias("r"), both).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
+        edges = saved(edges.unionByName(_linked(asked, sets)).distinct())
+        comp = saved(components(edges))
+        # two that share no other shingle link only if those are few in both
+        hot_ones = members.join(mostly.where("mostly").select("node"), "node", "left_semi")
+        edges = saved(edges.unionByName(_compared(hot_ones, comp, sets, parts)).distinct())
         comp = saved(components(edges))
     found = doc.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = found.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
@@ -348,6 +437,12 @@ def link_classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return found.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Of each component of links the row with the smallest doc_id, all columns. Rows without an id stay."""
+    heads = link_classes(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_classes(table(spark, sf_dir, "documents"))
 
