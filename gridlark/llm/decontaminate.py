@@ -269,6 +269,53 @@ def spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id") -> Dat
     return docs.select("doc_id", "text").mapInArrow(run, HITS)
 
 
+def cut(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id") -> DataFrame:
+    """``docs`` without the spans that benchmark windows hit; other columns stay, but n_chars follows the text.
+
+    A removed span becomes one space. Where the rest still holds a window, because words came
+    together, it is cut again. Documents without a hit are unchanged; those with no word left go.
+    """
+    first, others = _first_block(benchmark, id_col)
+    sc = docs.sparkSession.sparkContext
+    shared = [sc.broadcast(b) for b in [first, *others]]
+    names = docs.columns
+
+    def clean(column: pa.Array) -> tuple[list[str | None], list[bool]]:
+        texts, keep = column.to_pylist(), [True] * len(column)
+        again = list(range(len(texts)))
+        while again:
+            part = pa.array([texts[i] for i in again], pa.string())
+            hits: list[int] = []
+            for parts in zip(*[_scan(part, b.value) for b in shared], strict=True):
+                lo, hi, at, words, _, _, _ = parts[0]
+                gone = np.logical_or.reduce([p[4] for p in parts])
+                for r in np.unique(words.row[gone]).tolist():
+                    i, (a, b) = again[lo + r], words.first_word[r : r + 2]
+                    raw, out, last = texts[i].encode(), [], 0
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone[a:b].astype(np.int8), [0]])))
+                    for s, e in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
+                        out.append(raw[last : words.starts[a + s] - at[r]])
+                        last = int(words.ends[a + e - 1] - at[r])
+                    texts[i] = b" ".join([*out, raw[last:]]).decode()
+                    keep[i] = not gone[a:b].all()
+                    hits.append(i)
+            again = hits
+        return texts, keep
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before = batch.column("text")
+            texts, keep = clean(before)
+            cols = {n: batch.column(n) for n in names}
+            changed = [a != b for a, b in zip(texts, before.to_pylist(), strict=True)]
+            cols["text"] = pa.array(texts, before.type)
+            if "n_chars" in cols:
+                cols["n_chars"] = pa.array([len(t) if c else n for t, c, n in zip(texts, changed, cols["n_chars"].to_pylist(), strict=True)], cols["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 

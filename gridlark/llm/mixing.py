@@ -88,6 +88,14 @@ def mix(docs: DataFrame, size: str = "size", key: str = "doc_id", weights: tuple
     return summed.withColumn("taken", (taken * F.col(size)).cast("long")).drop("_key", "_bucket", "_sum", "_upto")
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """The mix as documents: each row as often as its words were taken, with the columns of ``docs``."""
+    whole = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.struct(*docs.columns).alias("row"))
+    copies = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
+    taken = mix(whole).select("row", copies.alias("copies")).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
     return mix(saved(docs)).select("doc_id", "size", "source_size", "target", "taken")

@@ -163,6 +163,22 @@ def score(docs: DataFrame, model: CoTraining | None) -> DataFrame:
     return docs.select("doc_id", "text", "source", "lang", "n_chars").mapInArrow(run, "doc_id long, p_text double, p_meta double, score double")
 
 
+def accepted(docs: DataFrame, model: CoTraining | None, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose score is at least ``least``."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            views = batch.select(["doc_id", "text", "source", "lang", "n_chars"])
+            score_ = [shared.value.scores(a, b)[2] for _, a, b in _views([views])]
+            if score_:
+                yield batch.filter(pa.array(np.concatenate(score_) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
