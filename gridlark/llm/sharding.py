@@ -75,10 +75,11 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 3, bucket_rows: int =
     rows = saved(docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("_group")))
     n = rows.count()
     groups = saved(rows.where("_group is not null").groupBy("_group").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
-    piece_rows = max(1000, -(-n // PIECES))
-    hot = groups.where(F.col("_n") > piece_rows)  # PIECES rows at most
+    piece_rows = max(1, min(max(1000, -(-n // PIECES)), n // (8 * shards)))
+    hot = groups.where(F.col("_n") > piece_rows)  # PIECES or 8 * shards rows at most, or n of fewer rows
     rows = rows.join(F.broadcast(hot), "_group", "left")
-    rows = rows.withColumn("_piece", F.when(F.col("_n").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("_n") / piece_rows))).cast("int")).drop("_n")
+    rows = rows.withColumn("_piece", F.when(F.col("_n").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("_n") / piece_rows))).cast("int"))
+    rows = rows.withColumn("_hot", F.col("_n").isNotNull()).drop("_n")
     node = F.xxhash64("_group", "doc_id")
     first = rows.where("_group is not null").groupBy("_group", "_piece").agg(F.min_by(node, F.struct("doc_id")).alias("_first"), F.count(F.lit(1)).alias("_rows"))
     first = first.where("_rows > 1").drop("_rows")
@@ -91,10 +92,11 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 3, bucket_rows: int =
     start = F.pmod(F.xxhash64("node", F.lit("start")), F.lit(shards)).cast("int")
     labels = propagate(nodes.select("node", start.alias("label"), "w"), edges, shards, n / shards, rounds)
     placed = rows.withColumn("node", node).join(labels.select("node", "label"), "node", "left")
-    # places: all linked rows of a label in hash order of their piece, then all rows without links
+    # places: all linked rows of a label in hash order of their piece, those of cut groups last, so that a
+    # surplus is of groups that are cut anyway; then all rows without links
     buckets = max(1, -(-n // bucket_rows))
     unit = F.coalesce(F.xxhash64("_group", "_piece"), F.xxhash64("doc_id"))
-    placed = placed.select("doc_id", "size", "text_crc32", F.coalesce("label", F.lit(shards)).alias("_label"), F.pmod(unit, F.lit(buckets)).cast("int").alias("_bucket"), unit.alias("_unit"))
+    placed = placed.select("doc_id", "size", "text_crc32", F.coalesce("label", F.lit(shards)).alias("_label"), (F.pmod(unit, F.lit(buckets)) + F.when(F.col("_hot"), buckets).otherwise(0)).cast("int").alias("_bucket"), unit.alias("_unit"))
     placed = saved(placed)
     cells = placed.groupBy("_label", "_bucket").agg(F.count(F.lit(1)).alias("_cell"))
     cells = saved(cells.withColumn("_before", F.coalesce(F.sum("_cell").over(W.partitionBy("_label").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))))
