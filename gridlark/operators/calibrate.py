@@ -76,19 +76,24 @@ def grid_stages(arch: Arch) -> list[tuple[str, Column, float]]:
     ]
 
 
+def _encoded(out: DataFrame, sums: DataFrame, key: list[str], value: str, mean: float, smoothing: float, name: str) -> DataFrame:
+    own, one = F.when(F.col("_t"), F.col(value)).otherwise(0.0), F.when(F.col("_t"), 1).otherwise(0)
+    joined = out.join(sums, key, "left").fillna({"_sum": 0.0, "_n": 0})
+    return joined.withColumn(name, (F.col("_sum") - own + smoothing * mean) / (F.col("_n") - one + smoothing)).drop("_sum", "_n")
+
+
+def _key_sums(marked: DataFrame, key: list[str], value: str) -> DataFrame:
+    return marked.where("_t").groupBy(*key).agg(F.sum(value).alias("_sum"), F.count(F.lit(1)).alias("_n"))
+
+
 def leave_one_out(df: DataFrame, key: list[str], value: str, train: Column, smoothing: float, name: str = "encoded") -> DataFrame:
     """``df`` with the smoothed mean of ``value`` by key over the training rows; a training row leaves itself out.
 
     Sums are aggregated by key and joined back, which, unlike a window, does not gather a key's rows.
     """
     marked = df.withColumn("_t", train.cast("boolean"))
-    mean = marked.where("_t").agg(F.avg(value).alias("_mean"))
-    sums = marked.where("_t").groupBy(*key).agg(F.sum(value).alias("_sum"), F.count(F.lit(1)).alias("_n"))
-    out = marked.join(sums, key, "left").crossJoin(F.broadcast(mean)).fillna({"_sum": 0.0, "_n": 0})
-    own = F.when(F.col("_t"), F.col(value)).otherwise(0.0)
-    one = F.when(F.col("_t"), 1).otherwise(0)
-    encoded = (F.col("_sum") - own + smoothing * F.col("_mean")) / (F.col("_n") - one + smoothing)
-    return out.withColumn(name, encoded).drop("_t", "_sum", "_n", "_mean")
+    mean = marked.where("_t").agg(F.avg(value)).first()[0] or 0.0
+    return _encoded(marked, _key_sums(marked, key, value), key, value, mean, smoothing, name).drop("_t")
 
 
 #: Encodings of the residual: name, key columns and smoothing.
@@ -101,9 +106,10 @@ ENCODINGS = [
 
 
 def encodings(df: DataFrame, value: str, train: Column) -> DataFrame:
-    """All ENCODINGS of ``value`` (columns sp, tp, s_family, t_family, direction, raw)."""
-    df = df.withColumn("raw_bucket", F.least(int_div(F.col("raw"), 64), F.lit(127)))
+    """All ENCODINGS of ``value`` (columns sp, tp, s_family, t_family, direction, raw); all sums are of the same input."""
+    marked = cut(df.withColumns({"raw_bucket": F.least(int_div(F.col("raw"), 64), F.lit(127)), "_t": train.cast("boolean")}))
+    mean = marked.where("_t").agg(F.avg(value)).first()[0] or 0.0
+    out = marked
     for name, key, smoothing in ENCODINGS:
-        df = leave_one_out(df, key, value, train, smoothing, f"enc_{name}")
-    return df.drop("raw_bucket")
-
+        out = _encoded(out, _key_sums(marked, key, value), key, value, mean, smoothing, f"enc_{name}")
+    return out.drop("raw_bucket", "_t")

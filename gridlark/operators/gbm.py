@@ -49,27 +49,50 @@ class Model:
             raise ValueError("categories are out of range")
         return self
 
-    def residual(self, x: np.ndarray, trees: int | None = None) -> np.ndarray:
-        """Sums of the trees in order for rows of integers: trees outside, rows inside, a level at a time."""
-        total = np.zeros(len(x))
-        for root in self.roots[:trees]:
-            at = np.full(len(x), root, np.int64)
-            live = np.flatnonzero(at >= 0)
-            while len(live):
-                n = at[live]
-                v = x[live, self.feature[n]].astype(np.int64)
-                go = v <= self.decision[n]
-                cat = self.categorical[n].astype(bool)
-                if cat.any():
-                    c, w = n[cat], v[cat]
-                    word = self.decision[c] + np.minimum(np.maximum(w, 0) >> 6, np.maximum(self.count[c] - 1, 0))
-                    known = (w >= 0) & ((w >> 6) < self.count[c])
-                    bit = (self.masks[np.minimum(word, len(self.masks) - 1)] >> (np.maximum(w, 0) & 63).astype(np.uint64)) & np.uint64(1)
-                    go[cat] = known & (bit == 1)
-                at[live] = np.where(go, self.left[n], self.right[n])
-                live = live[at[live] >= 0]
-            total += self.leaves[-at - 1]
-        return total
+    def residual(self, x: np.ndarray, trees: int | None = None, rows: int = 4096) -> np.ndarray:
+        """Sums of the trees in order for rows of integers: blocks of rows, in each tree after tree, a level at a time."""
+        kids = np.stack([self.right, self.left], 1).ravel().astype(np.int32)
+        feature, decision = self.feature.astype(np.int32), self.decision.astype(np.int32)
+        any_cat = bool(self.categorical.any())
+        out = np.zeros(len(x))
+        for lo in range(0, len(x), rows):
+            part = np.ascontiguousarray(x[lo : lo + rows], np.int32)
+            flat, base = part.ravel(), np.arange(len(part), dtype=np.int32) * part.shape[1]
+            total = out[lo : lo + rows]
+            for root in self.roots[:trees].tolist():
+                if root < 0:
+                    total += self.leaves[-root - 1]
+                    continue
+                at, live, mine = np.full(len(part), root, np.int32), None, base
+                while True:
+                    v = flat.take(mine + feature.take(at))
+                    go = v <= decision.take(at)
+                    if any_cat:
+                        self._by_category(at, v, go)
+                    at = kids.take(2 * at + go)
+                    done = at < 0
+                    if done.all():
+                        leaf = self.leaves.take(-at - 1)
+                        if live is None:
+                            total += leaf
+                        else:
+                            total[live] += leaf
+                        break
+                    if done.any():
+                        live = np.arange(len(part)) if live is None else live
+                        total[live[done]] += self.leaves.take(-at[done] - 1)
+                        live, at, mine = live[~done], at[~done], mine[~done]
+        return out
+
+    def _by_category(self, at: np.ndarray, v: np.ndarray, go: np.ndarray) -> None:
+        """Sets ``go`` at categorical nodes: left for the listed categories, right for others and negative ones."""
+        cat = self.categorical[at].astype(bool)
+        if cat.any():
+            c, w = at[cat], v[cat].astype(np.int64)
+            known = (w >= 0) & ((w >> 6) < self.count[c])
+            word = np.where(known, self.decision[c] + (w >> 6), 0)
+            bit = (self.masks[word] >> (np.maximum(w, 0) & 63).astype(np.uint64)) & np.uint64(1)
+            go[cat] = known & (bit == 1)
 
     def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
         """gbm_roots, gbm_nodes, gbm_leaves, gbm_masks."""
