@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .cluster import ship
 from .functions import fixed, hashing
 from .functions.scalar import block_mask, crossing, nearest, on_block, zone
 from .operators import calibrate, estimate, exact, features, gbm, potentials, reuse, score
@@ -37,6 +38,7 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
