@@ -94,21 +94,40 @@ class Grid:
                     self.backward[j].append((i, n, d))
         self.scalar, self.table = scalar, table
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_views"}
+
+    def views(self) -> tuple:
+        """The arrays as memory views, whose single items are read faster; made where they are used."""
+        if "_views" not in self.__dict__:
+            gap = [b + n for b, n in zip(self.block, self.line, strict=True)]
+            out = [[memoryview(np.ascontiguousarray(a, np.int64)) for a in arrays] for arrays in (self.to, self.back, self.block, gap)]
+            self._views = (*out, memoryview(self.x.astype(np.int64)), memoryview(self.y.astype(np.int64)))
+        return self._views
+
+    def bounds(self, t: int, tp: int):
+        """Lower bounds of the delay left to one target, as a function of site and internal port, remembered by state."""
+        if self.table is None:
+            return lambda site, i: 0
+        *_, xs, ys = self.views()
+        tx, ty, known = xs[t], ys[t], {}
+        part = [(int(self.scalar[d]) * ux, int(self.scalar[d]) * uy, self.table[d, tp].tolist()) for d, (ux, uy) in enumerate(fixed.DIRECTIONS)]
+
+        def bound(site: int, i: int) -> int:
+            if (site, i) not in known:
+                dx, dy, best = tx - xs[site], ty - ys[site], 0
+                for ax, ay, pot in part:
+                    if pot[i] >= 0 and (v := ax * dx + ay * dy + pot[i]) > best:
+                        best = v
+                known[site, i] = -(-best // fixed.SCALE)
+            return known[site, i]
+
+        return bound
+
     def straight(self, s: int, t: int) -> int:
         """The delay of the lines between two sites."""
         return int(abs(self.px[self.x[s]] - self.px[self.x[t]]) + abs(self.py[self.y[s]] - self.py[self.y[t]]))
 
-    def bound(self, site: int, internal: int, t: int, tp: int) -> int:
-        """A lower bound of the delay that is left."""
-        if self.table is None:
-            return 0
-        dx, dy, best = int(self.x[t] - self.x[site]), int(self.y[t] - self.y[site]), 0
-        for i, (ux, uy) in enumerate(fixed.DIRECTIONS):
-            pot = int(self.table[i, tp, internal])
-            if pot >= 0:
-                best = max(best, -(-(int(self.scalar[i]) * (ux * dx + uy * dy) + pot) // fixed.SCALE))
-        return best
-
     def seeds(self, s: int, sp: int, relative: bool, inside) -> list[tuple[int, int, int, tuple]]:
         """(site, internal, delay, pins) after staying, a net, or an arc and a net."""
         out = [(s, self.internal[sp], 0, ((s, sp),))] if sp in self.internal else []
@@ -148,7 +167,9 @@ class Grid:
                 if b == tp and d < best:
                     best, end = d, "direct"
         inside = self.box(s, sp, t, margin)
-        h = (lambda site, i: self.bound(site, i, t, tp)) if guided and not relative else (lambda site, i: 0)
+        h = self.bounds(t, tp) if guided and not relative else (lambda site, i: 0)
+        to, _, block, gap, _, _ = self.views()
+        cost = block if relative else gap
         dist: dict[tuple[int, int], int] = {}
         come: dict[tuple[int, int], tuple] = {}
         heap: list[tuple[int, int, int, int]] = []
@@ -165,13 +186,13 @@ class Grid:
             if site == t and (last := self.last_step(i, tp)) is not None and g + last < best:
                 best, end = g + last, (site, i)
             for j, n, d in self.forward[i]:
-                land = int(self.to[n][site])
+                land = to[n][site]
                 if land < 0 or not inside(land):
                     continue
-                step = g + d + int(self.block[n][site]) + (0 if relative else int(self.line[n][site]))
-                if step < best and step < dist.get((land, j), FAR):
+                step = g + d + cost[n][site]
+                if step < best and step < dist.get((land, j), FAR) and (f := step + h(land, j)) < best:
                     dist[land, j], come[land, j] = step, ((site, i), n)
-                    heapq.heappush(heap, (step + h(land, j), step, land, j))
+                    heapq.heappush(heap, (f, step, land, j))
         if end is None:
             return None, []
         if end == "direct":
@@ -191,6 +212,8 @@ class Grid:
         extra = self.straight(s, t) if relative else 0
         best = min((d for b, d in self.arcs_from.get(sp, []) if s == t and b == tp), default=FAR)
         inside = self.box(s, sp, t, margin)
+        to, back, block, gap, _, _ = self.views()
+        cost, moves, edges = (block if relative else gap), (to, back), (self.forward, self.backward)
         dist: list[dict[tuple[int, int], int]] = [{}, {}]
         heaps: list[list[tuple[int, int, int]]] = [[], []]
         first = [(site, i, g) for site, i, g, _ in self.seeds(s, sp, relative, inside)]
@@ -207,12 +230,11 @@ class Grid:
             g, site, i = heapq.heappop(heaps[k])
             if g > dist[k][site, i]:
                 continue
-            for j, n, d in (self.forward if k == 0 else self.backward)[i]:
-                land = int((self.to if k == 0 else self.back)[n][site])
+            for j, n, d in edges[k][i]:
+                land = moves[k][n][site]
                 if land < 0 or not inside(land):
                     continue
-                at = site if k == 0 else land
-                step = g + d + int(self.block[n][at]) + (0 if relative else int(self.line[n][at]))
+                step = g + d + cost[n][site if k == 0 else land]
                 if step < dist[k].get((land, j), FAR):
                     dist[k][land, j] = step
                     heapq.heappush(heaps[k], (step, land, j))
