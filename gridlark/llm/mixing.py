@@ -37,7 +37,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
     return ranked.select("source", "source_size", F.least(F.col("rate") * F.col("weight"), F.col("full")).alias("target"))
 
 
-def mix(docs: DataFrame, size: str = "size", key: str = "doc_id", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, bucket_rows: int = 20000) -> DataFrame:
+def mix(docs: DataFrame, size: str = "size", key: str = "doc_id", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, bucket_rows: int = 1000) -> DataFrame:
     """All columns of ``docs`` (``source`` and a word count among them) plus source_size, target, taken.
 
     Documents of a source are shuffled by md5 of the key. Pass e of a document finishes at the
@@ -46,13 +46,13 @@ def mix(docs: DataFrame, size: str = "size", key: str = "doc_id", weights: tuple
     passes exist, so no document exceeds ``most`` times its size.
 
     Sums are two-level: by (source, bucket of the shuffle key), then within a bucket of about
-    ``bucket_rows`` rows, so a source of any share is spread. Null keys shuffle as the empty key,
+    ``bucket_rows`` rows (65536 buckets at most), so a source of any share is spread. Null keys shuffle as the empty key,
     null sources are a source, empty documents take 0, and equal rows are ordered arbitrarily among
     themselves, which changes no row. Columns of the input named as a new column are replaced.
     """
     docs = docs.drop("source_size", "target", "taken")
     n = docs.count()
-    buckets = max(1, -(-n // bucket_rows))
+    buckets = max(1, min(1 << 16, -(-n // bucket_rows)))
     at = F.conv(F.substring("_key", 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
     base = docs.withColumn("_key", F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")))
     base = base.withColumn("_bucket", F.floor(at * buckets).cast("int"))
