@@ -57,7 +57,7 @@ def propagate(nodes: DataFrame, edges: DataFrame, shards: int, capacity: float,
     return nodes
 
 
-def shard(docs: DataFrame, shards: int = 8, rounds: int = 3, bucket_rows: int = 20000) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, rounds: int = 3, bucket_rows: int = 1000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of ``docs`` (doc_id, text).
 
     Law ``rows``: shard sizes differ by one row at most, whatever the links are. Documents of equal
@@ -94,7 +94,7 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 3, bucket_rows: int =
     placed = rows.withColumn("node", node).join(labels.select("node", "label"), "node", "left")
     # places: all linked rows of a label in hash order of their piece, those of cut groups last, so that a
     # surplus is of groups that are cut anyway; then all rows without links
-    buckets = max(1, -(-n // bucket_rows))
+    buckets = max(1, min(1 << 16, -(-n // bucket_rows)))
     unit = F.coalesce(F.xxhash64("_group", "_piece"), F.xxhash64("doc_id"))
     placed = placed.select("doc_id", "size", "text_crc32", F.coalesce("label", F.lit(shards)).alias("_label"), (F.pmod(unit, F.lit(buckets)) + F.when(F.col("_hot"), buckets).otherwise(0)).cast("int").alias("_bucket"), unit.alias("_unit"))
     placed = saved(placed)
