@@ -21,8 +21,8 @@ SHINGLE = 5
 HOT = 32
 #: Signatures of a task that are held before they are handed on, and bytes of signatures in a block.
 FLUSH, BLOCK_BYTES = 1 << 19, 24 << 20
-#: Rounds in which hot groups are compared with one member each, before the rest is compared by what it shares beside.
-STAR_ROUNDS = 1
+#: Rounds in which hot groups are first compared with one member each; worth their shuffles only for very large groups.
+STAR_ROUNDS = 0
 #: Sets of a block when a family of hot groups is compared in full.
 BLOCK = 1024
 _LOW = np.uint64(127)
@@ -360,9 +360,9 @@ def link_classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
        pairs that share too few of theirs are dropped before they are compared.
     3. Candidates are compared exactly, by their whole sets.
     4. Nodes with more hot partitions than spare ones (large groups of near copies, short texts around
-       a frequent passage) are compared, in each hot group that still holds several components, with one
-       member at a time, STAR_ROUNDS times. Of those left, two either share a shingle that at most HOT of
-       them have, and meet there; or most of both is hot, and these are compared in tiles, as products
+       a frequent passage) matter where a hot group holds several components (first compared with one
+       member STAR_ROUNDS times). Two of them either share a shingle that at most HOT of them have, and
+       meet there; or most of both is hot, and these are compared in tiles, as products
        of 0/1 matrices that give a forest of links each. So no link between components is lost.
 
     Null texts and texts without words have no shingles and are a component of their own. A null id
@@ -424,11 +424,10 @@ def link_classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         # two that are mostly hot meet below
         both = (F.col("l.item") == F.col("r.item")) & (F.col("l.comp") < F.col("r.comp")) & ~(F.col("l.mostly") & F.col("r.mostly"))
         asked = few.alias("l").join(few.alias("r"), both).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
-        edges = saved(edges.unionByName(_linked(asked, sets)).distinct())
-        comp = saved(components(edges))
         # two that share no other shingle link only if those are few in both
         hot_ones = members.join(mostly.where("mostly").select("node"), "node", "left_semi")
-        edges = saved(edges.unionByName(_compared(hot_ones, comp, sets, parts)).distinct())
+        more = _linked(asked, sets).unionByName(_compared(hot_ones, comp, sets, parts))
+        edges = saved(edges.unionByName(more))
         comp = saved(components(edges))
     found = doc.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = found.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
