@@ -48,12 +48,12 @@ class Units:
             self.items, self.first = BYTE_KEYS[1][data], at
         self.hasher = Hasher(self.items)
 
-    def paths(self, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(row, first unit, end, anchor's hash) of all paths, units counted over the whole run."""
+    def paths(self, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, first unit, end, anchor's hash, anchor's place) of all paths, units counted over the whole run."""
         n = len(self.items)
         none = np.zeros(0, np.int64)
         if n < window:
-            return none, none, none, np.zeros(0, np.uint64)
+            return none, none, none, np.zeros(0, np.uint64), none
         h = self.hasher.all_windows(k)
         low = (h & ~np.uint64(0xFFFFFFFF)) | np.arange(len(h), dtype=np.uint64)
         width, have = window - k + 1, 1
@@ -67,14 +67,14 @@ class Units:
         np.add.at(fits, self.first[1:][long] - window + 1, -1)
         start = np.flatnonzero(np.cumsum(fits[:-1]) > 0)
         if not len(start):
-            return none, none, none, np.zeros(0, np.uint64)
+            return none, none, none, np.zeros(0, np.uint64), none
         anchor = (low[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         row = np.searchsorted(self.first, start, "right") - 1
         new = np.ones(len(start), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
         at = np.flatnonzero(new)
         end = start[np.append(at[1:], len(start)) - 1] + window
-        return row[at], start[at], end, h[anchor[at]]
+        return row[at], start[at], end, h[anchor[at]], anchor[at]
 
 
 def unit_slices(batch: pa.RecordBatch, words: bool) -> Iterator[tuple[int, int, Units]]:
@@ -232,7 +232,7 @@ def find_paths(k: int, window: int, words: bool, blocks: int):
         for batch in batches:
             ids = batch.column("doc").to_numpy()
             for lo, hi, units in unit_slices(batch, words):
-                row, start, end, anchor = units.paths(k, window)
+                row, start, end, anchor, _ = units.paths(k, window)
                 base = units.first[row]
                 yield from box.add(anchor, units.hasher.windows(start, end), ids[lo:hi][row], start - base, end - base)
         yield from box.flush()
@@ -244,12 +244,12 @@ def listed(blobs: pa.Array, lo: int, hi: int, dtype) -> list[np.ndarray]:
     return [np.concatenate([np.frombuffer(b, dtype) for b in x]) if x else np.zeros(0, dtype) for x in blobs.slice(lo, hi - lo).to_pylist()]
 
 
-def chosen_paths(units: Units, k: int, window: int, starts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def chosen_paths(units: Units, k: int, window: int, starts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     """paths() whose first unit is listed for their document."""
-    row, start, end, anchor = units.paths(k, window)
+    found = units.paths(k, window)
     wanted = np.concatenate([x.astype(np.int64) + f for x, f in zip(starts, units.first[:-1], strict=True)]) if starts else np.zeros(0, np.int64)
-    use = np.isin(start, wanted)
-    return row[use], start[use], end[use], anchor[use]
+    use = np.isin(found[1], wanted)
+    return tuple(x[use] for x in found)
 
 
 def find_windows(k: int, window: int, words: bool, blocks: int, column: str = "hot"):
@@ -260,7 +260,7 @@ def find_windows(k: int, window: int, words: bool, blocks: int, column: str = "h
         for batch in batches:
             ids = batch.column("doc").to_numpy()
             for lo, hi, units in unit_slices(batch, words):
-                row, start, end, _ = chosen_paths(units, k, window, listed(batch.column(column), lo, hi, "<u4"))
+                row, start, end, _, _ = chosen_paths(units, k, window, listed(batch.column(column), lo, hi, "<u4"))
                 many = end - start - window + 1
                 w = np.repeat(start, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 row = np.repeat(row, many)

@@ -22,7 +22,7 @@ WINDOW, K = 50, 20
 INDEX_BYTES = 1 << 20
 #: Bytes of paths that a task holds before it hands them on.
 FLUSH_BYTES = 8 << 20
-ENTRY = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("length", "<u4")])
+ENTRY = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("length", "<u2"), ("offset", "<u2")])
 
 
 class RunLengthIndex:
@@ -120,11 +120,12 @@ def _find_segments(k: int, window: int, blocks: int):
         for batch in batches:
             ids = batch.column("doc").to_numpy()
             for lo, hi, units in unit_slices(batch, False):
-                row, start, end, anchor = chosen_paths(units, k, window, listed(batch.column("paths"), lo, hi, "<u4"))
+                row, start, end, anchor, place = chosen_paths(units, k, window, listed(batch.column("paths"), lo, hi, "<u4"))
                 if not len(row):
                     continue
                 entries = np.empty(len(row), ENTRY)
                 entries["anchor"], entries["doc"], entries["start"], entries["length"] = anchor, ids[lo:hi][row], start - units.first[row], end - start
+                entries["offset"] = place - start
                 n = end - start
                 at = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 held.append((entries, units.data[at]))
@@ -138,7 +139,30 @@ def _find_segments(k: int, window: int, blocks: int):
     return run
 
 
-def _index_blocks(window: int, blocks: int):
+def _may_match(entries: np.ndarray, data: np.ndarray, k: int, window: int) -> np.ndarray:
+    """Paths that share their anchor and half a window's rest on one side with another path.
+
+    A window that two paths share holds the anchor at one place in both, so of its other bytes at
+    least half are on one side of it, and agree. Others can't match and are not indexed.
+    """
+    half = (window - k) // 2
+    first = np.cumsum(entries["length"].astype(np.int64)) - entries["length"]
+    at = first + entries["offset"]
+    hasher = Hasher(BYTE_KEYS[0][data])
+    keep = np.zeros(len(entries), bool)
+    for left, right, fits in ((half, 0, entries["offset"] >= half), (0, half, entries["offset"].astype(np.int64) + k + half <= entries["length"])):
+        some = np.flatnonzero(fits)
+        h = hasher.windows(at[some] - left, at[some] + k + right)
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        twin = np.zeros(len(some), bool)
+        twin[1:] = same
+        twin[:-1] |= same
+        keep[some[order[twin]]] = True
+    return keep
+
+
+def _index_blocks(k: int, window: int, blocks: int):
     def one(entries: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
         n = entries["length"].astype(np.int64)
         size = n + 1
@@ -170,6 +194,10 @@ def _index_blocks(window: int, blocks: int):
                 datas.append(np.frombuffer(blob, np.uint8, offset=8 + n * ENTRY.itemsize))
             entries, data = np.concatenate(heads), np.concatenate(datas)
             first = np.cumsum(entries["length"].astype(np.int64)) - entries["length"]
+            use = _may_match(entries, data, k, window)
+            if not use.any():
+                continue
+            entries, first = entries[use], first[use]
             order = np.argsort(entries["anchor"], kind="stable")
             entries, first = entries[order], first[order]
             total = np.cumsum(entries["length"].astype(np.int64))
@@ -191,7 +219,7 @@ def _segments(k: int, window: int):
     def find(opened: DataFrame, blocks: int, parts: int) -> DataFrame:
         opened = opened.where(F.size("paths") > 0)
         dealt = opened.mapInArrow(_find_segments(k, window, blocks), ROWS).repartition(parts, "block").sortWithinPartitions("block")
-        return saved(dealt.mapInArrow(_index_blocks(window, blocks), ROWS))
+        return saved(dealt.mapInArrow(_index_blocks(k, window, blocks), ROWS))
 
     return find
 
@@ -222,7 +250,7 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, key: str = "doc_id") -> D
     A byte goes if a ``window``-byte string over it also starts in a document of a smaller id, judged on
     the input; strings never cross documents. Paths at an anchor that other documents have in other
     surroundings meet in a block of that anchor, where a run-length index of all of them is built and
-    their matching statistics are streamed. It holds whole anchors, and is dropped when its task ends.
+    their matching statistics are streamed. Paths that can't share a window with another are left out. It holds whole anchors, and is dropped when its task ends.
 
     Null and empty texts have no bytes. Null ids take no part: such a row keeps all. Rows of equal
     ids don't remove each other's bytes. Kept bytes need not be whole characters.
