@@ -15,7 +15,7 @@ PIECES = 4096
 def _quotas(demand: list, load: dict[int, float], room: float, shards: int) -> dict[tuple[int, int], float]:
     """Share of each (from, to) demand that may move: swaps first, then into free room in proportion.
 
-    ``demand`` has shards ** 2 rows at most.
+    ``demand`` has shards ** 2 rows at most. Less than a row is none.
     """
     want = {(r["src_label"], r["dst_label"]): float(r["w"]) for r in demand}
     grant = {(a, b): min(w, want.get((b, a), 0.0)) for (a, b), w in want.items()}
@@ -27,43 +27,59 @@ def _quotas(demand: list, load: dict[int, float], room: float, shards: int) -> d
             if free > 0 and total > 0:
                 for k, w in left.items():
                     grant[k] += w * min(1.0, free / total)
-    return {k: grant[k] / w for k, w in want.items() if w > 0}
+    return {k: grant[k] / w if grant[k] >= 1 else 0.0 for k, w in want.items() if w > 0}
 
 
-def propagate(nodes: DataFrame, edges: DataFrame, shards: int, capacity: float, rounds: int = 3) -> DataFrame:
-    """Labels of linked nodes after ``rounds`` of balanced label propagation.
+def propagate(nodes: DataFrame, shards: int, capacity: float, most_rounds: int = 20) -> DataFrame:
+    """Labels of linked nodes when balanced label propagation has settled.
 
-    nodes: node long, label int (its first shard), w long (rows it stands for). edges: a, b long, in
-    both directions. Returns node, label, w. A node takes the label that most of its neighbours
-    have, ties to the smallest. Nodes with a smaller neighbour move in even rounds, the others in
-    odd rounds, so that two neighbours never swap for ever. Moves from i to j are admitted up to a
-    quota: swaps, and the room that ``capacity`` leaves in j; which of them is a hash of the node.
+    nodes: node, parent long, label int (its first shard), w long (rows it stands for). Links are
+    stars: leaves are linked with their parent, a centre is its own. In even rounds leaves ask for
+    their centre's label, in odd rounds centres ask for a label that more of their leaves have than
+    have their own, so each move makes more links whole and none is undone. Moves from i to j are
+    admitted up to a quota: swaps, and the room that ``capacity`` leaves in j; which of them is a
+    hash of the node and the round. When two rounds admit nothing, leaves for which no room was left
+    follow their centre all the same; the caller deals out what is too much. Returns node, label, w.
     """
-    lowest = saved(edges.groupBy("a").agg((F.min("b") < F.col("a")).alias("follows")))
-    for turn in range(rounds):
-        near = edges.join(nodes.select(F.col("node").alias("b"), F.col("label").alias("seen"), F.lit(1).alias("one")), "b")
-        votes = near.groupBy("a", "seen").agg(F.count("one").alias("v"))
-        best = votes.groupBy("a").agg(F.max(F.struct("v", (-F.col("seen")).alias("l"))).alias("best")).join(lowest, "a")
-        best = best.select(F.col("a").alias("node"), (-F.col("best.l")).cast("int").alias("to"), "follows")
-        asked = nodes.join(best, "node", "left").withColumn("moves", F.coalesce((F.col("to") != F.col("label")) & (F.col("follows") == F.lit(turn % 2 == 0)), F.lit(False)))
-        asked = saved(asked)
-        demand = asked.where("moves").groupBy(F.col("label").alias("src_label"), F.col("to").alias("dst_label")).agg(F.sum("w").alias("w")).collect()
-        load = {r["label"]: float(r["w"]) for r in asked.groupBy("label").agg(F.sum("w").alias("w")).collect()}
+    idle = 0
+    for turn in range(most_rounds):
+        if turn % 2 == 0:
+            wish = nodes.where("node = parent").select("parent", F.col("label").alias("to"))
+            asked = nodes.join(wish, "parent")
+        else:
+            votes = nodes.where("node <> parent").groupBy("parent", "label").agg(F.count(F.lit(1)).alias("v"))
+            best = votes.groupBy("parent").agg(F.max(F.struct("v", (-F.col("label")).alias("l"))).alias("best"))
+            own = votes.select(F.col("parent").alias("node"), "label", F.col("v").alias("own"))
+            wish = best.select(F.col("parent").alias("node"), (-F.col("best.l")).cast("int").alias("to"), F.col("best.v").alias("v"))
+            asked = nodes.join(wish, "node", "left").join(own, ["node", "label"], "left")
+            asks = (F.col("node") == F.col("parent")) & (F.col("v") > F.coalesce("own", F.lit(0)))
+            asked = asked.withColumn("to", F.when(asks, F.col("to")).otherwise(F.col("label")))
+        asked = saved(asked.select("node", "parent", "label", "w", "to"))
+        counted = asked.groupBy(F.col("label").alias("src_label"), F.col("to").alias("dst_label")).agg(F.sum("w").alias("w")).collect()
+        load: dict[int, float] = {}
+        for r in counted:
+            load[r["src_label"]] = load.get(r["src_label"], 0.0) + r["w"]
+        demand = [r for r in counted if r["src_label"] != r["dst_label"]]
+        parts = {k: p for k, p in _quotas(demand, load, capacity, shards).items() if p > 0}
         share = F.lit(0.0)
-        for (a, b), part in _quotas(demand, load, capacity, shards).items():
+        for (a, b), part in parts.items():
             share = F.when((F.col("label") == a) & (F.col("to") == b), F.lit(part)).otherwise(share)
         luck = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        nodes = asked.select("node", F.when(F.col("moves") & (luck < share), F.col("to")).otherwise(F.col("label")).alias("label"), "w")
-    return nodes
+        nodes = asked.select("node", "parent", F.when(luck < share, F.col("to")).otherwise(F.col("label")).alias("label"), "w")
+        idle = 0 if parts else idle + 1
+        if idle == 2 or turn % 2 == 0 and not demand:
+            break
+    centres = nodes.where("node = parent").select("parent", "label")
+    return nodes.drop("label").join(centres, "parent").select("node", "label", "w")
 
 
-def shard(docs: DataFrame, shards: int = 8, rounds: int = 3, bucket_rows: int = 1000) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, bucket_rows: int = 1000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of ``docs`` (doc_id, text).
 
     Law ``rows``: shard sizes differ by one row at most, whatever the links are. Documents of equal
     text are linked; every other row of a link group is linked with its first, and where one group
-    has over 1 / 4096 of all rows it is cut into pieces whose first members are linked, so no node
-    gathers a group. Label propagation runs over the linked documents; rows without links fill the
+    has over 1 / 4096 of all rows it is cut into pieces that are linked within only, so no node
+    gathers a group. Label propagation runs over the linked documents until it settles; rows without links fill the
     shards up, and a shard's surplus goes to those short of rows. Slots of a shard run from 0
     without gaps; they are sums over (shard, bucket) plus a rank in a bucket, never a sort of all.
 
@@ -85,12 +101,8 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 3, bucket_rows: int =
     first = first.where("_rows > 1").drop("_rows")
     linked = rows.join(first, ["_group", "_piece"])
     nodes = saved(linked.groupBy(node.alias("node"), F.col("_group"), F.col("_piece"), F.col("_first")).agg(F.count(F.lit(1)).alias("w")))
-    tops = nodes.select("_group", "_first").distinct().join(F.broadcast(hot.select("_group")), "_group")  # a few for each hot group
-    tops = tops.join(tops.groupBy("_group").agg(F.min("_first").alias("_top")), "_group").select(F.col("_first").alias("a"), F.col("_top").alias("b"))
-    star = nodes.select(F.col("node").alias("a"), F.col("_first").alias("b")).unionByName(tops).where("a <> b").distinct()
-    edges = saved(star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     start = F.pmod(F.xxhash64("node", F.lit("start")), F.lit(shards)).cast("int")
-    labels = propagate(nodes.select("node", start.alias("label"), "w"), edges, shards, n / shards, rounds)
+    labels = propagate(nodes.select("node", F.col("_first").alias("parent"), start.alias("label"), "w"), shards, n / shards)
     placed = rows.withColumn("node", node).join(labels.select("node", "label"), "node", "left")
     # places: all linked rows of a label in hash order of their piece, those of cut groups last, so that a
     # surplus is of groups that are cut anyway; then all rows without links

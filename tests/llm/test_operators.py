@@ -275,6 +275,25 @@ def test_shards(spark, docs, nothing):
     assert sharding.shard(nothing).count() == 0
 
 
+def shards_of_groups(spark, sizes, n, partitions=5):
+    """Rows, shards and slots where the first texts have ``sizes`` copies and all others are single."""
+    rows = [(f"group {g}",) for g, size in enumerate(sizes) for _ in range(size)]
+    rows += [(f"single {i}",) for i in range(n - len(rows))]
+    rows = [(i, t) for i, (t,) in enumerate(rows)]
+    got = sharding.shard(spark.createDataFrame(pd.DataFrame(rows, columns=["doc_id", "text"])).repartition(partitions)).toPandas()
+    counts = got.groupby("shard")["slot"].agg(["count", "max", "nunique"])
+    assert len(got) == n and counts["count"].max() - counts["count"].min() <= 1
+    assert (counts["count"] == counts["max"] + 1).all() and (counts["count"] == counts["nunique"]).all()
+    got["group"] = got["doc_id"].map(dict(rows))
+    return got.groupby("group")["shard"].value_counts().unstack(fill_value=0)
+
+
+def test_copies_stay_together(spark):
+    sizes = [3, 4, 5, 8, 13, 21, 50, 100, 200, 350, 500] * 2
+    by = shards_of_groups(spark, sizes, 40000)
+    assert [int((by.loc[f"group {g}"] > 0).sum()) for g in range(len(sizes))] == [1] * len(sizes)
+
+
 # ---- classifiers
 
 
