@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from .store import saved, table
 
-#: A group of equal texts of over 1 / PIECES of all rows is cut into pieces, so at most PIECES such groups exist.
-PIECES = 4096
+#: A group of equal texts of over 1 / LARGE of all rows is one weighted node, so at most LARGE such groups exist.
+LARGE = 4096
 
 
 def _quotas(demand: list, load: dict[int, float], room: float, shards: int) -> dict[tuple[int, int], float]:
@@ -30,7 +30,7 @@ def _quotas(demand: list, load: dict[int, float], room: float, shards: int) -> d
     return {k: grant[k] / w if grant[k] >= 1 else 0.0 for k, w in want.items() if w > 0}
 
 
-def propagate(nodes: DataFrame, shards: int, capacity: float, most_rounds: int = 20) -> DataFrame:
+def propagate(nodes: DataFrame, shards: int, capacity: float, held: list[int], most_rounds: int = 20) -> DataFrame:
     """Labels of linked nodes when balanced label propagation has settled.
 
     nodes: node, parent long, label int (its first shard), w long (rows it stands for). Links are
@@ -39,7 +39,8 @@ def propagate(nodes: DataFrame, shards: int, capacity: float, most_rounds: int =
     have their own, so each move makes more links whole and none is undone. Moves from i to j are
     admitted up to a quota: swaps, and the room that ``capacity`` leaves in j; which of them is a
     hash of the node and the round. When two rounds admit nothing, leaves for which no room was left
-    follow their centre all the same; the caller deals out what is too much. Returns node, label, w.
+    follow their centre all the same; the caller deals out what is too much. ``held`` rows of each
+    shard are not of ``nodes`` and stay. Returns node, label, w.
     """
     idle = 0
     for turn in range(most_rounds):
@@ -56,9 +57,9 @@ def propagate(nodes: DataFrame, shards: int, capacity: float, most_rounds: int =
             asked = asked.withColumn("to", F.when(asks, F.col("to")).otherwise(F.col("label")))
         asked = saved(asked.select("node", "parent", "label", "w", "to"))
         counted = asked.groupBy(F.col("label").alias("src_label"), F.col("to").alias("dst_label")).agg(F.sum("w").alias("w")).collect()
-        load: dict[int, float] = {}
+        load = {s: float(h) for s, h in enumerate(held)}
         for r in counted:
-            load[r["src_label"]] = load.get(r["src_label"], 0.0) + r["w"]
+            load[r["src_label"]] += r["w"]
         demand = [r for r in counted if r["src_label"] != r["dst_label"]]
         parts = {k: p for k, p in _quotas(demand, load, capacity, shards).items() if p > 0}
         share = F.lit(0.0)
@@ -73,15 +74,34 @@ def propagate(nodes: DataFrame, shards: int, capacity: float, most_rounds: int =
     return nodes.drop("label").join(centres, "parent").select("node", "label", "w")
 
 
+def _packed(sizes: list[int], room: list[int]) -> list[list[tuple[int, int]]]:
+    """(shard, rows) of the pieces of each group of ``sizes`` rows, largest first; one piece wherever a shard has room for all.
+
+    The emptiest shard is taken. What fits no shard fills the emptiest ones in turn.
+    """
+    room, out = list(room), [[] for _ in sizes]
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        left = sizes[i]
+        while left > 0:
+            to = max(range(len(room)), key=lambda s: room[s])
+            part = min(left, room[to])
+            out[i].append((to, part))
+            room[to] -= part
+            left -= part
+    return out
+
+
 def shard(docs: DataFrame, shards: int = 8, bucket_rows: int = 1000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of ``docs`` (doc_id, text).
 
     Law ``rows``: shard sizes differ by one row at most, whatever the links are. Documents of equal
-    text are linked; every other row of a link group is linked with its first, and where one group
-    has over 1 / 4096 of all rows it is cut into pieces that are linked within only, so no node
-    gathers a group. Label propagation runs over the linked documents until it settles; rows without links fill the
-    shards up, and a shard's surplus goes to those short of rows. Slots of a shard run from 0
-    without gaps; they are sums over (shard, bucket) plus a rank in a bucket, never a sort of all.
+    text are linked; every other row of a link group is linked with its first, and label propagation
+    runs over them until it settles. A group of over 1 / 4096 of all rows and ``bucket_rows``, or of
+    over an eighth of a shard, is one weighted node instead; these are packed first, the largest
+    first, and only what no shard has room for is cut. Rows without links fill the shards up, and a
+    shard's surplus goes to those short of rows. Slots of a shard run from 0 without gaps; they are
+    sums over (shard, bucket) plus a rank in a bucket, never a sort of all; the rows of a weighted
+    node are dealt over buckets of its own.
 
     A null text has size 1 and crc32 0 and is linked with nothing; empty texts are equal texts. Rows
     that repeat, ids included, are rows of their own. Null ids are kept. An empty table gives none.
@@ -91,31 +111,42 @@ def shard(docs: DataFrame, shards: int = 8, bucket_rows: int = 1000) -> DataFram
     rows = saved(docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("_group")))
     n = rows.count()
     groups = saved(rows.where("_group is not null").groupBy("_group").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
-    piece_rows = max(1, min(max(1000, -(-n // PIECES)), n // (8 * shards)))
-    hot = groups.where(F.col("_n") > piece_rows)  # PIECES or 8 * shards rows at most, or n of fewer rows
-    rows = rows.join(F.broadcast(hot), "_group", "left")
-    rows = rows.withColumn("_piece", F.when(F.col("_n").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("_n") / piece_rows))).cast("int"))
-    rows = rows.withColumn("_hot", F.col("_n").isNotNull()).drop("_n")
+    quota = [n // shards + (s < n % shards) for s in range(shards)]
+    cell_rows = max(bucket_rows, -(-n // (1 << 16)))
+    large = groups.where(F.col("_n") > max(1, min(max(bucket_rows, -(-n // LARGE)), n // (8 * shards))))  # LARGE or 8 * shards rows at most
+    large = sorted(((bytes(r["_group"]), r["_n"]) for r in large.collect()), key=lambda r: (-r[1], r[0]))
+    plan = _packed([c for _, c in large], quota)
+    held = [sum(c for p in plan for to, c in p if to == s) for s in range(shards)]
+    large = [(g, c, i, [sum(k for _, k in p[:j]) for j in range(1, len(p))], [to for to, _ in p]) for i, ((g, c), p) in enumerate(zip(large, plan, strict=True))]
+    large = rows.sparkSession.createDataFrame(large, "_group binary, _n long, _i long, _cuts array<long>, _to array<int>")
+    rows = rows.join(F.broadcast(large), "_group", "left")
     node = F.xxhash64("_group", "doc_id")
-    first = rows.where("_group is not null").groupBy("_group", "_piece").agg(F.min_by(node, F.struct("doc_id")).alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    small = rows.where("_group is not null and _n is null")
+    first = small.groupBy("_group").agg(F.min_by(node, F.struct("doc_id")).alias("_first"), F.count(F.lit(1)).alias("_rows"))
     first = first.where("_rows > 1").drop("_rows")
-    linked = rows.join(first, ["_group", "_piece"])
-    nodes = saved(linked.groupBy(node.alias("node"), F.col("_group"), F.col("_piece"), F.col("_first")).agg(F.count(F.lit(1)).alias("w")))
-    start = F.pmod(F.xxhash64("node", F.lit("start")), F.lit(shards)).cast("int")
-    labels = propagate(nodes.select("node", F.col("_first").alias("parent"), start.alias("label"), "w"), shards, n / shards)
-    placed = rows.withColumn("node", node).join(labels.select("node", "label"), "node", "left")
-    # places: all linked rows of a label in hash order of their piece, those of cut groups last, so that a
-    # surplus is of groups that are cut anyway; then all rows without links
+    nodes = small.join(first, "_group").groupBy(node.alias("node"), F.col("_first").alias("parent")).agg(F.count(F.lit(1)).alias("w"))
+    # first labels in proportion to the room that the weighted nodes leave
+    luck = F.pmod(F.xxhash64("node", F.lit("start")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    room = [q - h for q, h in zip(quota, held, strict=True)]
+    start = sum(((luck >= sum(room[:s]) / max(1, sum(room))).cast("int") for s in range(1, shards)), F.lit(0))
+    labels = propagate(saved(nodes.withColumn("label", start)), shards, n / shards, held)
+    placed = rows.withColumn("node", F.when(F.col("_n").isNull(), node)).join(labels.select("node", "label"), "node", "left")
+    piece = F.size(F.filter("_cuts", lambda c: c <= F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.col("_n"))))
+    # places: the weighted nodes of a label, each in buckets of its own; the linked rows in hash order of their group;
+    # pieces of cut nodes last, so that a surplus is of groups that are cut anyway; then all rows without links
     buckets = max(1, min(1 << 16, -(-n // bucket_rows)))
-    unit = F.coalesce(F.xxhash64("_group", "_piece"), F.xxhash64("doc_id"))
-    placed = placed.select("doc_id", "size", "text_crc32", F.coalesce("label", F.lit(shards)).alias("_label"), (F.pmod(unit, F.lit(buckets)) + F.when(F.col("_hot"), buckets).otherwise(0)).cast("int").alias("_bucket"), unit.alias("_unit"))
+    unit = F.coalesce(F.xxhash64("_group"), F.xxhash64("doc_id"))
+    salt = F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.ceil(F.col("_n") / F.lit(cell_rows)))
+    own = F.when(F.size("_cuts") > 0, 2 << 40).otherwise(0) + F.col("_i") * (1 << 24) + salt
+    bucket = F.when(F.col("_n").isNotNull(), own).otherwise(F.pmod(unit, F.lit(buckets)) + F.lit(1 << 40))
+    label = F.when(F.col("_n").isNotNull(), F.get("_to", piece)).otherwise(F.coalesce("label", F.lit(shards)))
+    placed = placed.select("doc_id", "size", "text_crc32", label.cast("int").alias("_label"), bucket.cast("long").alias("_bucket"), unit.alias("_unit"))
     placed = saved(placed)
     cells = placed.groupBy("_label", "_bucket").agg(F.count(F.lit(1)).alias("_cell"))
     cells = saved(cells.withColumn("_before", F.coalesce(F.sum("_cell").over(W.partitionBy("_label").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))))
     have = {r["_label"]: r["n"] for r in cells.groupBy("_label").agg(F.sum("_cell").alias("n")).collect()}
     rank = F.row_number().over(W.partitionBy("_label", "_bucket").orderBy("_unit", "doc_id", "size")) - 1
     placed = placed.withColumn("_rank", rank).join(cells.drop("_cell"), ["_label", "_bucket"]).withColumn("_at", F.col("_before") + F.col("_rank"))
-    quota = {s: n // shards + (s < n % shards) for s in range(shards)}
     # rows beyond their shard's quota, label by label, then rows without links, go to the free slots in order
     spare, seen = F.lit(None).cast("long"), 0
     for s in range(shards):

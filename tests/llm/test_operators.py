@@ -294,6 +294,14 @@ def test_copies_stay_together(spark):
     assert [int((by.loc[f"group {g}"] > 0).sum()) for g in range(len(sizes))] == [1] * len(sizes)
 
 
+def test_only_groups_over_a_shard_are_cut(spark):
+    for sizes, n in (([8000, 3000, 1500, 1001, 700, 20], 70000), ([2] * 8, 16), ([30, 12, 6, 5, 2, 2], 100), ([12] * 8, 96)):
+        by = shards_of_groups(spark, sizes, n)
+        cut = [int((by.loc[f"group {g}"] > 0).sum()) for g in range(len(sizes))]
+        assert [c for s, c in zip(sizes, cut, strict=True) if s <= n // 8] == [1] * sum(s <= n // 8 for s in sizes), (n, cut)
+    assert sharding._packed([25, 6, 4], [10, 10, 10, 10]) == [[(0, 10), (1, 10), (2, 5)], [(3, 6)], [(2, 4)]]
+
+
 # ---- classifiers
 
 
