@@ -288,6 +288,23 @@ def reverse_walk(spark: SparkSession, sf: str) -> DataFrame:
     return _requests(spark, sf).join(a.reverse_walks(), (F.col("tx") == F.col("to_x")) & (F.col("ty") == F.col("to_y"))).select("o_orderkey", "net_id", "from_x", "from_y", "block_delay", "line_delay")
 
 
+_ALL_WALKS = _walk_sql(120, 550, BLOCKS, LINES_X, LINES_Y, chip.nets())
+
+
+@query(f"WITH {REQ_SQL}, {_ALL_WALKS} SELECT o_orderkey, net_id, to_x, to_y, block_delay, line_delay FROM req JOIN walk ON from_x = sx AND from_y = sy")
+def net_walk_all(spark: SparkSession, sf: str) -> DataFrame:
+    """As net_walk, for all 160 nets."""
+    w = _full(spark).walks
+    return _requests(spark, sf).join(w, (F.col("sx") == F.col("from_x")) & (F.col("sy") == F.col("from_y"))).select("o_orderkey", "net_id", "to_x", "to_y", "block_delay", "line_delay")
+
+
+@query(f"WITH {REQ_SQL}, {_ALL_WALKS} SELECT o_orderkey, net_id, from_x, from_y, block_delay, line_delay FROM req JOIN walk ON to_x = tx AND to_y = ty")
+def reverse_walk_all(spark: SparkSession, sf: str) -> DataFrame:
+    """As reverse_walk, for all 160 nets."""
+    w = _full(spark).reverse_walks()
+    return _requests(spark, sf).join(w, (F.col("tx") == F.col("to_x")) & (F.col("ty") == F.col("to_y"))).select("o_orderkey", "net_id", "from_x", "from_y", "block_delay", "line_delay")
+
+
 _ARCS = _values("arc", "arc_ord, fp, tp, delay", [(i, *a) for i, a in enumerate(_M.arc_list)])
 _INTERNAL = _values("internal", "port_id, id", list(_M.internal.items()))
 _MINI = f"{_walk_sql(12, 12, [MINI_BLOCK], _M.vertical, _M.horizontal, _M.net_list)}, {_ARCS}, {_INTERNAL}, macro AS (SELECT a.id AS from_internal, b.id AS to_internal, net_id, arc.delay AS arc_delay FROM arc JOIN net ON net.fp = arc.tp JOIN internal a ON a.port_id = arc.fp JOIN internal b ON b.port_id = net.tp)"

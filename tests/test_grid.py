@@ -65,6 +65,11 @@ def step_walk(a, x, y, dx, dy):
     return at[0], at[1], block, sum(d for p, d in lines if low <= p < high)
 
 
+@pytest.mark.parametrize("name", ["net_walk_all", "reverse_walk_all"])
+def test_all_nets_are_walked(spark, name):
+    assert queries.QUERIES[name](spark, SF).select("net_id").distinct().count() == len(chip.nets()) == 160
+
+
 GRIDS = {"across": [(4, 6, 5, 7, False, 0, True, 11)], "along": [(4, 6, 5, 7, True, 13, False, 0)], "both": [(2, 3, 3, 4, True, 6, True, 7), (7, 9, 6, 8, False, 0, True, 9)], "solid": [(4, 6, 5, 7, False, 0, False, 0)], "free": []}
 
 
