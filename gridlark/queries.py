@@ -431,6 +431,55 @@ def shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
     return reuse.once_for_each(_small(spark, sf), estimate.KEYS, lambda p: exact.kernel_search(p, a, "astar", paths=True)).select("o_orderkey", "delay", "path")
 
 
+# ---- the same over endpoints anywhere on the small grid; no SQL, the recursion is too slow for so many pairs
+
+
+def _spread(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests between any free sites and ports of the small grid, each drawn from the full keys."""
+    sites = [(x, y) for y in range(_M.height) for x in range(_M.width) if not (MINI_BLOCK[2] <= x <= MINI_BLOCK[3] and MINI_BLOCK[0] <= y <= MINI_BLOCK[1])]
+    xs, ys = (F.array(*[F.lit(s[i]) for s in sites]) for i in (0, 1))
+    draw = lambda what, n: F.pmod(F.xxhash64("o_orderkey", "o_custkey", F.lit(what)), F.lit(n)).cast("int")
+    r = _read(spark, sf, "orders").withColumns({"a": draw("source", len(sites)), "b": draw("target", len(sites)), "sp": draw("source port", 6), "tp": draw("target port", 6)})
+    return r.select("o_orderkey", F.get(xs, "a").alias("sx"), F.get(ys, "a").alias("sy"), "sp", F.get(xs, "b").alias("tx"), F.get(ys, "b").alias("ty"), "tp")
+
+
+@query()
+def raw_estimate_spread(spark: SparkSession, sf: str) -> DataFrame:
+    a = _mini(spark)
+    cols = ["raw", "best", "second", "direct", "candidates", "min_initial", "max_initial", "best_initial", "best_x", "best_y", "best_internal"]
+    return reuse.once_for_each(_spread(spark, sf), estimate.KEYS, lambda p: estimate.raw_estimates(p, a, potentials.Potentials(a))).select("o_orderkey", *cols)
+
+
+@query()
+def exact_shortest_spread(spark: SparkSession, sf: str) -> DataFrame:
+    a = _mini(spark)
+    return reuse.once_for_each(_spread(spark, sf), estimate.KEYS, lambda p: exact.kernel_search(p, a, "verify")).select("o_orderkey", "delay")
+
+
+@query()
+def frontier_shortest_spread(spark: SparkSession, sf: str) -> DataFrame:
+    a = _mini(spark)
+    return reuse.once_for_each(_spread(spark, sf), estimate.KEYS, lambda p: exact.frontier_search(p, a, potentials.Potentials(a))).select("o_orderkey", "delay")
+
+
+@query()
+def relative_gap_spread(spark: SparkSession, sf: str) -> DataFrame:
+    a = _mini(spark)
+    return reuse.once_for_each(_spread(spark, sf), estimate.KEYS, lambda p: exact.kernel_search(p, a, "dijkstra", relative=True)).select("o_orderkey", "delay")
+
+
+@query()
+def bounded_search_spread(spark: SparkSession, sf: str) -> DataFrame:
+    a = _mini(spark)
+    return reuse.once_for_each(_spread(spark, sf), estimate.KEYS, lambda p: exact.kernel_search(p, a, "dijkstra", margin=2)).select("o_orderkey", "delay")
+
+
+@query()
+def shortest_paths_spread(spark: SparkSession, sf: str) -> DataFrame:
+    a = _mini(spark)
+    return reuse.once_for_each(_spread(spark, sf), estimate.KEYS, lambda p: exact.kernel_search(p, a, "astar", paths=True)).select("o_orderkey", "delay", "path")
+
+
 # ---- calibration, scores, folds
 
 

@@ -1,5 +1,6 @@
 """Operators on the grid against SQL, brute force and hand-made cases."""
 
+import heapq
 import random
 import re
 
@@ -95,6 +96,46 @@ def some_pairs(a, n, seed):
     return [(*rnd.choice(free), rnd.randrange(ports), *rnd.choice(free), rnd.randrange(ports)) for _ in range(n)]
 
 
+def plain_dijkstra(a, sx, sy, sp, relative=False, box=None):
+    """Costs of all (x, y, port, came by an arc) from one pin, by single steps; no arc follows an arc."""
+    done, todo = {}, [(0, sx, sy, sp, False)]
+    while todo:
+        g, x, y, p, by_arc = heapq.heappop(todo)
+        if (x, y, p, by_arc) in done:
+            continue
+        done[x, y, p, by_arc] = g
+        if not by_arc:
+            for f, t, d in a.arc_list:
+                if f == p:
+                    heapq.heappush(todo, (g + d, x, y, t, True))
+        for f, t, dx, dy in a.net_list:
+            if f == p and (to := step_walk(a, x, y, dx, dy)) and (box is None or box[0] <= to[0] <= box[1] and box[2] <= to[1] <= box[3]):
+                heapq.heappush(todo, (g + to[2] + (0 if relative else to[3]), to[0], to[1], t, False))
+    return done
+
+
+def test_spread_requests_equal_brute_force(spark):
+    reqs_ = {r["o_orderkey"]: (r["sx"], r["sy"], r["sp"], r["tx"], r["ty"], r["tp"]) for r in queries._spread(spark, SF).collect()}
+    assert len(set(reqs_.values())) > 1000
+    for i in (0, 3):
+        assert {(r[i], r[i + 1]) for r in reqs_.values()} == {(x, y) for x in range(12) for y in range(12) if not (4 <= y <= 6 and 5 <= x <= 7)}
+    a = archs.synthetic(spark, 12, 12, 6, blocks=[queries.MINI_BLOCK])
+    got = {n: {r["o_orderkey"]: r["delay"] for r in queries.QUERIES[n](spark, SF).collect()} for n in ("exact_shortest_spread", "frontier_shortest_spread", "relative_gap_spread", "bounded_search_spread", "shortest_paths_spread")}
+    raw = {r["o_orderkey"]: r["raw"] for r in queries.raw_estimate_spread(spark, SF).collect()}
+    assert all(set(g) == set(reqs_) for g in got.values()) and set(raw) == set(reqs_)
+    assert got["exact_shortest_spread"] == got["frontier_shortest_spread"] == got["shortest_paths_spread"]
+    cross = lambda u, v, ls: sum(d for s, d in ls if min(u, v) <= s < max(u, v))
+    for k in sorted(reqs_)[:60]:
+        sx, sy, sp, tx, ty, tp = reqs_[k]
+        same = (sx, sy, sp) == (tx, ty, tp)
+        box = (min(sx, tx) - 2, max(sx, tx) + 2, min(sy, ty) - 2, max(sy, ty) + 2)
+        ask = lambda **o: min((c for b in (False, True) if (c := plain_dijkstra(a, sx, sy, sp, **o).get((tx, ty, tp, b))) is not None), default=None)  # noqa: B023, E731
+        assert got["exact_shortest_spread"][k] == ask() and got["bounded_search_spread"][k] == ask(box=box)
+        rel = ask(relative=True)
+        assert got["relative_gap_spread"][k] == (0 if same else None if rel is None else rel + cross(sx, tx, a.vertical) + cross(sy, ty, a.horizontal))
+        assert raw[k] is None or ask() is None or raw[k] <= ask()
+
+
 SIX = "sx int, sy int, sp int, tx int, ty int, tp int"
 
 
