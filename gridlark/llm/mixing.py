@@ -69,8 +69,10 @@ def mix(docs: DataFrame, size: str = "size", key: str = "doc_id", weights: tuple
     time = lambda e: (F.lit(e) * F.col("source_size") + F.col("_upto")).cast("double") / F.col("target")
     passes = F.array(*[F.struct(time(e).alias("t"), F.lit(e).alias("e")) for e in range(most)])
     live = (F.col(size) > 0) & (F.col("target") > 0)
-    slots = summed.where(live).select("_key", F.col(size).alias("_w"), F.explode(passes).alias("p")).where("p.t <= 2")
-    slots = saved(slots.select("_key", "_w", "p.t", "p.e", F.floor(F.col("p.t") * (buckets * 4)).cast("long").alias("_f")))
+    slots = summed.where(live).select("_key", F.col(size).alias("_w"), F.explode(passes).alias("p"))
+    # cells in order of time, at most 12 * buckets of them: few passes are later than 2, but the stop may be there
+    fold = F.when(F.col("p.t") <= 2, F.col("p.t")).otherwise(F.lit(3.0) - F.lit(2.0) / F.col("p.t"))
+    slots = saved(slots.select("_key", "_w", "p.t", "p.e", F.floor(fold * (buckets * 4)).cast("long").alias("_f")))
     budget = cells.select("source", "source_size").distinct().agg(F.sum("source_size")).first()[0] or 0
     upto = W.orderBy("_f").rowsBetween(W.unboundedPreceding, 0)
     full = slots.groupBy("_f").agg(F.sum("_w").alias("_w")).withColumn("_all", F.sum("_w").over(upto))

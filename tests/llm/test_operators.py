@@ -241,6 +241,14 @@ def test_mixing_equals_sql(spark, docs, nothing):
     assert mixed.columns == docs.columns
 
 
+def test_mix_stops_late_with_one_huge_document(spark):
+    rows = [(i, "a", "x " * 10) for i in range(30)] + [(100 + i, "b", "x " * 10) for i in range(10)] + [(999, "c", "x " * 1000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(df.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))).select("doc_id", "size", "source_size", "target", "taken")
+    same(got, in_duckdb(df.toPandas(), mixing.OP7_SQL).sort_values("doc_id"))
+    assert got.agg(F.sum("taken")).first()[0] == 1200
+
+
 def test_targets_are_filled_in_turn(spark):
     sizes = [("a", 100), ("b", 10000), ("c", 50), (None, 700), ("d", 3)]
     got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
