@@ -1,12 +1,12 @@
-"""Long repeats between documents: shared parts of substring dedup (words) and suffix-array dedup (bytes).
+"""Long repeats between documents of bytes: which parts of which documents meet in one index.
 
 Every window of ``window`` units has an anchor, its smallest k-mer by hash, so equal windows have equal
 anchors at equal places. Windows of a document that follow each other and share an anchor are a
-path; it is known by its anchor and by a hash of all its units. A path that a smaller document has
-too is removed whole. Only at anchors with several paths (branches) do single windows matter.
-
-Spans travel as packed rows (document, blob). A removed span carries a hash of its units and counts
-only where the document's units at that place have that hash.
+path. Only paths at anchors of several documents can hold a shared window, so only these go on, by
+their anchor, to an index that compares them. An anchor with very many different paths is taken
+apart into single windows, and those of several documents go on by their hash. What is hashed here
+chooses what is compared; it removes nothing, but for equal paths that one task holds at once,
+which are pre-aggregated to the one of the smallest document (128 bits of hashes).
 """
 
 from __future__ import annotations
@@ -19,20 +19,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import groups
-from .store import rows_and_bytes, saved
+from .store import freed, partitions, rows_and_bytes, saved
 from .text import BYTE_KEYS, SPACE, Hasher, Words, slices
 
 #: Paths that a task holds before it hands them on.
 FLUSH = 1 << 19
-#: Bytes of packed paths in a block.
-BLOCK_BYTES = 12 << 20
-#: Paths at one anchor from which on its windows go on by their hashes, not by the anchor.
+#: Bytes of packed paths in a block, and of text that one block stands for.
+BLOCK_BYTES = 6 << 20
+#: Different paths at one anchor from which on its windows go on by their hashes, not by the anchor.
 HOT = 4096
 #: Texts with over 1 / COPY_SHARE of all rows are set aside but for their first document.
 COPY_SHARE = 4096
 
 ROWS = "kind int, block int, doc long, blob binary"
 PACKED, REMOVE, EXPAND, EXPAND_HOT = range(4)
+#: A removed span, and a hash of its units: ids may repeat, and it counts only in the rows that have it.
 SPAN = np.dtype([("start", "<u4"), ("end", "<u4"), ("hash", "<u8")])
 
 
@@ -103,26 +104,27 @@ def by_document(kind: int, doc: np.ndarray, spans: np.ndarray, blocks: int) -> I
         yield _rows(kind, ids % blocks, ids, [spans[x:y].tobytes() for x, y in zip(c[:-1].tolist(), c[1:].tolist(), strict=True)])
 
 
-def _pack(a: np.ndarray, s: np.ndarray, doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> bytes:
-    """Entries sorted by document. Byte planes, so that what hardly changes is compressed away."""
-    step = np.diff(doc, prepend=np.int64(0)).astype("<i8")
-    planes = [step.view(np.uint8).reshape(-1, 8).T, a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 1:].T, s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T]
-    planes += [start.astype("<u4").view(np.uint8).reshape(-1, 4).T, length.astype("<u4").view(np.uint8).reshape(-1, 4).T]
-    return np.concatenate([np.ascontiguousarray(p).ravel() for p in planes]).tobytes()
+_PLANES = ((8, 0, 8), (7, 1, 8), (6, 0, 8), (4, 0, 4))
+_WIDTH = sum(p[0] for p in _PLANES)
 
 
-_WIDTH = 8 + 7 + 6 + 4 + 4
+def _pack(a: np.ndarray, s: np.ndarray, doc: np.ndarray, start: np.ndarray) -> bytes:
+    """Entries sorted by document. Byte planes, so that what hardly changes is compressed away."""
+    cols = (np.diff(doc, prepend=np.int64(0)).astype("<i8"), a.astype("<u8"), s.astype("<u8"), start.astype("<u4"))
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(-1, total)[:, left : left + width].T).ravel() for c, (width, left, total) in zip(cols, _PLANES, strict=True)]
+    return np.concatenate(planes).tobytes()
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+    """(doc, anchor without its lowest byte, 48 bits of the hash, start)."""
     raw = np.frombuffer(blob, np.uint8).reshape(_WIDTH, -1)
     n, out, at = raw.shape[1], [], 0
-    for width, left, total in ((8, 0, 8), (7, 1, 8), (6, 0, 8), (4, 0, 4), (4, 0, 4)):
+    for width, left, total in _PLANES:
         full = np.zeros((n, total), np.uint8)
         full[:, left : left + width] = raw[at : at + width].T
         out.append(full.view("<u8" if total == 8 else "<u4").ravel())
         at += width
-    return np.cumsum(out[0].view(np.int64)), out[1], out[2], out[3].astype(np.int64), out[4].astype(np.int64)
+    return np.cumsum(out[0].view(np.int64)), out[1], out[2], out[3].astype(np.int64)
 
 
 def _least(a: np.ndarray, s: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,36 +153,36 @@ class Outbox:
             return
         a, s, doc, start, end = (np.concatenate(x) for x in zip(*self.held, strict=True))
         self.held, self.count = [], 0
-        order, _, least = _least(a, s & _S48, doc)
+        order, _, least = _least(a, s, doc)
         late = doc[order] > least
         out = order[late]
-        yield from by_document(REMOVE, doc[out], _spans(start[out], end[out], s[out]), self.blocks)
+        yield from by_document(REMOVE, doc[out], spans_of(start[out], end[out], s[out]), self.blocks)
         keep = np.sort(order[~late])
-        a, s, doc, start, end = a[keep], s[keep], doc[keep], start[keep], end[keep]
-        block = ((a >> np.uint64(40)) % np.uint64(self.blocks)).astype(np.int64)
-        order = np.lexsort((doc, block))
-        cut = np.searchsorted(block[order], np.arange(self.blocks + 1))
-        some = np.flatnonzero(np.diff(cut))
-        for x in range(0, len(some), 64):
-            part = some[x : x + 64]
-            blobs = []
-            for i in part.tolist():
-                e = order[cut[i] : cut[i + 1]]
-                blobs.append(_pack(a[e], s[e], doc[e], start[e], end[e] - start[e]))
-            yield _rows(PACKED, part, None, blobs)
+        a, s, doc, start = a[keep], s[keep], doc[keep], start[keep]
+        yield from dealt_out(block_of(a, self.blocks), doc, lambda e: _pack(a[e], s[e], doc[e], start[e]))
 
 
-_S48 = np.uint64((1 << 48) - 1)
+def block_of(key: np.ndarray, blocks: int) -> np.ndarray:
+    return ((key >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
 
 
-def _spans(start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
+def dealt_out(block: np.ndarray, then: np.ndarray, pack) -> Iterator[pa.RecordBatch]:
+    """A packed row for each block that has entries, its entries in the order of ``then``."""
+    order = np.lexsort((then, block))
+    cut = np.flatnonzero(np.concatenate([[True], block[order][1:] != block[order][:-1], [True]])) if len(order) else np.zeros(1, np.int64)
+    for x in range(0, len(cut) - 1, 64):
+        c = cut[x : x + 65].tolist()
+        yield _rows(PACKED, block[order[c[:-1]]], None, [pack(order[lo:hi]) for lo, hi in zip(c[:-1], c[1:], strict=True)])
+
+
+def spans_of(start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
     out = np.empty(len(start), SPAN)
-    out["start"], out["end"], out["hash"] = start, end, h & _S48
+    out["start"], out["end"], out["hash"] = start, end, h
     return out
 
 
-def resolve(branches: bool, blocks: int):
-    """Of the packed entries of each block: spans that a smaller document has, and starts of paths at branches."""
+def resolve(blocks: int, hot: int | None):
+    """Of the packed entries of each block: starts of those whose anchor several documents have; over ``hot`` paths apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         others: list[pa.RecordBatch] = []
@@ -196,42 +198,39 @@ def resolve(branches: bool, blocks: int):
         for tile in groups(packed(), "block"):
             yield from others
             others.clear()
-            doc, a, s, start, length = (np.concatenate(x) for x in zip(*map(_unpack, tile["blob"].to_pylist()), strict=True))
-            order = np.argsort(a, kind="stable")
+            doc, a, s, start = (np.concatenate(x) for x in zip(*map(_unpack, tile["blob"].to_pylist()), strict=True))
+            order = np.argsort(a)
             same = a[order][1:] == a[order][:-1]
             twin = np.zeros(len(a), bool)
             twin[1:] = same
             twin[:-1] |= same
             order = order[twin]
-            a, s, doc, start, length = a[order], s[order], doc[order], start[order], length[order]
-            order, new, least = _least(a, s, doc)
-            a, s, doc, start, length = a[order], s[order], doc[order], start[order], length[order]
-            late = doc > least
-            yield from by_document(REMOVE, doc[late], _spans(start[late], (start + length)[late], s[late]), blocks)
-            if branches and len(a):
-                first = np.concatenate([[True], a[1:] != a[:-1]])
-                at = np.flatnonzero(first)
-                which = np.cumsum(first) - 1
-                n_paths = np.add.reduceat(new.astype(np.int64), at)
-                docs = np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at)
-                hot = n_paths > HOT
-                go = (n_paths > 1) & docs
-                for kind, some in ((EXPAND, go & ~hot), (EXPAND_HOT, go & hot)):
-                    e = some[which] & ~late
-                    yield from by_document(kind, doc[e], start[e].astype("<u4"), blocks)
+            if not len(order):
+                continue
+            a, s, doc, start = a[order], s[order], doc[order], start[order]
+            order = np.lexsort((s, a))
+            a, s, doc, start = a[order], s[order], doc[order], start[order]
+            first = np.concatenate([[True], a[1:] != a[:-1]])
+            at, which = np.flatnonzero(first), np.cumsum(first) - 1
+            shared = np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at)
+            first[1:] |= s[1:] != s[:-1]
+            many = np.add.reduceat(first.astype(np.int64), at) > hot if hot else np.zeros(len(at), bool)
+            for kind, some in ((EXPAND, shared & ~many), (EXPAND_HOT, shared & many)):
+                e = some[which]
+                yield from by_document(kind, doc[e], start[e].astype("<u4"), blocks)
         yield from others
 
     return run
 
 
-def find_paths(k: int, window: int, words: bool, blocks: int):
+def find_paths(k: int, window: int, blocks: int):
     """Packed paths of all documents (doc, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         box = Outbox(blocks)
         for batch in batches:
             ids = batch.column("doc").to_numpy()
-            for lo, hi, units in unit_slices(batch, words):
+            for lo, hi, units in unit_slices(batch, False):
                 row, start, end, anchor, _ = units.paths(k, window)
                 base = units.first[row]
                 yield from box.add(anchor, units.hasher.windows(start, end), ids[lo:hi][row], start - base, end - base)
@@ -244,23 +243,38 @@ def listed(blobs: pa.Array, lo: int, hi: int, dtype) -> list[np.ndarray]:
     return [np.concatenate([np.frombuffer(b, dtype) for b in x]) if x else np.zeros(0, dtype) for x in blobs.slice(lo, hi - lo).to_pylist()]
 
 
+def _wanted(units: Units, starts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([x.astype(np.int64) + f for x, f in zip(starts, units.first[:-1], strict=True)]) if starts else np.zeros(0, np.int64)
+
+
 def chosen_paths(units: Units, k: int, window: int, starts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     """paths() whose first unit is listed for their document."""
+    wanted = np.zeros(len(units.items) + 1, bool)
+    wanted[_wanted(units, starts)] = True
+    if not wanted.any():
+        none = np.zeros(0, np.int64)
+        return none, none, none, np.zeros(0, np.uint64), none
     found = units.paths(k, window)
-    wanted = np.concatenate([x.astype(np.int64) + f for x, f in zip(starts, units.first[:-1], strict=True)]) if starts else np.zeros(0, np.int64)
-    use = np.isin(found[1], wanted)
+    use = wanted[found[1]]
     return tuple(x[use] for x in found)
 
 
-def find_windows(k: int, window: int, words: bool, blocks: int, column: str = "hot"):
-    """Packed single windows of the listed paths; a window is known by two hashes of its units."""
+def chosen_windows(units: Units, window: int, starts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first unit, second hash) of the listed windows."""
+    w = np.sort(_wanted(units, starts))
+    row = np.searchsorted(units.first, w, "right") - 1
+    return row, w, Hasher(units.items ^ np.uint64(0x5851F42D4C957F2D), 1).windows(w, w + window)
+
+
+def find_windows(k: int, window: int, blocks: int):
+    """Packed single windows of the paths listed as ``hot``; a window is known by two hashes of its units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         box = Outbox(blocks)
         for batch in batches:
             ids = batch.column("doc").to_numpy()
-            for lo, hi, units in unit_slices(batch, words):
-                row, start, end, _, _ = chosen_paths(units, k, window, listed(batch.column(column), lo, hi, "<u4"))
+            for lo, hi, units in unit_slices(batch, False):
+                row, start, end, _, _ = chosen_paths(units, k, window, listed(batch.column("hot"), lo, hi, "<u4"))
                 many = end - start - window + 1
                 w = np.repeat(start, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 row = np.repeat(row, many)
@@ -285,34 +299,31 @@ def set_aside(docs: DataFrame, key: str) -> tuple[DataFrame, int]:
     return texts.withColumn("sha", sha).join(F.broadcast(often), "sha", "left").select("doc", "text", "first"), size
 
 
-def removed_spans(texts: DataFrame, size: int, k: int, window: int, words: bool, segments=None) -> DataFrame:
+def removed_spans(texts: DataFrame, size: int, k: int, window: int, pieces, index) -> DataFrame:
     """doc and spans (list of packed SPANs) of the documents with windows that a smaller document has.
 
-    segments(expanded, blocks, parts): what finds the removed windows of the paths at branches from
-    (doc, text, paths); None: by hashes of single windows, as always at anchors with very many paths.
+    pieces(blocks) makes packed pieces of (doc, text, paths, windows), and index(blocks) the removed
+    spans of those of each block. Blocks stand for BLOCK_BYTES of text each at any size; where
+    there are more of them than partitions, a task works on one after the other.
     """
     spark = texts.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 16, size // BLOCK_BYTES))
-    blocks = 2 * parts
+    blocks, parts = partitions(spark, size, BLOCK_BYTES)
     others = texts.where("doc is not null and (first is null or doc <= first)").select("doc", "text")
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(parts, "block").sortWithinPartitions("block")
 
-    found = saved(dealt(others.mapInArrow(find_paths(k, window, words, blocks), ROWS)).mapInArrow(resolve(True, blocks), ROWS))
-    spans = found.where(F.col("kind") == REMOVE).select("doc", "blob")
-    listed_ = found.where(F.col("kind").isin(EXPAND, EXPAND_HOT)).groupBy("doc").agg(
-        F.collect_list(F.when(F.col("kind") == EXPAND, F.col("blob"))).alias("paths"), F.collect_list(F.when(F.col("kind") == EXPAND_HOT, F.col("blob"))).alias("hot")
-    )
-    open_ = others.join(listed_, "doc")
-    if segments is None:
-        open_ = open_.select("doc", "text", F.concat("paths", "hot").alias("hot"))
-    else:
-        more = segments(open_.select("doc", "text", "paths"), blocks, parts)
-        spans = spans.unionByName(more.select("doc", "blob"))
-        open_ = open_.where(F.size("hot") > 0).select("doc", "text", "hot")
-    single = saved(dealt(open_.mapInArrow(find_windows(k, window, words, blocks), ROWS)).mapInArrow(resolve(False, blocks), ROWS))
-    spans = spans.unionByName(single.where(F.col("kind") == REMOVE).select("doc", "blob"))
+    of = lambda df, *kinds: df.where(F.col("kind").isin(*kinds))
+    found = saved(dealt(others.mapInArrow(find_paths(k, window, blocks), ROWS)).mapInArrow(resolve(blocks, HOT), ROWS))
+    freed(spark)
+    hot = others.join(of(found, EXPAND_HOT).groupBy("doc").agg(F.collect_list("blob").alias("hot")), "doc")
+    single = saved(dealt(hot.mapInArrow(find_windows(k, window, blocks), ROWS)).mapInArrow(resolve(blocks, None), ROWS))
+    lists = of(found, EXPAND).select("doc", F.col("blob").alias("p"), F.lit(None).cast("binary").alias("w"))
+    lists = lists.unionByName(of(single, EXPAND).select("doc", F.lit(None).cast("binary").alias("p"), F.col("blob").alias("w")))
+    lists = lists.groupBy("doc").agg(F.collect_list("p").alias("paths"), F.collect_list("w").alias("windows"))
+    compared = saved(dealt(others.join(lists, "doc").mapInArrow(pieces(blocks), ROWS)).mapInArrow(index(blocks), ROWS))
+    freed(spark)
+    spans = of(found, REMOVE).unionByName(of(single, REMOVE)).unionByName(of(compared, REMOVE))
     return spans.groupBy("doc").agg(F.collect_list("blob").alias("spans"))
 
 
@@ -325,9 +336,8 @@ def marked(units: Units, spans: list[np.ndarray], whole: np.ndarray) -> np.ndarr
     start, end = s["start"].astype(np.int64) + base, s["end"].astype(np.int64) + base
     ok = end <= units.first[row + 1] if len(row) else np.zeros(0, bool)
     start, end, s = start[ok], end[ok], s[ok]
-    ok = (units.hasher.windows(start, end) & _S48) == s["hash"]
+    ok = units.hasher.windows(start, end) == s["hash"]
     d = np.zeros(n + 1, np.int64)
     np.add.at(d, start[ok], 1)
     np.add.at(d, end[ok], -1)
-    all_ = np.repeat(whole, np.diff(units.first))
-    return (np.cumsum(d[:n]) > 0) | all_
+    return (np.cumsum(d[:n]) > 0) | np.repeat(whole, np.diff(units.first))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -12,14 +13,35 @@ from ..cluster import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a local folder of our own only where it is unset."""
+    """The session's ``spark.checkpoint.dir``. Where it is unset: a local folder in local mode, else an error.
+
+    On a cluster each machine would write to its own folder, and what is read back would lack rows.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="gridlark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def partitions(spark: SparkSession, size: int, block_bytes: int, most: int = 1 << 16) -> tuple[int, int]:
+    """(blocks, partitions) for ``size`` bytes of text: blocks of ``block_bytes`` at any size, in ``most`` partitions at most.
+
+    A task that has several blocks works on one after the other, so its memory is that of one block.
+    """
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(most, size // (2 * block_bytes)))
+    return max(2 * parts, size // block_bytes), parts
+
+
+def freed(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 

@@ -8,152 +8,201 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import groups
-from .repeats import PACKED, REMOVE, ROWS, SPAN, _rows, _spans, by_document, chosen_paths, listed, marked, removed_spans, set_aside, unit_slices
-from .store import saved, table
+from .repeats import PACKED, REMOVE, SPAN, block_of, by_document, chosen_paths, chosen_windows, dealt_out, listed, marked, removed_spans, set_aside, spans_of, unit_slices
+from .store import table
 from .suffixes import suffix_order
 from .text import BYTE_KEYS, Hasher
 
 WINDOW, K = 50, 20
-#: Bytes of one index at most, but for a single anchor's paths.
+#: Bytes of one index at most, but for a single anchor's pieces.
 INDEX_BYTES = 1 << 20
-#: Bytes of paths that a task holds before it hands them on.
+#: Bytes of pieces that a task holds before it hands them on.
 FLUSH_BYTES = 8 << 20
-ENTRY = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("length", "<u2"), ("offset", "<u2")])
+ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("length", "<u2"), ("offset", "<u2")])
+HEADER = 8
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... n[i] times, one after the other."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 class RunLengthIndex:
-    """Run-compressed Burrows-Wheeler transform of pieces that end with 0, with the suffixes at run ends sampled."""
+    """Run-compressed Burrows-Wheeler transform of pieces that end with 0, with the suffixes at the ends of runs sampled.
+
+    Rows of one run keep their neighbours when all step to the left, so the suffix before a position
+    in order of what follows is known everywhere from the run ends alone: where a run begins, the
+    symbol's rows before it ended a run, and the two samples are neighbours one step to the left.
+    From there to the left both go on together, and their match grows by a symbol with each step.
+    Kept are the runs and, sorted by position, each run head's neighbour and match; nothing else.
+    """
 
-    def __init__(self, text: np.ndarray, left: np.ndarray):
-        order = suffix_order(text, left, 256)
+    def __init__(self, text: np.ndarray, left: np.ndarray, window: int):
+        order = suffix_order(text, left, int(text.max(initial=1)))
         bwt = text[order - 1]
         head = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
-        self.start, self.char = head, bwt[head]
-        length = np.diff(np.append(head, len(text)))
-        below = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=257))])
+        self.char, self.length = bwt[head], np.diff(np.append(head, len(text)))
+        self.first_sample, self.last_sample = order[head], order[head + self.length - 1]
+        stop = np.flatnonzero(text == 0)  # ends are in order of position, and match in nothing
+        del order, bwt
         by_char = np.argsort(self.char, kind="stable")
-        before = np.cumsum(length[by_char]) - length[by_char]
-        first = np.searchsorted(self.char[by_char], np.arange(258))
-        first_before = np.append(before, len(text))[np.minimum(first, len(before))]
-        self.base = np.empty(len(head), np.int64)
-        self.base[by_char] = below[self.char[by_char]] + before - first_before[self.char[by_char]]
-        self.first_sample, self.last_sample = order[head], order[head + length - 1]
-        self.order = order
-
-    def step(self, rows: np.ndarray) -> np.ndarray:
-        """From the row of a suffix to that of the suffix one to the left."""
-        run = np.searchsorted(self.start, rows, "right") - 1
-        return self.base[run] + rows - self.start[run]
-
-
-def _long_matches(text: np.ndarray, left: np.ndarray, doc: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
-    """True at positions whose next ``window`` symbols also start in a piece of a smaller document.
-
-    Rows next to each other that agree in ``window`` symbols are a class, and have its smallest
-    document. All pieces are streamed through the index together, from their ends to the left; each
-    step gives a suffix's row, and its class says whether the match there is long and from before.
-    """
-    index = RunLengthIndex(text, left)
-    order = index.order
-    eight = np.zeros(len(text) + 8, np.uint64)
-    raw = np.append(text & 0xFF, np.zeros(16, text.dtype)).astype(np.uint64)
-    for j in range(8):
-        eight |= raw[j : j + len(eight)] << np.uint64(8 * j)
-    fits = left[order] > window
-    same = fits[1:] & fits[:-1]
-    at = np.flatnonzero(same)
-    for j in sorted({*range(0, window - 7, 8), window - 8}):
-        at = at[eight[order[at + 1] + j] == eight[order[at] + j]]
-    joined = np.zeros(len(order), bool)
-    joined[at + 1] = True
-    head = np.flatnonzero(~joined)
-    least = np.minimum.reduceat(doc[order], head)
-    # only classes of several documents are kept: where they begin, end, and their smallest document
-    most = np.maximum.reduceat(doc[order], head)
-    tail = np.append(head[1:], len(order))
-    mixed = least < most
-    head, tail, least = head[mixed], tail[mixed], least[mixed]
-    out = np.zeros(len(text), bool)
-    if not len(head):
-        return out
-    rows, at = np.arange(len(ends)), ends.copy()  # the ends are the first rows
-    alive = np.arange(len(ends))
-    starts = ends - left[np.concatenate([[0], ends[:-1] + 1])] + 1
-    while True:
-        more = at[alive] > starts[alive]
-        alive = alive[more]
-        if not len(alive):
-            return out
-        rows[alive] = index.step(rows[alive])
-        at[alive] -= 1
-        c = np.searchsorted(head, rows[alive], "right") - 1
-        hit = (c >= 0) & (rows[alive] < tail[c]) & (doc[at[alive]] > least[c])
-        out[at[alive[hit]]] = True
-
-
-def _find_segments(k: int, window: int, blocks: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        count = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            entries = np.concatenate([h[0] for h in held])
-            data = np.concatenate([h[1] for h in held])
-            first = np.cumsum(entries["length"].astype(np.int64)) - entries["length"]
-            block = ((entries["anchor"] >> np.uint64(40)) % np.uint64(blocks)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            cut = np.searchsorted(block[order], np.arange(blocks + 1))
-            some = np.flatnonzero(np.diff(cut))
-            for x in range(0, len(some), 64):
-                part, blobs = some[x : x + 64], []
-                for i in part.tolist():
-                    e = order[cut[i] : cut[i + 1]]
-                    n = entries["length"][e].astype(np.int64)
-                    at = np.repeat(first[e], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    blobs.append(np.int64(len(e)).tobytes() + entries[e].tobytes() + data[at].tobytes())
-                yield _rows(PACKED, part, None, blobs)
-
-        for batch in batches:
-            ids = batch.column("doc").to_numpy()
-            for lo, hi, units in unit_slices(batch, False):
-                row, start, end, anchor, place = chosen_paths(units, k, window, listed(batch.column("paths"), lo, hi, "<u4"))
-                if not len(row):
-                    continue
-                entries = np.empty(len(row), ENTRY)
-                entries["anchor"], entries["doc"], entries["start"], entries["length"] = anchor, ids[lo:hi][row], start - units.first[row], end - start
-                entries["offset"] = place - start
-                n = end - start
-                at = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                held.append((entries, units.data[at]))
-                count += len(at)
-                if count >= FLUSH_BYTES:
-                    yield from flush()
-                    held, count = [], 0
-        if count:
-            yield from flush()
-
-    return run
-
-
-def _may_match(entries: np.ndarray, data: np.ndarray, k: int, window: int) -> np.ndarray:
-    """Paths that share their anchor and half a window's rest on one side with another path.
+        run, before = by_char[1:], by_char[:-1]
+        run, before = run[self.char[run] > 0], before[self.char[run] > 0]
+        # the last of all ends comes before the least symbol
+        at, source = self.first_sample[run] - 1, np.where(self.char[before] > 0, self.last_sample[before] - 1, len(text) - 1)
+        order = np.argsort(np.concatenate([at, stop]))
+        self.at = np.concatenate([at, stop])[order]
+        self.source = np.concatenate([source, np.append(-1, stop[:-1])])[order]
+        self.match = np.concatenate([_common(text, at, source, window), np.zeros(len(stop), np.int64)])[order]
+        self.n = len(text)
+
+    def statistics(self) -> tuple[np.ndarray, np.ndarray]:
+        """(source, match) of every position, streamed from each sampled position to the left; source -1: none."""
+        steps = np.diff(self.at, prepend=-1)
+        if self.n > (last := int(self.at[-1]) + 1 if len(self.at) else 0):
+            steps = np.append(steps, self.n - last)
+        which = np.repeat(np.arange(len(steps)), steps)
+        at, source, match = (np.append(x, y) for x, y in ((self.at, self.n - 1), (self.source, -1), (self.match, 0)))
+        back = at[which] - np.arange(self.n)
+        none = source[which] < 0
+        return np.where(none, -1, source[which] - back), np.where(none, 0, match[which] + back)
+
+
+def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """How many symbols from a[i] and from b[i] are equal, up to the end of either piece; over ``most`` counts as that."""
+    n = len(text)
+    raw = np.zeros(n + 16, np.uint64)
+    raw[:n] = text
+    eight = raw[: n + 8].copy()
+    for j in range(1, 8):
+        eight |= raw[j : j + n + 8] << np.uint64(8 * j)
+    out = np.full(len(a), most, np.int64)
+    live = np.arange(len(a))
+    for j in range(0, most, 8):
+        x, y = eight[np.minimum(a[live] + j, n + 7)], eight[np.minimum(b[live] + j, n + 7)]
+        differ = x ^ y
+        end = (x - np.uint64(0x0101010101010101)) & ~x & np.uint64(0x8080808080808080)  # lowest mark: the first 0
+        differ |= end
+        stop = differ != 0
+        low = differ[stop]
+        low &= ~low + np.uint64(1)
+        out[live[stop]] = np.minimum(most, j + (np.log2(low.astype(np.float64)).astype(np.int64) >> 3))
+        live = live[~stop]
+        if not len(live):
+            break
+    return out
+
+
+def _earliest(text: np.ndarray, left: np.ndarray, window: int) -> np.ndarray:
+    """The first position where the next ``window`` symbols of each position start, from the index' matching statistics."""
+    source, match = RunLengthIndex(text, left, window).statistics()
+    here = np.arange(len(text))
+    long = (match >= window) & (left > window)
+    up = np.where(long, source, here)
+    first = here.copy()
+    live = np.flatnonzero(long)
+    while len(live):  # to the head of each chain of matches
+        to = up[up[live]]
+        moved = to != up[live]
+        up[live] = to
+        live = live[moved]
+    np.minimum.at(first, up[long], here[long])
+    return first[up]
+
+
+def _packed(entries: np.ndarray, first: np.ndarray, data: np.ndarray) -> bytes:
+    return np.int64(len(entries)).tobytes() + entries.tobytes() + data[_spread(first, entries["length"].astype(np.int64))].tobytes()
+
+
+def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    heads, datas = [], []
+    for blob in blobs:
+        n = int(np.frombuffer(blob, np.int64, 1)[0])
+        heads.append(np.frombuffer(blob, ENTRY, n, HEADER))
+        datas.append(np.frombuffer(blob, np.uint8, offset=HEADER + n * ENTRY.itemsize))
+    return np.concatenate(heads), np.concatenate(datas)
+
+
+def _equal(entries: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, number of the piece, its smallest document, hash): entries in order of piece, equal bytes being one (128 bits of hashes)."""
+    n = entries["length"].astype(np.int64)
+    first = np.cumsum(n) - n
+    one, two = (Hasher(BYTE_KEYS[i][data]).windows(first, first + n) for i in (0, 1))
+    order = np.argsort(one ^ entries["key"], kind="stable")
+    one, two, doc = one[order], two[order], entries["doc"][order]
+    new = np.ones(len(order), bool)
+    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    at = np.flatnonzero(new)
+    return order, np.cumsum(new) - 1, np.minimum.reduceat(doc, at) if len(at) else doc, two
+
+
+def _find_pieces(k: int, window: int):
+    """Texts of the listed paths and windows, by block of their anchor. Equal ones of a task go on for their smallest document."""
+
+    def of(blocks: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            count = 0
+
+            def flush() -> Iterator[pa.RecordBatch]:
+                entries, data = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+                n = entries["length"].astype(np.int64)
+                first = np.cumsum(n) - n
+                order, piece, least, h = _equal(entries, data)
+                copy = entries["doc"][order] > least[piece]
+                late = order[copy]
+                e = entries[late]
+                yield from by_document(REMOVE, e["doc"], spans_of(e["start"], e["start"] + e["length"], h[copy]), blocks)
+                keep = np.ones(len(entries), bool)
+                keep[late] = False
+                keep = np.flatnonzero(keep)
+                e, f = entries[keep], first[keep]
+                yield from dealt_out(block_of(e["key"], blocks), e["key"], lambda i: _packed(e[i], f[i], data))
+
+            for batch in batches:
+                ids = batch.column("doc").to_numpy()
+                for lo, hi, units in unit_slices(batch, False):
+                    row, start, end, key, place = chosen_paths(units, k, window, listed(batch.column("paths"), lo, hi, "<u4"))
+                    row2, start2, key2 = chosen_windows(units, window, listed(batch.column("windows"), lo, hi, "<u4"))
+                    row, start, end, key = (np.concatenate(x) for x in ((row, row2), (start, start2), (end, start2 + window), (key, key2)))
+                    if not len(row):
+                        continue
+                    entries = np.empty(len(row), ENTRY)
+                    entries["key"], entries["doc"], entries["start"], entries["length"] = key, ids[lo:hi][row], start - units.first[row], end - start
+                    entries["offset"] = np.append(place, start2) - start
+                    held.append((entries, units.data[_spread(start, end - start)]))
+                    count += len(held[-1][1])
+                    if count >= FLUSH_BYTES:
+                        yield from flush()
+                        held, count = [], 0
+            if count:
+                yield from flush()
+
+        return run
+
+    return of
+
+
+def _may_match(entries: np.ndarray, first: np.ndarray, data: np.ndarray, k: int, window: int) -> np.ndarray:
+    """Pieces that share their anchor and half a window's rest on one side with another piece.
 
     A window that two paths share holds the anchor at one place in both, so of its other bytes at
-    least half are on one side of it, and agree. Others can't match and are not indexed.
+    least half are on one side of it, and agree. Others can't match and are not indexed. A single
+    window (of one length, so with nothing beside itself) has no equal among different pieces.
     """
     half = (window - k) // 2
-    first = np.cumsum(entries["length"].astype(np.int64)) - entries["length"]
     at = first + entries["offset"]
     hasher = Hasher(BYTE_KEYS[0][data])
     keep = np.zeros(len(entries), bool)
     for left, right, fits in ((half, 0, entries["offset"] >= half), (0, half, entries["offset"].astype(np.int64) + k + half <= entries["length"])):
         some = np.flatnonzero(fits)
         h = hasher.windows(at[some] - left, at[some] + k + right)
-        order = np.argsort(h, kind="stable")
+        order = np.argsort(h)
         same = h[order][1:] == h[order][:-1]
         twin = np.zeros(len(some), bool)
         twin[1:] = same
@@ -162,66 +211,79 @@ def _may_match(entries: np.ndarray, data: np.ndarray, k: int, window: int) -> np
     return keep
 
 
-def _index_blocks(k: int, window: int, blocks: int):
-    def one(entries: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
-        n = entries["length"].astype(np.int64)
-        size = n + 1
-        ends = np.cumsum(size) - 1
-        text = np.zeros(int(size.sum()), np.int64)
-        inside = np.ones(len(text), bool)
-        inside[ends] = False
-        text[inside] = data.astype(np.int64) + 1
-        left = np.repeat(ends, size) - np.arange(len(text)) + 1
-        which = np.repeat(np.arange(len(n)), size)
-        hit = np.flatnonzero(_long_matches(text, left, entries["doc"][which], ends, window))
-        if not len(hit):
-            return
-        new = np.ones(len(hit), bool)
-        new[1:] = (hit[1:] != hit[:-1] + 1) | (which[hit[1:]] != which[hit[:-1]])
-        at = np.flatnonzero(new)
-        first, last = hit[at], hit[np.append(at[1:], len(hit)) - 1] + window
-        hasher = Hasher(BYTE_KEYS[1][np.maximum(text - 1, 0)])
-        piece = which[first]
-        base = entries["start"].astype(np.int64)[piece] - (ends[piece] - n[piece])
-        yield from by_document(REMOVE, entries["doc"][piece], _spans(first + base, last + base, hasher.windows(first, last)), blocks)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tile in groups(batches, "block"):
-            heads, datas = [], []
-            for blob in tile["blob"].to_pylist():
-                n = int(np.frombuffer(blob, np.int64, 1)[0])
-                heads.append(np.frombuffer(blob, ENTRY, n, 8))
-                datas.append(np.frombuffer(blob, np.uint8, offset=8 + n * ENTRY.itemsize))
-            entries, data = np.concatenate(heads), np.concatenate(datas)
-            first = np.cumsum(entries["length"].astype(np.int64)) - entries["length"]
-            use = _may_match(entries, data, k, window)
-            if not use.any():
-                continue
-            entries, first = entries[use], first[use]
-            order = np.argsort(entries["anchor"], kind="stable")
-            entries, first = entries[order], first[order]
-            total = np.cumsum(entries["length"].astype(np.int64))
-            edges = np.flatnonzero(np.concatenate([[True], entries["anchor"][1:] != entries["anchor"][:-1], [True]]))
-            lo = 0
-            while lo < len(edges) - 1:  # whole anchors together
-                start = total[edges[lo] - 1] if edges[lo] else 0
-                hi = max(lo + 1, int(np.searchsorted(total[edges[1:] - 1], start + INDEX_BYTES, "right")))
-                part = slice(edges[lo], edges[hi])
-                n = entries["length"][part].astype(np.int64)
-                at = np.repeat(first[part], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield from one(entries[part], data[at])
-                lo = hi
-
-    return run
-
+def _index_blocks(k: int, window: int):
+    def of(blocks: int):
+        def one(docs: np.ndarray, n: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(piece, first, end) of the runs of symbols of each piece that a window of a smaller document covers."""
+            size = n + 1
+            ends = np.cumsum(size) - 1
+            known, symbol = np.unique(data, return_inverse=True)
+            text = np.zeros(int(size.sum()), np.int64)
+            inside = np.ones(len(text), bool)
+            inside[ends] = False
+            text[inside] = symbol + 1
+            left = np.repeat(ends, size) - np.arange(len(text)) + 1
+            which = np.repeat(np.arange(len(n)), size)
+            hit = np.flatnonzero(docs[which] > docs[which[_earliest(text, left, window)]])
+            if not len(hit):
+                return hit, hit, hit
+            new = np.ones(len(hit), bool)
+            new[1:] = (hit[1:] != hit[:-1] + 1) | (which[hit[1:]] != which[hit[:-1]])
+            at = np.flatnonzero(new)
+            piece = which[hit[at]]
+            base = ends[piece] - n[piece]
+            return piece, hit[at] - base, hit[np.append(at[1:], len(hit)) - 1] + window - base
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for tile in groups(batches, "block"):
+                blobs = tile.filter(pc.equal(tile["kind"], PACKED))["blob"].to_pylist()
+                yield from tile.filter(pc.not_equal(tile["kind"], PACKED)).to_batches()
+                if not blobs:
+                    continue
+                entries, data = _unpacked(blobs)
+                # equal pieces are indexed once, for their smallest document
+                order, piece, least, h = _equal(entries, data)
+                entries = entries[order]
+                late = entries["doc"] > least[piece]
+                e = entries[late]
+                yield from by_document(REMOVE, e["doc"], spans_of(e["start"], e["start"] + e["length"], h[late]), blocks)
+                n = entries["length"].astype(np.int64)
+                length = np.zeros(len(order), np.int64)
+                length[order] = n
+                first = (np.cumsum(length) - length)[order]
+                at = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
+                several = np.bincount(piece, late) > 0
+                some = at[several | _may_match(entries[at], first[at], data, k, window)]
+                # by anchor, and in an index by document: the first place of a window is in its smallest
+                some = some[np.lexsort((least[piece[some]], entries["key"][some]))]
+                key, total = entries["key"][some], np.cumsum(n[some])
+                edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(some) else np.zeros(1, np.int64)
+                lo = 0
+                found: list[tuple[np.ndarray, ...]] = []
+                while lo < len(edges) - 1:  # whole anchors together
+                    start = total[edges[lo] - 1] if edges[lo] else 0
+                    hi = max(lo + 1, int(np.searchsorted(total[edges[1:] - 1], start + INDEX_BYTES, "right")))
+                    part = some[edges[lo] : edges[hi]]
+                    part = part[np.argsort(least[piece[part]], kind="stable")]
+                    p, a, b = one(least[piece[part]], n[part], data[_spread(first[part], n[part])])
+                    found.append((piece[part[p]], a, b))
+                    lo = hi
+                if not found:
+                    continue
+                p, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                # what goes of a piece goes at each place where its smallest document has it
+                order = np.argsort(p, kind="stable")
+                p, a, b = p[order], a[order], b[order]
+                own = np.flatnonzero(~late)
+                lo, hi = np.searchsorted(p, piece[own]), np.searchsorted(p, piece[own], "right")
+                e, s = np.repeat(own, hi - lo), _spread(lo, hi - lo)
+                base = entries["start"][e].astype(np.int64)
+                h = Hasher(BYTE_KEYS[1][data]).windows(first[e] + a[s], first[e] + b[s])
+                yield from by_document(REMOVE, entries["doc"][e], spans_of(base + a[s], base + b[s], h), blocks)
 
-def _segments(k: int, window: int):
-    def find(opened: DataFrame, blocks: int, parts: int) -> DataFrame:
-        opened = opened.where(F.size("paths") > 0)
-        dealt = opened.mapInArrow(_find_segments(k, window, blocks), ROWS).repartition(parts, "block").sortWithinPartitions("block")
-        return saved(dealt.mapInArrow(_index_blocks(k, window, blocks), ROWS))
+        return run
 
-    return find
+    return of
 
 
 def _kept(window: int):
@@ -248,15 +310,20 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, key: str = "doc_id") -> D
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the bytes that stay) of every row.
 
     A byte goes if a ``window``-byte string over it also starts in a document of a smaller id, judged on
-    the input; strings never cross documents. Paths at an anchor that other documents have in other
-    surroundings meet in a block of that anchor, where a run-length index of all of them is built and
-    their matching statistics are streamed. Paths that can't share a window with another are left out. It holds whole anchors, and is dropped when its task ends.
+    the input; strings never cross documents. Pieces of text around an anchor that several documents
+    have meet in a block of that anchor. There equal pieces are one, and a run-length index is built
+    of all that may match: its matching statistics, from samples at the run ends, link each position
+    with another one that begins with the same window, and the first place of each chain of links
+    tells the smallest document. An index holds whole anchors and is dropped when its task ends.
 
     Null and empty texts have no bytes. Null ids take no part: such a row keeps all. Rows of equal
-    ids don't remove each other's bytes. Kept bytes need not be whole characters.
+    ids, repeated rows among them, don't remove each other's bytes; all are removed alike by smaller
+    ids. Ties need no rule, as only a smaller id removes. A very long text is one row's work, linear
+    in its bytes. An empty table gives none. Kept bytes need not be whole characters. Other columns,
+    whatever their names, are not read.
     """
     texts, size = set_aside(docs, key)
-    spans = removed_spans(texts, size, K, window, False, _segments(K, window))
+    spans = removed_spans(texts, size, K, window, _find_pieces(K, window), _index_blocks(K, window))
     rows = texts.join(spans, "doc", "left").select("doc", "text", "first", F.coalesce("spans", F.array().cast("array<binary>")).alias("spans"))
     return rows.mapInArrow(_kept(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 

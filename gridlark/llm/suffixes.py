@@ -13,28 +13,33 @@ def suffix_order(text: np.ndarray, left: np.ndarray, top: int) -> np.ndarray:
     """
     n = len(text)
     bits = max(1, int(top).bit_length())
-    depth = max(1, 62 // bits)
-    key = np.zeros(n, np.int64)
-    for j in range(depth):
-        part = np.zeros(n, np.int64)
-        if j < n:
-            part[: n - j] = text[j:]
-            part[left <= j] = 0
-        key = (key << bits) | part
-    order = np.argsort(key, kind="stable")
-    longest = int(left.max(initial=1))
-    while depth < longest:
+    symbols = max(1, 62 // bits)
+
+    def ahead(key: np.ndarray, by: int) -> np.ndarray:
+        out = np.zeros(n, np.int64)
+        out[: max(0, n - by)] = key[by:]
+        out[left <= by] = 0
+        return out
+
+    power, width, key, depth = text.astype(np.int64), 1, None, 0
+    while True:  # the first ``symbols`` symbols of each suffix as one number
+        if symbols & width:
+            key, depth = (power, width) if key is None else ((power << (bits * depth)) | ahead(key, width), depth + width)
+        if width * 2 > symbols:
+            break
+        power, width = (power << (bits * width)) | ahead(power, width), width * 2
+    longest = int(left.max(initial=1)) - 1
+    while True:
+        order = np.argsort(key)
         ranked = key[order]
         new = np.ones(n, bool)
         new[1:] = ranked[1:] != ranked[:-1]
-        if new.all():
+        if depth >= longest or new.all():
             break
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
-        tail = np.zeros(n, np.int64)
-        tail[: n - depth] = rank[depth:]
-        tail[left <= depth] = 0
-        key = rank * (n + 1) + tail
-        order = np.argsort(key, kind="stable")
+        key = rank * (n + 1) + ahead(rank, depth)
         depth *= 2
+    if not new.all():
+        order = np.sort((np.cumsum(new) - 1) * n + order) % n
     return order

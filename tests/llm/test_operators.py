@@ -363,12 +363,34 @@ def test_suffix_order_and_run_length_index():
     order = suffix_order(text, left, 256)
     want = sorted(range(len(text)), key=lambda i: (bytes(text[i : i + left[i] - 1].tolist()), i))
     assert order.tolist() == want
-    index = suffixdedup.RunLengthIndex(text, left)
     row = np.empty(len(text), np.int64)
     row[order] = np.arange(len(text))
-    inner = np.flatnonzero(text[order - 1] != 0)
-    assert (index.step(inner) == row[order[inner] - 1]).all()
-    assert (index.first_sample == order[index.start]).all()
+    index = suffixdedup.RunLengthIndex(text, left, 50)
+    source, match = index.statistics()
+    for i in np.flatnonzero(text).tolist():  # each has its neighbour in order, and what both begin with
+        j = order[row[i] - 1]
+        a, b = (bytes(text[x : x + left[x] - 1].tolist()) for x in (i, j))
+        common = next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # noqa: B905
+        assert source[i] == j and min(match[i], 50) == min(common, 50)
+    assert len(index.first_sample) < 0.6 * len(text)
+    for window in (3, 5, 12):
+        first = {}
+        for i in range(len(text)):
+            if left[i] > window:
+                first.setdefault(bytes(text[i : i + window].tolist()), i)
+        got = suffixdedup._earliest(text, left, window)
+        assert all(got[i] == first[bytes(text[i : i + window].tolist())] for i in range(len(text)) if left[i] > window)
+
+
+def test_the_samples_decide(monkeypatch):
+    """Without the matches at the run ends' samples nothing is found."""
+    text = np.array([*b"qwertyuiop-the middle part-asdf", 0, *b"zxcvb-the middle part-nm", 0], np.int64)
+    ends = np.flatnonzero(text == 0)
+    left = ends[np.searchsorted(ends, np.arange(len(text)))] - np.arange(len(text)) + 1
+    found = lambda: [i for i, x in enumerate(suffixdedup._earliest(text, left, 12)) if x < i]
+    assert found() == [ends[0] + 6 + i for i in range(5)]
+    monkeypatch.setattr(suffixdedup, "_common", lambda text, a, b, most: np.zeros(len(a), np.int64))
+    assert not found()
 
 
 def test_fm_index():
