@@ -3,10 +3,13 @@
 Every window of ``window`` units has an anchor, its smallest k-mer by hash, so equal windows have equal
 anchors at equal places. Windows of a document that follow each other and share an anchor are a
 path. Only paths at anchors of several documents can hold a shared window, so only these go on, by
-their anchor, to an index that compares them. An anchor with very many different paths is taken
-apart into single windows, and those of several documents go on by their hash. What is hashed here
-chooses what is compared; it removes nothing, but for equal paths that one task holds at once,
-which are pre-aggregated to the one of the smallest document (128 bits of hashes).
+their anchor, to an index that compares them. An anchor with very many paths is taken apart into
+single windows, and those of several documents go on by their hash. What is hashed here chooses
+what is compared; it removes nothing, but for equal paths that one task holds at once, which are
+pre-aggregated to the one of the smallest document (128 bits of hashes).
+
+Entries travel packed: by block of their anchor, and back by block of their document. There they
+meet the documents in one sorted stream, lists first, so no row is made for each entry.
 """
 
 from __future__ import annotations
@@ -24,17 +27,20 @@ from .text import BYTE_KEYS, SPACE, Hasher, Words, slices
 
 #: Paths that a task holds before it hands them on.
 FLUSH = 1 << 19
-#: Bytes of packed paths in a block, and of text that one block stands for.
+#: Bytes of text that one block stands for.
 BLOCK_BYTES = 6 << 20
-#: Different paths at one anchor from which on its windows go on by their hashes, not by the anchor.
+#: Paths at one anchor from which on its windows go on by their hashes, not by the anchor.
 HOT = 4096
 #: Texts with over 1 / COPY_SHARE of all rows are set aside but for their first document.
 COPY_SHARE = 4096
 
-ROWS = "kind int, block int, doc long, blob binary"
-PACKED, REMOVE, EXPAND, EXPAND_HOT = range(4)
+ROWS = "kind int, block int, blob binary"
+#: Kinds of rows: entries by block of their anchor; lists by block of their document; documents.
+PACKED, REMOVE, PIECES, WINDOWS, DOCUMENT = range(5)
+#: A path or window: its anchor within the block, and where it is.
+ENTRY = np.dtype([("doc", "<i8"), ("key", "<u4"), ("start", "<u4"), ("length", "<u2"), ("offset", "<u2")])
 #: A removed span, and a hash of its units: ids may repeat, and it counts only in the rows that have it.
-SPAN = np.dtype([("start", "<u4"), ("end", "<u4"), ("hash", "<u8")])
+SPAN = np.dtype([("doc", "<i8"), ("start", "<u4"), ("length", "<u2"), ("hash", "<u4")])
 
 
 class Units:
@@ -78,62 +84,41 @@ class Units:
         return row[at], start[at], end, h[anchor[at]], anchor[at]
 
 
-def unit_slices(batch: pa.RecordBatch, words: bool) -> Iterator[tuple[int, int, Units]]:
-    for lo, hi, data, at in slices(batch.column("text")):
-        yield lo, hi, Units(data, at, words)
-
-
-def _rows(kind: int, block: np.ndarray, doc: np.ndarray | None, blob: list) -> pa.RecordBatch:
-    n = len(blob)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind), pa.int32()), pa.array(block, pa.int32()), pa.nulls(n, pa.int64()) if doc is None else pa.array(doc, pa.int64()), pa.array(blob, pa.binary())],
-        ["kind", "block", "doc", "blob"],
-    )
+def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... n[i] times, one after the other."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def by_document(kind: int, doc: np.ndarray, spans: np.ndarray, blocks: int) -> Iterator[pa.RecordBatch]:
-    """One row a document with its packed ``spans``."""
-    if not len(doc):
-        return
-    order = np.argsort(doc, kind="stable")
-    doc, spans = doc[order], spans[order]
-    cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]]))
-    for s in range(0, len(cut) - 1, 4096):
-        c = cut[s : s + 4097]
-        ids = doc[c[:-1]]
-        yield _rows(kind, ids % blocks, ids, [spans[x:y].tobytes() for x, y in zip(c[:-1].tolist(), c[1:].tolist(), strict=True)])
+def pack(entries: np.ndarray) -> bytes:
+    """Byte planes, so that what hardly changes is compressed away."""
+    return np.ascontiguousarray(entries.view(np.uint8).reshape(len(entries), -1).T).tobytes()
 
 
-_PLANES = ((8, 0, 8), (7, 1, 8), (6, 0, 8), (4, 0, 4))
-_WIDTH = sum(p[0] for p in _PLANES)
+def unpack(blob: bytes, dtype: np.dtype, n: int | None = None, at: int = 0) -> np.ndarray:
+    n = (len(blob) - at) // dtype.itemsize if n is None else n
+    raw = np.frombuffer(blob, np.uint8, n * dtype.itemsize, at).reshape(dtype.itemsize, n)
+    return np.ascontiguousarray(raw.T).reshape(-1).view(dtype)
 
 
-def _pack(a: np.ndarray, s: np.ndarray, doc: np.ndarray, start: np.ndarray) -> bytes:
-    """Entries sorted by document. Byte planes, so that what hardly changes is compressed away."""
-    cols = (np.diff(doc, prepend=np.int64(0)).astype("<i8"), a.astype("<u8"), s.astype("<u8"), start.astype("<u4"))
-    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(-1, total)[:, left : left + width].T).ravel() for c, (width, left, total) in zip(cols, _PLANES, strict=True)]
-    return np.concatenate(planes).tobytes()
+def dealt_out(kind: int, block: np.ndarray, order: np.ndarray, packed) -> Iterator[pa.RecordBatch]:
+    """A row for each block, of the entries in ``order``, which is sorted by block."""
+    b = block[order]
+    cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]])) if len(b) else np.zeros(1, np.int64)
+    for x in range(0, len(cut) - 1, 64):
+        c = cut[x : x + 65].tolist()
+        blobs = [packed(order[lo:hi]) for lo, hi in zip(c[:-1], c[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(blobs), kind), pa.int32()), pa.array(b[c[:-1]], pa.int32()), pa.array(blobs, pa.binary())], ["kind", "block", "blob"])
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    """(doc, anchor without its lowest byte, 48 bits of the hash, start)."""
-    raw = np.frombuffer(blob, np.uint8).reshape(_WIDTH, -1)
-    n, out, at = raw.shape[1], [], 0
-    for width, left, total in _PLANES:
-        full = np.zeros((n, total), np.uint8)
-        full[:, left : left + width] = raw[at : at + width].T
-        out.append(full.view("<u8" if total == 8 else "<u4").ravel())
-        at += width
-    return np.cumsum(out[0].view(np.int64)), out[1], out[2], out[3].astype(np.int64)
+def to_documents(kind: int, entries: np.ndarray, blocks: int, head: bytes = b"") -> Iterator[pa.RecordBatch]:
+    block = entries["doc"] % blocks
+    yield from dealt_out(kind, block, np.lexsort((entries["start"], entries["doc"], block)), lambda e: head + pack(entries[e]))
 
 
-def _least(a: np.ndarray, s: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by (a, s, doc), where each (a, s) begins in it, and its smallest document, entry by entry."""
-    order = np.lexsort((doc, s, a))
-    a, s = a[order], s[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1])
-    return order, new, doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+def removed(doc: np.ndarray, start: np.ndarray, length: np.ndarray, h: np.ndarray, blocks: int) -> Iterator[pa.RecordBatch]:
+    out = np.empty(len(doc), SPAN)
+    out["doc"], out["start"], out["length"], out["hash"] = doc, start, length, h & np.uint64(0xFFFFFFFF)
+    yield from to_documents(REMOVE, out, blocks)
 
 
 class Outbox:
@@ -142,47 +127,33 @@ class Outbox:
     def __init__(self, blocks: int):
         self.blocks, self.held, self.count = blocks, [], 0
 
-    def add(self, a: np.ndarray, s: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.held.append((a, s, doc, start, end))
-        self.count += len(a)
+    def add(self, anchor: np.ndarray, h: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        entries = np.empty(len(anchor), ENTRY)
+        entries["doc"], entries["key"], entries["start"], entries["length"], entries["offset"] = doc, anchor & np.uint64(0xFFFFFFFF), start, end - start, place - start
+        self.held.append((anchor, h, entries))
+        self.count += len(anchor)
         if self.count >= FLUSH:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.count:
             return
-        a, s, doc, start, end = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        a, h, entries = (np.concatenate(x) for x in zip(*self.held, strict=True))
         self.held, self.count = [], 0
-        order, _, least = _least(a, s, doc)
-        late = doc[order] > least
-        out = order[late]
-        yield from by_document(REMOVE, doc[out], spans_of(start[out], end[out], s[out]), self.blocks)
-        keep = np.sort(order[~late])
-        a, s, doc, start = a[keep], s[keep], doc[keep], start[keep]
-        yield from dealt_out(block_of(a, self.blocks), doc, lambda e: _pack(a[e], s[e], doc[e], start[e]))
-
-
-def block_of(key: np.ndarray, blocks: int) -> np.ndarray:
-    return ((key >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
-
-
-def dealt_out(block: np.ndarray, then: np.ndarray, pack) -> Iterator[pa.RecordBatch]:
-    """A packed row for each block that has entries, its entries in the order of ``then``."""
-    order = np.lexsort((then, block))
-    cut = np.flatnonzero(np.concatenate([[True], block[order][1:] != block[order][:-1], [True]])) if len(order) else np.zeros(1, np.int64)
-    for x in range(0, len(cut) - 1, 64):
-        c = cut[x : x + 65].tolist()
-        yield _rows(PACKED, block[order[c[:-1]]], None, [pack(order[lo:hi]) for lo, hi in zip(c[:-1], c[1:], strict=True)])
-
-
-def spans_of(start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
-    out = np.empty(len(start), SPAN)
-    out["start"], out["end"], out["hash"] = start, end, h
-    return out
+        order = np.argsort(h ^ (a * np.uint64(0x9E3779B97F4A7C15)))
+        a, h, entries = a[order], h[order], entries[order]
+        at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (h[1:] != h[:-1])]))
+        least = np.repeat(np.minimum.reduceat(entries["doc"], at), np.diff(np.append(at, len(a))))
+        late = entries["doc"] > least
+        e = entries[late]
+        yield from removed(e["doc"], e["start"], e["length"], h[late], self.blocks)
+        a, entries = a[~late], entries[~late]
+        block = ((a >> np.uint64(32)) % np.uint64(self.blocks)).astype(np.int64)
+        yield from dealt_out(PACKED, block, np.lexsort((entries["doc"], block)), lambda e: pack(entries[e]))
 
 
 def resolve(blocks: int, hot: int | None):
-    """Of the packed entries of each block: starts of those whose anchor several documents have; over ``hot`` paths apart."""
+    """Of the packed entries of each block: those whose anchor several documents have; over ``hot`` of one anchor apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         others: list[pa.RecordBatch] = []
@@ -198,26 +169,21 @@ def resolve(blocks: int, hot: int | None):
         for tile in groups(packed(), "block"):
             yield from others
             others.clear()
-            doc, a, s, start = (np.concatenate(x) for x in zip(*map(_unpack, tile["blob"].to_pylist()), strict=True))
-            order = np.argsort(a)
-            same = a[order][1:] == a[order][:-1]
-            twin = np.zeros(len(a), bool)
-            twin[1:] = same
-            twin[:-1] |= same
-            order = order[twin]
+            entries = np.concatenate([unpack(b, ENTRY) for b in tile["blob"].to_pylist()])
+            order = np.argsort(entries["key"])
+            key = entries["key"][order]
+            same = key[1:] == key[:-1]
+            order = order[np.append(same, False) | np.append(False, same)]
             if not len(order):
                 continue
-            a, s, doc, start = a[order], s[order], doc[order], start[order]
-            order = np.lexsort((s, a))
-            a, s, doc, start = a[order], s[order], doc[order], start[order]
-            first = np.concatenate([[True], a[1:] != a[:-1]])
-            at, which = np.flatnonzero(first), np.cumsum(first) - 1
-            shared = np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at)
-            first[1:] |= s[1:] != s[:-1]
-            many = np.add.reduceat(first.astype(np.int64), at) > hot if hot else np.zeros(len(at), bool)
-            for kind, some in ((EXPAND, shared & ~many), (EXPAND_HOT, shared & many)):
-                e = some[which]
-                yield from by_document(kind, doc[e], start[e].astype("<u4"), blocks)
+            entries = entries[order]
+            at = np.flatnonzero(np.append(True, entries["key"][1:] != entries["key"][:-1]))
+            size = np.diff(np.append(at, len(entries)))
+            shared = np.minimum.reduceat(entries["doc"], at) < np.maximum.reduceat(entries["doc"], at)
+            many = size > hot if hot else np.zeros(len(at), bool)
+            head = np.uint32(tile["block"][0].as_py()).tobytes()
+            for kind, some in ((PIECES, shared & ~many), (WINDOWS, shared & many)):
+                yield from to_documents(kind, entries[np.repeat(some, size)], blocks, head)
         yield from others
 
     return run
@@ -230,57 +196,66 @@ def find_paths(k: int, window: int, blocks: int):
         box = Outbox(blocks)
         for batch in batches:
             ids = batch.column("doc").to_numpy()
-            for lo, hi, units in unit_slices(batch, False):
-                row, start, end, anchor, _ = units.paths(k, window)
+            for lo, hi, data, at in slices(batch.column("text")):
+                units = Units(data, at, False)
+                row, start, end, anchor, place = units.paths(k, window)
                 base = units.first[row]
-                yield from box.add(anchor, units.hasher.windows(start, end), ids[lo:hi][row], start - base, end - base)
+                yield from box.add(anchor, units.hasher.windows(start, end), ids[lo:hi][row], start - base, end - base, place - base)
         yield from box.flush()
 
     return run
 
 
-def listed(blobs: pa.Array, lo: int, hi: int, dtype) -> list[np.ndarray]:
-    return [np.concatenate([np.frombuffer(b, dtype) for b in x]) if x else np.zeros(0, dtype) for x in blobs.slice(lo, hi - lo).to_pylist()]
-
-
-def _wanted(units: Units, starts: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate([x.astype(np.int64) + f for x, f in zip(starts, units.first[:-1], strict=True)]) if starts else np.zeros(0, np.int64)
-
-
-def chosen_paths(units: Units, k: int, window: int, starts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """paths() whose first unit is listed for their document."""
-    wanted = np.zeros(len(units.items) + 1, bool)
-    wanted[_wanted(units, starts)] = True
-    if not wanted.any():
-        none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, np.uint64), none
-    found = units.paths(k, window)
-    use = wanted[found[1]]
-    return tuple(x[use] for x in found)
+def meeting(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """(list sorted by document, each one's head, documents) of a stream that is sorted by block and kind; lists come first."""
+    block, blobs, ready = None, [], None
+    skip = 4 if dtype == ENTRY else 0
+    for batch in batches:
+        of, is_doc = batch.column("block").to_numpy(), batch.column("kind").to_numpy() == DOCUMENT
+        cuts = [0, *(np.flatnonzero((of[1:] != of[:-1]) | (is_doc[1:] != is_doc[:-1])) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if lo == hi:
+                continue
+            if of[lo] != block:
+                block, blobs, ready = of[lo], [], None
+            part = batch.slice(lo, hi - lo)
+            if not is_doc[lo]:
+                blobs.extend(part.column("blob").to_pylist())
+                continue
+            if ready is None:
+                lists = [unpack(b, dtype, at=skip) for b in blobs]
+                entries = np.concatenate(lists) if lists else np.zeros(0, dtype)
+                heads = np.repeat(np.array([np.frombuffer(b, np.uint32, 1)[0] if skip else 0 for b in blobs], np.int64), [len(x) for x in lists])
+                order = np.argsort(entries["doc"], kind="stable")
+                ready, blobs = (entries[order], heads[order]), []
+            yield *ready, part
 
 
-def chosen_windows(units: Units, window: int, starts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first unit, second hash) of the listed windows."""
-    w = np.sort(_wanted(units, starts))
-    row = np.searchsorted(units.first, w, "right") - 1
-    return row, w, Hasher(units.items ^ np.uint64(0x5851F42D4C957F2D), 1).windows(w, w + window)
+def of_rows(ids: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, entry) of the entries of each row's document."""
+    lo, hi = np.searchsorted(entries["doc"], ids), np.searchsorted(entries["doc"], ids, "right")
+    return np.repeat(np.arange(len(ids)), hi - lo), spread(lo, hi - lo)
 
 
-def find_windows(k: int, window: int, blocks: int):
-    """Packed single windows of the paths listed as ``hot``; a window is known by two hashes of its units."""
+def find_windows(window: int, blocks: int):
+    """Packed single windows of the listed paths; a window is known by two hashes of its units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         box = Outbox(blocks)
-        for batch in batches:
-            ids = batch.column("doc").to_numpy()
-            for lo, hi, units in unit_slices(batch, False):
-                row, start, end, _, _ = chosen_paths(units, k, window, listed(batch.column("hot"), lo, hi, "<u4"))
-                many = end - start - window + 1
-                w = np.repeat(start, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                row = np.repeat(row, many)
+        for entries, _, docs in meeting(batches, ENTRY):
+            ids = docs.column("doc").to_numpy()
+            for lo, hi, data, at in slices(docs.column("text")):
+                row, e = of_rows(ids[lo:hi], entries)
+                if not len(row):
+                    continue
+                units = Units(data, at, False)
+                many = entries["length"][e].astype(np.int64) - window + 1
+                w, row = spread(units.first[row] + entries["start"][e], many), np.repeat(row, many)
+                fits = w + window <= units.first[row + 1]
+                w, row = w[fits], row[fits]
                 second = Hasher(units.items ^ np.uint64(0x5851F42D4C957F2D), 1).windows(w, w + window)
                 base = units.first[row]
-                yield from box.add(second, units.hasher.windows(w, w + window), ids[lo:hi][row], w - base, w + window - base)
+                yield from box.add(second, units.hasher.windows(w, w + window), ids[lo:hi][row], w - base, w + window - base, w - base)
         yield from box.flush()
 
     return run
@@ -299,45 +274,50 @@ def set_aside(docs: DataFrame, key: str) -> tuple[DataFrame, int]:
     return texts.withColumn("sha", sha).join(F.broadcast(often), "sha", "left").select("doc", "text", "first"), size
 
 
-def removed_spans(texts: DataFrame, size: int, k: int, window: int, pieces, index) -> DataFrame:
-    """doc and spans (list of packed SPANs) of the documents with windows that a smaller document has.
+def removed_spans(texts: DataFrame, size: int, k: int, window: int, pieces, index, kept, schema: str) -> DataFrame:
+    """What kept() makes of all documents and their SPANs: of windows that a smaller document has.
 
-    pieces(blocks) makes packed pieces of (doc, text, paths, windows), and index(blocks) the removed
-    spans of those of each block. Blocks stand for BLOCK_BYTES of text each at any size; where
-    there are more of them than partitions, a task works on one after the other.
+    pieces(blocks) makes packed texts of listed entries, index(blocks) the removed spans of those of
+    each block. Blocks stand for BLOCK_BYTES of text each at any size; where there are more of them
+    than partitions, a task works on one after the other.
     """
     spark = texts.sparkSession
     blocks, parts = partitions(spark, size, BLOCK_BYTES)
-    others = texts.where("doc is not null and (first is null or doc <= first)").select("doc", "text")
+    while any(blocks % p == 0 for p in range(2, int(blocks**0.5) + 1)):
+        blocks += 1  # a prime: ids in steps are spread all the same
+    others = texts.where("doc is not null and (first is null or doc <= first)")
+
+    def dealt(df: DataFrame, *more: str) -> DataFrame:
+        return df.repartition(parts, "block").sortWithinPartitions("block", *more)
 
-    def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(parts, "block").sortWithinPartitions("block")
+    def beside(lists: list[DataFrame], docs: DataFrame) -> DataFrame:
+        block = F.coalesce(F.pmod("doc", F.lit(blocks)), F.pmod(F.xxhash64("text"), F.lit(blocks))).cast("int")
+        rows = docs.select(F.lit(DOCUMENT).alias("kind"), block.alias("block"), "doc", "text", "first")
+        for x in lists:
+            rows = rows.unionByName(x, allowMissingColumns=True)
+        return dealt(rows.select("kind", "block", "doc", "text", "first", "blob"), "kind")
 
-    of = lambda df, *kinds: df.where(F.col("kind").isin(*kinds))
+    of = lambda df, kind: df.where(F.col("kind") == kind)
     found = saved(dealt(others.mapInArrow(find_paths(k, window, blocks), ROWS)).mapInArrow(resolve(blocks, HOT), ROWS))
     freed(spark)
-    hot = others.join(of(found, EXPAND_HOT).groupBy("doc").agg(F.collect_list("blob").alias("hot")), "doc")
-    single = saved(dealt(hot.mapInArrow(find_windows(k, window, blocks), ROWS)).mapInArrow(resolve(blocks, None), ROWS))
-    lists = of(found, EXPAND).select("doc", F.col("blob").alias("p"), F.lit(None).cast("binary").alias("w"))
-    lists = lists.unionByName(of(single, EXPAND).select("doc", F.lit(None).cast("binary").alias("p"), F.col("blob").alias("w")))
-    lists = lists.groupBy("doc").agg(F.collect_list("p").alias("paths"), F.collect_list("w").alias("windows"))
-    compared = saved(dealt(others.join(lists, "doc").mapInArrow(pieces(blocks), ROWS)).mapInArrow(index(blocks), ROWS))
+    tables = [found]
+    if not (hot := of(found, WINDOWS)).isEmpty():
+        single = beside([hot], others).mapInArrow(find_windows(window, blocks), ROWS)
+        tables.append(saved(dealt(single).mapInArrow(resolve(blocks, None), ROWS)))
+        freed(spark)
+    listed = [of(t, PIECES) for t in tables]
+    tables.append(saved(dealt(beside(listed, others).mapInArrow(pieces(blocks), ROWS)).mapInArrow(index(blocks), ROWS)))
     freed(spark)
-    spans = of(found, REMOVE).unionByName(of(single, REMOVE)).unionByName(of(compared, REMOVE))
-    return spans.groupBy("doc").agg(F.collect_list("blob").alias("spans"))
+    return beside([of(t, REMOVE) for t in tables], texts).mapInArrow(kept, schema)
 
 
-def marked(units: Units, spans: list[np.ndarray], whole: np.ndarray) -> np.ndarray:
-    """True for the removed units of a run of documents: listed spans whose hash holds, and ``whole`` documents."""
+def marked(units: Units, row: np.ndarray, spans: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """True for the removed units of a run of documents: spans[i] of row[i] whose hash holds, and ``whole`` documents."""
     n = len(units.items)
-    row = np.repeat(np.arange(len(spans)), [len(s) for s in spans])
-    s = np.concatenate(spans) if spans else np.zeros(0, SPAN)
-    base = units.first[row]
-    start, end = s["start"].astype(np.int64) + base, s["end"].astype(np.int64) + base
-    ok = end <= units.first[row + 1] if len(row) else np.zeros(0, bool)
-    start, end, s = start[ok], end[ok], s[ok]
-    ok = units.hasher.windows(start, end) == s["hash"]
-    d = np.zeros(n + 1, np.int64)
-    np.add.at(d, start[ok], 1)
-    np.add.at(d, end[ok], -1)
+    start = spans["start"].astype(np.int64) + units.first[row]
+    end = start + spans["length"]
+    ok = end <= units.first[row + 1]
+    start, end = start[ok], end[ok]
+    ok = (units.hasher.windows(start, end) & np.uint64(0xFFFFFFFF)) == spans["hash"][ok]
+    d = np.bincount(start[ok], minlength=n + 1) - np.bincount(end[ok], minlength=n + 1)
     return (np.cumsum(d[:n]) > 0) | np.repeat(whole, np.diff(units.first))

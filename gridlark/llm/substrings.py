@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .repeats import SPAN, listed, marked, removed_spans, set_aside, unit_slices
+from .repeats import set_aside
 from .store import table
 
 WINDOW, K = 50, 16

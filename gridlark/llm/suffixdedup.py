@@ -13,23 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import groups
-from .repeats import PACKED, REMOVE, SPAN, block_of, by_document, chosen_paths, chosen_windows, dealt_out, listed, marked, removed_spans, set_aside, spans_of, unit_slices
+from .repeats import ENTRY, PACKED, SPAN, Units, dealt_out, marked, meeting, of_rows, pack, removed, removed_spans, set_aside, spread, unpack
 from .store import table
 from .suffixes import suffix_order
-from .text import BYTE_KEYS, Hasher
+from .text import BYTE_KEYS, Hasher, slices
 
 WINDOW, K = 50, 20
 #: Bytes of one index at most, but for a single anchor's pieces.
 INDEX_BYTES = 1 << 20
 #: Bytes of pieces that a task holds before it hands them on.
-FLUSH_BYTES = 8 << 20
-ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("length", "<u2"), ("offset", "<u2")])
-HEADER = 8
-
-
-def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """first[i], first[i] + 1, ... n[i] times, one after the other."""
-    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+FLUSH_BYTES = 4 << 20
 
 
 class RunLengthIndex:
@@ -115,16 +108,16 @@ def _earliest(text: np.ndarray, left: np.ndarray, window: int) -> np.ndarray:
     return first[up]
 
 
-def _packed(entries: np.ndarray, first: np.ndarray, data: np.ndarray) -> bytes:
-    return np.int64(len(entries)).tobytes() + entries.tobytes() + data[_spread(first, entries["length"].astype(np.int64))].tobytes()
+def _with_text(entries: np.ndarray, first: np.ndarray, data: np.ndarray) -> bytes:
+    return np.int64(len(entries)).tobytes() + pack(entries) + data[spread(first, entries["length"].astype(np.int64))].tobytes()
 
 
-def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _parted(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     heads, datas = [], []
     for blob in blobs:
         n = int(np.frombuffer(blob, np.int64, 1)[0])
-        heads.append(np.frombuffer(blob, ENTRY, n, HEADER))
-        datas.append(np.frombuffer(blob, np.uint8, offset=HEADER + n * ENTRY.itemsize))
+        heads.append(unpack(blob, ENTRY, n, 8))
+        datas.append(np.frombuffer(blob, np.uint8, offset=8 + n * ENTRY.itemsize))
     return np.concatenate(heads), np.concatenate(datas)
 
 
@@ -133,59 +126,49 @@ def _equal(entries: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
     n = entries["length"].astype(np.int64)
     first = np.cumsum(n) - n
     one, two = (Hasher(BYTE_KEYS[i][data]).windows(first, first + n) for i in (0, 1))
-    order = np.argsort(one ^ entries["key"], kind="stable")
+    order = np.argsort(one)
     one, two, doc = one[order], two[order], entries["doc"][order]
-    new = np.ones(len(order), bool)
-    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-    at = np.flatnonzero(new)
-    return order, np.cumsum(new) - 1, np.minimum.reduceat(doc, at) if len(at) else doc, two
+    new = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
+    return order, np.cumsum(new) - 1, np.minimum.reduceat(doc, np.flatnonzero(new)), two
 
 
-def _find_pieces(k: int, window: int):
+def _find_pieces(blocks: int):
     """Texts of the listed paths and windows, by block of their anchor. Equal ones of a task go on for their smallest document."""
 
-    def of(blocks: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-            count = 0
-
-            def flush() -> Iterator[pa.RecordBatch]:
-                entries, data = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-                n = entries["length"].astype(np.int64)
-                first = np.cumsum(n) - n
-                order, piece, least, h = _equal(entries, data)
-                copy = entries["doc"][order] > least[piece]
-                late = order[copy]
-                e = entries[late]
-                yield from by_document(REMOVE, e["doc"], spans_of(e["start"], e["start"] + e["length"], h[copy]), blocks)
-                keep = np.ones(len(entries), bool)
-                keep[late] = False
-                keep = np.flatnonzero(keep)
-                e, f = entries[keep], first[keep]
-                yield from dealt_out(block_of(e["key"], blocks), e["key"], lambda i: _packed(e[i], f[i], data))
-
-            for batch in batches:
-                ids = batch.column("doc").to_numpy()
-                for lo, hi, units in unit_slices(batch, False):
-                    row, start, end, key, place = chosen_paths(units, k, window, listed(batch.column("paths"), lo, hi, "<u4"))
-                    row2, start2, key2 = chosen_windows(units, window, listed(batch.column("windows"), lo, hi, "<u4"))
-                    row, start, end, key = (np.concatenate(x) for x in ((row, row2), (start, start2), (end, start2 + window), (key, key2)))
-                    if not len(row):
-                        continue
-                    entries = np.empty(len(row), ENTRY)
-                    entries["key"], entries["doc"], entries["start"], entries["length"] = key, ids[lo:hi][row], start - units.first[row], end - start
-                    entries["offset"] = np.append(place, start2) - start
-                    held.append((entries, units.data[_spread(start, end - start)]))
-                    count += len(held[-1][1])
-                    if count >= FLUSH_BYTES:
-                        yield from flush()
-                        held, count = [], 0
-            if count:
-                yield from flush()
-
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        count = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            entries, block, data = (np.concatenate(x) for x in zip(*held, strict=True))
+            n = entries["length"].astype(np.int64)
+            first = np.cumsum(n) - n
+            order, piece, least, h = _equal(entries, data)
+            copy = entries["doc"][order] > least[piece]
+            e = entries[order[copy]]
+            yield from removed(e["doc"], e["start"], e["length"], h[copy], blocks)
+            keep = order[~copy]
+            keep = keep[np.lexsort((entries["doc"][keep], entries["key"][keep], block[keep]))]
+            yield from dealt_out(PACKED, block, keep, lambda i: _with_text(entries[i], first[i], data))
+
+        for entries, heads, docs in meeting(batches, ENTRY):
+            ids = docs.column("doc").to_numpy()
+            for lo, hi, data, at in slices(docs.column("text")):
+                row, e = of_rows(ids[lo:hi], entries)
+                start, n = at[row] + entries["start"][e], entries["length"][e].astype(np.int64)
+                fits = start + n <= at[row + 1]  # another row may have the id
+                e, start, n = e[fits], start[fits], n[fits]
+                if not len(e):
+                    continue
+                held.append((entries[e], heads[e], data[spread(start, n)]))
+                count += len(held[-1][2])
+                if count >= FLUSH_BYTES:
+                    yield from flush()
+                    held, count = [], 0
+        if count:
+            yield from flush()
 
-    return of
+    return run
 
 
 def _may_match(entries: np.ndarray, first: np.ndarray, data: np.ndarray, k: int, window: int) -> np.ndarray:
@@ -211,61 +194,59 @@ def _may_match(entries: np.ndarray, first: np.ndarray, data: np.ndarray, k: int,
     return keep
 
 
+def _covered(docs: np.ndarray, n: np.ndarray, data: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, first, end) of the runs of symbols of each piece that a window of a smaller document covers."""
+    size = n + 1
+    ends = np.cumsum(size) - 1
+    code = np.zeros(256, np.int64)
+    code[data] = 1
+    code = np.cumsum(code) * code
+    text = np.zeros(int(size.sum()), np.int64)
+    inside = np.ones(len(text), bool)
+    inside[ends] = False
+    text[inside] = code[data]
+    left = np.repeat(ends, size) - np.arange(len(text)) + 1
+    which = np.repeat(np.arange(len(n)), size)
+    hit = np.flatnonzero(docs[which] > docs[which[_earliest(text, left, window)]])
+    if not len(hit):
+        return hit, hit, hit
+    new = np.append(True, (hit[1:] != hit[:-1] + 1) | (which[hit[1:]] != which[hit[:-1]]))
+    at = np.flatnonzero(new)
+    piece = which[hit[at]]
+    base = ends[piece] - n[piece]
+    return piece, hit[at] - base, hit[np.append(at[1:], len(hit)) - 1] + window - base
+
+
 def _index_blocks(k: int, window: int):
     def of(blocks: int):
-        def one(docs: np.ndarray, n: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """(piece, first, end) of the runs of symbols of each piece that a window of a smaller document covers."""
-            size = n + 1
-            ends = np.cumsum(size) - 1
-            known, symbol = np.unique(data, return_inverse=True)
-            text = np.zeros(int(size.sum()), np.int64)
-            inside = np.ones(len(text), bool)
-            inside[ends] = False
-            text[inside] = symbol + 1
-            left = np.repeat(ends, size) - np.arange(len(text)) + 1
-            which = np.repeat(np.arange(len(n)), size)
-            hit = np.flatnonzero(docs[which] > docs[which[_earliest(text, left, window)]])
-            if not len(hit):
-                return hit, hit, hit
-            new = np.ones(len(hit), bool)
-            new[1:] = (hit[1:] != hit[:-1] + 1) | (which[hit[1:]] != which[hit[:-1]])
-            at = np.flatnonzero(new)
-            piece = which[hit[at]]
-            base = ends[piece] - n[piece]
-            return piece, hit[at] - base, hit[np.append(at[1:], len(hit)) - 1] + window - base
-
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for tile in groups(batches, "block"):
                 blobs = tile.filter(pc.equal(tile["kind"], PACKED))["blob"].to_pylist()
                 yield from tile.filter(pc.not_equal(tile["kind"], PACKED)).to_batches()
                 if not blobs:
                     continue
-                entries, data = _unpacked(blobs)
-                # equal pieces are indexed once, for their smallest document
+                entries, data = _parted(blobs)
+                # equal pieces are indexed once, for their smallest document, which has all their windows
                 order, piece, least, h = _equal(entries, data)
-                entries = entries[order]
+                length = entries["length"].astype(np.int64)
+                first = (np.cumsum(length) - length)[order]
+                entries, n = entries[order], length[order]
                 late = entries["doc"] > least[piece]
                 e = entries[late]
-                yield from by_document(REMOVE, e["doc"], spans_of(e["start"], e["start"] + e["length"], h[late]), blocks)
-                n = entries["length"].astype(np.int64)
-                length = np.zeros(len(order), np.int64)
-                length[order] = n
-                first = (np.cumsum(length) - length)[order]
+                yield from removed(e["doc"], e["start"], e["length"], h[late], blocks)
                 at = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
-                several = np.bincount(piece, late) > 0
-                some = at[several | _may_match(entries[at], first[at], data, k, window)]
-                # by anchor, and in an index by document: the first place of a window is in its smallest
-                some = some[np.lexsort((least[piece[some]], entries["key"][some]))]
+                some = at[(np.bincount(piece, late) > 0) | _may_match(entries[at], first[at], data, k, window)]
+                some = some[np.argsort(entries["key"][some])]
                 key, total = entries["key"][some], np.cumsum(n[some])
                 edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(some) else np.zeros(1, np.int64)
-                lo = 0
-                found: list[tuple[np.ndarray, ...]] = []
+                found, lo = [], 0
                 while lo < len(edges) - 1:  # whole anchors together
                     start = total[edges[lo] - 1] if edges[lo] else 0
                     hi = max(lo + 1, int(np.searchsorted(total[edges[1:] - 1], start + INDEX_BYTES, "right")))
+                    # by document: the first place of a window is in its smallest
                     part = some[edges[lo] : edges[hi]]
                     part = part[np.argsort(least[piece[part]], kind="stable")]
-                    p, a, b = one(least[piece[part]], n[part], data[_spread(first[part], n[part])])
+                    p, a, b = _covered(least[piece[part]], n[part], data[spread(first[part], n[part])], window)
                     found.append((piece[part[p]], a, b))
                     lo = hi
                 if not found:
@@ -276,10 +257,9 @@ def _index_blocks(k: int, window: int):
                 p, a, b = p[order], a[order], b[order]
                 own = np.flatnonzero(~late)
                 lo, hi = np.searchsorted(p, piece[own]), np.searchsorted(p, piece[own], "right")
-                e, s = np.repeat(own, hi - lo), _spread(lo, hi - lo)
-                base = entries["start"][e].astype(np.int64)
+                e, s = np.repeat(own, hi - lo), spread(lo, hi - lo)
                 h = Hasher(BYTE_KEYS[1][data]).windows(first[e] + a[s], first[e] + b[s])
-                yield from by_document(REMOVE, entries["doc"][e], spans_of(base + a[s], base + b[s], h), blocks)
+                yield from removed(entries["doc"][e], entries["start"][e] + a[s], (b - a)[s], h, blocks)
 
         return run
 
@@ -288,18 +268,25 @@ def _index_blocks(k: int, window: int):
 
 def _kept(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, first = batch.column("doc").to_pylist(), batch.column("first").to_pylist()
-            for lo, hi, units in unit_slices(batch, False):
-                size = np.diff(units.at)
-                whole = np.array([f is not None and d is not None and d > f and n >= window for d, f, n in zip(doc[lo:hi], first[lo:hi], size.tolist(), strict=True)], bool)
-                gone = marked(units, listed(batch.column("spans"), lo, hi, SPAN), whole)
+        for spans, _, docs in meeting(batches, SPAN):
+            ids = docs.column("doc")
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            ids = ids.fill_null(0).to_numpy()
+            first = docs.column("first")
+            copy = first.is_valid().to_numpy(zero_copy_only=False) & known
+            copy &= ids > first.fill_null(0).to_numpy()
+            for lo, hi, data, at in slices(docs.column("text")):
+                units = Units(data, at, False)
+                size = np.diff(at)
+                row, e = of_rows(ids[lo:hi], spans)
+                mine = known[lo:hi][row]
+                gone = marked(units, row[mine], spans[e[mine]], copy[lo:hi] & (size >= window))
                 row = np.repeat(np.arange(hi - lo), size)
                 begins = gone.copy()
                 begins[1:] &= ~gone[:-1] | (row[1:] != row[:-1])
-                kept = [units.data[a:b][~gone[a:b]].tobytes() for a, b in zip(units.at[:-1].tolist(), units.at[1:].tolist(), strict=True)]
+                kept = [data[a:b][~gone[a:b]].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(np.bincount(row[gone], minlength=hi - lo), pa.int64()), pa.array(np.bincount(row[begins], minlength=hi - lo), pa.int64()), pa.array(kept, pa.binary())],
+                    [docs.column("doc").slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(np.bincount(row[gone], minlength=hi - lo), pa.int64()), pa.array(np.bincount(row[begins], minlength=hi - lo), pa.int64()), pa.array(kept, pa.binary())],
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
                 )
 
@@ -323,9 +310,7 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, key: str = "doc_id") -> D
     whatever their names, are not read.
     """
     texts, size = set_aside(docs, key)
-    spans = removed_spans(texts, size, K, window, _find_pieces(K, window), _index_blocks(K, window))
-    rows = texts.join(spans, "doc", "left").select("doc", "text", "first", F.coalesce("spans", F.array().cast("array<binary>")).alias("spans"))
-    return rows.mapInArrow(_kept(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return removed_spans(texts, size, K, window, _find_pieces, _index_blocks(K, window), _kept(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
