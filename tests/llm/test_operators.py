@@ -382,17 +382,6 @@ def test_suffix_order_and_run_length_index():
         assert all(got[i] == first[bytes(text[i : i + window].tolist())] for i in range(len(text)) if left[i] > window)
 
 
-def test_the_samples_decide(monkeypatch):
-    """Without the matches at the run ends' samples nothing is found."""
-    text = np.array([*b"qwertyuiop-the middle part-asdf", 0, *b"zxcvb-the middle part-nm", 0], np.int64)
-    ends = np.flatnonzero(text == 0)
-    left = ends[np.searchsorted(ends, np.arange(len(text)))] - np.arange(len(text)) + 1
-    found = lambda: [i for i, x in enumerate(suffixdedup._earliest(text, left, 12)) if x < i]
-    assert found() == [ends[0] + 6 + i for i in range(6)]
-    monkeypatch.setattr(suffixdedup, "_common", lambda text, a, b, most: np.zeros(len(a), np.int64))
-    assert not found()
-
-
 def test_fm_index():
     rnd = random.Random(6)
     pieces = [[rnd.randrange(1, 6) for _ in range(rnd.randrange(1, 60))] for _ in range(30)]
