@@ -47,7 +47,7 @@ def _paths(k: int, window: int):
 def _edges(window: int):
     """Edges of the listed paths, in the order of the document: whole ones, and of others each window.
 
-    pv and nx are hashes of the edges before and after, 0 where the listed words don't go on.
+    An edge is known by 96 bits, e and f. pv and nx are f of the edges before and after, 0 where the listed words don't go on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,16 +66,16 @@ def _edges(window: int):
                     continue
                 end = start + n + window - 1
                 one, two = units.hasher.windows(start, end), _second(units).windows(start, end)
-                name = ((one ^ (two >> np.uint64(7))) & np.uint64(0x7FFFFFFF)).astype(np.int64) + 1
+                name = ((two >> np.uint64(32)) | np.uint64(1)).astype(np.uint32).view(np.int32)
                 on = (row[1:] == row[:-1]) & (start[1:] == start[:-1] + n[:-1])
-                pv, nx = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+                pv, nx = np.zeros(len(row), np.int32), np.zeros(len(row), np.int32)
                 pv[1:][on], nx[:-1][on] = name[:-1][on], name[1:][on]
                 pick = pa.array(row + lo)
                 th = batch.column("th").take(pick).to_numpy().astype(np.int64) & 0xFFFFFFFF
                 place = ((start - units.first[row]) << 32) | th
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").take(pick), pa.array(place), pa.array(n, pa.int32()), pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.int64)), *(pa.array(x, pa.int64()) for x in (name, pv, nx))],
-                    ["doc", "place", "n", "e", "f", "name", "pv", "nx"],
+                    [batch.column("doc").take(pick), pa.array(place), pa.array(n, pa.int32()), pa.array(one.view(np.int64)), *map(pa.array, (name, pv, nx))],
+                    ["doc", "place", "n", "e", "f", "pv", "nx"],
                 )
 
     return run
@@ -156,22 +156,22 @@ def _kept(window: int):
 def unitigs(edges: DataFrame) -> DataFrame:
     """(e, f, src, src_place, unitig) of the edges that several documents have.
 
-    edges: occurrences (doc, place, n, e, f, name, pv, nx). An edge's source is its first place in its
+    edges: occurrences (doc, place, n, e, f, pv, nx). An edge's source is its first place in its
     smallest document. An edge and the next are compacted where the node between them has one
     way in and one way out, and their sources follow each other; a unitig is a chain of such
     edges, so one stretch of one source document.
     """
     degree = lambda c: F.when(F.min(c) == F.max(c), F.min(c))  # noqa: E731  the one neighbour; null: several
     known = edges.groupBy("e", "f").agg(
-        F.min("doc").alias("src"), F.max("doc").alias("most"), F.min_by("place", "doc").alias("src_place"), F.first("n").alias("n"), F.first("name").alias("name"),
-        degree(F.when(F.col("nx") > 0, F.col("nx"))).alias("out"), degree(F.when(F.col("pv") > 0, F.col("pv"))).alias("in"),
+        F.min("doc").alias("src"), F.max("doc").alias("most"), F.min_by("place", "doc").alias("src_place"), F.first("n").alias("n"),
+        degree(F.when(F.col("nx") != 0, F.col("nx"))).alias("out"), degree(F.when(F.col("pv") != 0, F.col("pv"))).alias("in"),
     ).where("src < most").drop("most")
     known = saved(known)
     start = F.shiftright("src_place", 32)
     th = F.col("src_place").bitwiseAND(F.lit(0xFFFFFFFF))
-    ends = known.where("out is not null").select("src", th.alias("th"), (start + F.col("n")).alias("at"), F.col("out").alias("name"), F.col("name").alias("in"))
+    ends = known.where("out is not null").select("src", th.alias("th"), (start + F.col("n")).alias("at"), F.col("out").alias("f"), F.col("f").alias("in"))
     begins = known.withColumn("th", th).withColumn("at", start.cast("long"))
-    chained = begins.join(ends.withColumn("on", F.lit(1)), ["src", "th", "at", "name", "in"], "left")
+    chained = begins.join(ends.withColumn("on", F.lit(1)), ["src", "th", "at", "f", "in"], "left")
     chained = chained.withColumn("unitig", F.sum(F.when(F.col("on").isNull(), 1).otherwise(0)).over(W.partitionBy("src", "th").orderBy("at", "e").rowsBetween(W.unboundedPreceding, 0)))
     return chained.select("e", "f", "src", "src_place", "unitig")
 
@@ -196,16 +196,22 @@ def dedup_words(docs: DataFrame, window: int = WINDOW, key: str = "doc_id") -> D
     """
     spark = docs.sparkSession
     texts, _ = set_aside(docs, key)
-    texts = texts.withColumn("th", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
+    unique = texts.where("doc is not null").groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    texts = texts.withColumn("th", F.lit(0).cast("long") if unique else F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
     others = texts.where("doc is not null and (first is null or doc <= first)").select("doc", "th", "text")
     paths, at_paths = saved_at(others.mapInArrow(_paths(K, window), "doc long, th long, start int, n int, anchor long, h long"))
-    anchors = paths.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), (F.min("h") == F.max("h")).alias("whole"))
-    shared = paths.join(anchors.where("lo < hi").select("anchor", "whole"), "anchor")
-    lists = shared.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "n", F.col("whole").cast("int").alias("whole"))).alias("l"))
-    lists = lists.select("doc", "th", *[F.col(f"l.{c}").alias(d) for c, d in (("start", "starts"), ("n", "ns"), ("whole", "whole"))])
-    edges = others.join(lists, ["doc", "th"]).mapInArrow(_edges(window), "doc long, place long, n int, e long, f long, name long, pv long, nx long")
-    edges, at_edges = saved_at(edges)
+    # each step is written, so that shuffle files of one go before the next; and joins on hot keys read exchanges that can be split
+    anchors = paths.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), (F.min("h") == F.max("h")).cast("int").alias("whole"))
+    anchors, at_anchors = saved_at(anchors.where("lo < hi").select("anchor", "whole"))
+    freed(spark)
+    lists = paths.select("doc", "th", "start", "n", "anchor").join(anchors, "anchor").groupBy("doc", "th").agg(F.collect_list(F.struct("start", "n", "whole")).alias("l"))
+    lists, at_lists = saved_at(lists.select("doc", "th", *[F.col(f"l.{c}").alias(d) for c, d in (("start", "starts"), ("n", "ns"), ("whole", "whole"))]))
     removed(spark, at_paths)
+    removed(spark, at_anchors)
+    freed(spark)
+    edges = others.join(lists, ["doc", "th"]).mapInArrow(_edges(window), "doc long, place long, n int, e long, f int, pv int, nx int")
+    edges, at_edges = saved_at(edges)
+    removed(spark, at_lists)
     freed(spark)
     chains, at_chains = saved_at(unitigs(edges))
     freed(spark)

@@ -121,11 +121,23 @@ def _parted(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(heads), np.concatenate(datas)
 
 
+def _hashes(n: np.ndarray, data: np.ndarray, which: int, start: np.ndarray | int = 0, end: np.ndarray | None = None) -> np.ndarray:
+    """A hash of the symbols start[i]:end[i] of each piece (all without end), worked on a megabyte at a time."""
+    start, end = np.broadcast_to(start, n.shape), n if end is None else end
+    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+    out, lo = np.empty(len(n), np.uint64), 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + (1 << 20), "right")) - 1)
+        first = total[lo:hi] - total[lo]
+        out[lo:hi] = Hasher(BYTE_KEYS[which][data[total[lo] : total[hi]]]).windows(first + start[lo:hi], first + end[lo:hi])
+        lo = hi
+    return out
+
+
 def _equal(entries: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(order, number of the piece, its smallest document, hash): entries in order of piece, equal bytes being one (128 bits of hashes)."""
     n = entries["length"].astype(np.int64)
-    first = np.cumsum(n) - n
-    one, two = (Hasher(BYTE_KEYS[i][data]).windows(first, first + n) for i in (0, 1))
+    one, two = (_hashes(n, data, i) for i in (0, 1))
     order = np.argsort(one)
     one, two, doc = one[order], two[order], entries["doc"][order]
     new = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
@@ -171,31 +183,30 @@ def _find_pieces(blocks: int):
     return run
 
 
-def _may_match(entries: np.ndarray, first: np.ndarray, data: np.ndarray, k: int, window: int) -> np.ndarray:
-    """Pieces that share their anchor and half a window's rest on one side with another piece.
+def _may_match(entries: np.ndarray, data: np.ndarray, some: np.ndarray, k: int, window: int) -> np.ndarray:
+    """Of pieces ``some``, those that share their anchor and half a window's rest on one side with another of them.
 
     A window that two paths share holds the anchor at one place in both, so of its other bytes at
     least half are on one side of it, and agree. Others can't match and are not indexed. A single
     window (of one length, so with nothing beside itself) has no equal among different pieces.
     """
     half = (window - k) // 2
-    at = first + entries["offset"]
-    hasher = Hasher(BYTE_KEYS[0][data])
-    keep = np.zeros(len(entries), bool)
-    for left, right, fits in ((half, 0, entries["offset"] >= half), (0, half, entries["offset"].astype(np.int64) + k + half <= entries["length"])):
-        some = np.flatnonzero(fits)
-        h = hasher.windows(at[some] - left, at[some] + k + right)
-        order = np.argsort(h)
+    n, offset = entries["length"].astype(np.int64), entries["offset"].astype(np.int64)
+    keep = np.zeros(len(some), bool)
+    for start, end in ((offset - half, offset + k), (offset, offset + k + half)):
+        fits = (start >= 0) & (end <= n)
+        h = _hashes(n, data, 0, np.where(fits, start, 0), np.where(fits, end, 0))[some]
+        there = np.flatnonzero(fits[some])
+        order = there[np.argsort(h[there])]
+        if not len(order):
+            continue
         same = h[order][1:] == h[order][:-1]
-        twin = np.zeros(len(some), bool)
-        twin[1:] = same
-        twin[:-1] |= same
-        keep[some[order[twin]]] = True
+        keep[order[np.append(same, False) | np.append(False, same)]] = True
     return keep
 
 
-def _covered(docs: np.ndarray, n: np.ndarray, data: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(piece, first, end) of the runs of symbols of each piece that a window of a smaller document covers."""
+def _covered(docs: np.ndarray, n: np.ndarray, data: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """(piece, first, end, hash) of the runs of symbols of each piece that a window of a smaller document covers."""
     size = n + 1
     ends = np.cumsum(size) - 1
     code = np.zeros(256, np.int64)
@@ -209,12 +220,14 @@ def _covered(docs: np.ndarray, n: np.ndarray, data: np.ndarray, window: int) ->
     which = np.repeat(np.arange(len(n)), size)
     hit = np.flatnonzero(docs[which] > docs[which[_earliest(text, left, window)]])
     if not len(hit):
-        return hit, hit, hit
+        return hit, hit, hit, hit.astype(np.uint64)
     new = np.append(True, (hit[1:] != hit[:-1] + 1) | (which[hit[1:]] != which[hit[:-1]]))
     at = np.flatnonzero(new)
     piece = which[hit[at]]
     base = ends[piece] - n[piece]
-    return piece, hit[at] - base, hit[np.append(at[1:], len(hit)) - 1] + window - base
+    first, end = hit[at] - base, hit[np.append(at[1:], len(hit)) - 1] + window - base
+    before = (np.cumsum(n) - n)[piece]
+    return piece, first, end, Hasher(BYTE_KEYS[1][data]).windows(before + first, before + end)
 
 
 def _index_blocks(k: int, window: int):
@@ -225,17 +238,18 @@ def _index_blocks(k: int, window: int):
                 yield from tile.filter(pc.not_equal(tile["kind"], PACKED)).to_batches()
                 if not blobs:
                     continue
-                entries, data = _parted(blobs)
+                raw, data = _parted(blobs)
+                blobs.clear()
                 # equal pieces are indexed once, for their smallest document, which has all their windows
-                order, piece, least, h = _equal(entries, data)
-                length = entries["length"].astype(np.int64)
+                order, piece, least, h = _equal(raw, data)
+                length = raw["length"].astype(np.int64)
                 first = (np.cumsum(length) - length)[order]
-                entries, n = entries[order], length[order]
+                entries, n = raw[order], length[order]
                 late = entries["doc"] > least[piece]
                 e = entries[late]
                 yield from removed(e["doc"], e["start"], e["length"], h[late], blocks)
                 at = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
-                some = at[(np.bincount(piece, late) > 0) | _may_match(entries[at], first[at], data, k, window)]
+                some = at[(np.bincount(piece, late) > 0) | _may_match(raw, data, order[at], k, window)]
                 some = some[np.argsort(entries["key"][some])]
                 key, total = entries["key"][some], np.cumsum(n[some])
                 edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(some) else np.zeros(1, np.int64)
@@ -246,20 +260,19 @@ def _index_blocks(k: int, window: int):
                     # by document: the first place of a window is in its smallest
                     part = some[edges[lo] : edges[hi]]
                     part = part[np.argsort(least[piece[part]], kind="stable")]
-                    p, a, b = _covered(least[piece[part]], n[part], data[spread(first[part], n[part])], window)
-                    found.append((piece[part[p]], a, b))
+                    p, a, b, h = _covered(least[piece[part]], n[part], data[spread(first[part], n[part])], window)
+                    found.append((piece[part[p]], a, b, h))
                     lo = hi
                 if not found:
                     continue
-                p, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                p, a, b, h = (np.concatenate(x) for x in zip(*found, strict=True))
                 # what goes of a piece goes at each place where its smallest document has it
                 order = np.argsort(p, kind="stable")
-                p, a, b = p[order], a[order], b[order]
+                p, a, b, h = p[order], a[order], b[order], h[order]
                 own = np.flatnonzero(~late)
                 lo, hi = np.searchsorted(p, piece[own]), np.searchsorted(p, piece[own], "right")
                 e, s = np.repeat(own, hi - lo), spread(lo, hi - lo)
-                h = Hasher(BYTE_KEYS[1][data]).windows(first[e] + a[s], first[e] + b[s])
-                yield from removed(entries["doc"][e], entries["start"][e] + a[s], (b - a)[s], h, blocks)
+                yield from removed(entries["doc"][e], entries["start"][e] + a[s], (b - a)[s], h[s], blocks)
 
         return run
 
