@@ -34,6 +34,8 @@ HOT = 4096
 #: Texts with over 1 / COPY_SHARE of all rows are set aside but for their first document.
 COPY_SHARE = 4096
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
 ROWS = "kind int, block int, blob binary"
 #: Kinds of rows: entries by block of their anchor; lists by block of their document; documents.
 PACKED, REMOVE, PIECES, WINDOWS, DOCUMENT = range(5)
@@ -89,15 +91,24 @@ def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
+def squeezed(raw: bytes) -> bytes:
+    """Compressed, after its length; Spark's own compression of shuffles finds less in what is packed."""
+    return np.uint32(len(raw)).tobytes() + _ZSTD.compress(raw, asbytes=True)
+
+
+def spelled(blob: bytes) -> bytes:
+    return _ZSTD.decompress(blob[4:], int(np.frombuffer(blob, np.uint32, 1)[0]), asbytes=True)
+
+
 def pack(entries: np.ndarray) -> bytes:
     """Byte planes, so that what hardly changes is compressed away."""
     return np.ascontiguousarray(entries.view(np.uint8).reshape(len(entries), -1).T).tobytes()
 
 
-def unpack(blob: bytes, dtype: np.dtype, n: int | None = None, at: int = 0) -> np.ndarray:
-    n = (len(blob) - at) // dtype.itemsize if n is None else n
-    raw = np.frombuffer(blob, np.uint8, n * dtype.itemsize, at).reshape(dtype.itemsize, n)
-    return np.ascontiguousarray(raw.T).reshape(-1).view(dtype)
+def unpack(raw: bytes, dtype: np.dtype, n: int | None = None, at: int = 0) -> np.ndarray:
+    n = (len(raw) - at) // dtype.itemsize if n is None else n
+    planes = np.frombuffer(raw, np.uint8, n * dtype.itemsize, at).reshape(dtype.itemsize, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
 def dealt_out(kind: int, block: np.ndarray, order: np.ndarray, packed) -> Iterator[pa.RecordBatch]:
@@ -106,7 +117,7 @@ def dealt_out(kind: int, block: np.ndarray, order: np.ndarray, packed) -> Iterat
     cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]])) if len(b) else np.zeros(1, np.int64)
     for x in range(0, len(cut) - 1, 64):
         c = cut[x : x + 65].tolist()
-        blobs = [packed(order[lo:hi]) for lo, hi in zip(c[:-1], c[1:], strict=True)]
+        blobs = [squeezed(packed(order[lo:hi])) for lo, hi in zip(c[:-1], c[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(blobs), kind), pa.int32()), pa.array(b[c[:-1]], pa.int32()), pa.array(blobs, pa.binary())], ["kind", "block", "blob"])
 
 
@@ -169,7 +180,7 @@ def resolve(blocks: int, hot: int | None):
         for tile in groups(packed(), "block"):
             yield from others
             others.clear()
-            entries = np.concatenate([unpack(b, ENTRY) for b in tile["blob"].to_pylist()])
+            entries = np.concatenate([unpack(spelled(b), ENTRY) for b in tile["blob"].to_pylist()])
             order = np.argsort(entries["key"])
             key = entries["key"][order]
             same = key[1:] == key[:-1]
@@ -220,7 +231,7 @@ def meeting(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[tupl
                 block, blobs, ready = of[lo], [], None
             part = batch.slice(lo, hi - lo)
             if not is_doc[lo]:
-                blobs.extend(part.column("blob").to_pylist())
+                blobs.extend(map(spelled, part.column("blob").to_pylist()))
                 continue
             if ready is None:
                 lists = [unpack(b, dtype, at=skip) for b in blobs]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import groups
-from .repeats import ENTRY, PACKED, SPAN, Units, dealt_out, marked, meeting, of_rows, pack, removed, removed_spans, set_aside, spread, unpack
+from .repeats import ENTRY, PACKED, SPAN, Units, dealt_out, marked, meeting, of_rows, pack, removed, removed_spans, set_aside, spelled, spread, unpack
 from .store import table
 from .suffixes import suffix_order
 from .text import BYTE_KEYS, Hasher, slices
@@ -114,7 +114,7 @@ def _with_text(entries: np.ndarray, first: np.ndarray, data: np.ndarray) -> byte
 
 def _parted(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     heads, datas = [], []
-    for blob in blobs:
+    for blob in map(spelled, blobs):
         n = int(np.frombuffer(blob, np.int64, 1)[0])
         heads.append(unpack(blob, ENTRY, n, 8))
         datas.append(np.frombuffer(blob, np.uint8, offset=8 + n * ENTRY.itemsize))
