@@ -13,16 +13,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .graph import components, forest, groups
-from .store import rows_and_bytes, saved, table
+from .store import freed, partitions, removed, rows_and_bytes, saved, saved_at, table
 from .text import LOWER, SPACE, Hasher, Words, mixed, slices
 
 SHINGLE = 5
-#: A signature that more sets than this share is hot: its pairs are found by other signatures, or in rounds.
+#: A signature that more sets than this share is hot: its pairs are found by other signatures, rare shingles or tiles.
 HOT = 32
 #: Signatures of a task that are held before they are handed on, and bytes of signatures in a block.
 FLUSH, BLOCK_BYTES = 1 << 19, 24 << 20
-#: Rounds in which hot groups are first compared with one member each; worth their shuffles only for very large groups.
-STAR_ROUNDS = 0
 #: Sets of a block when a family of hot groups is compared in full.
 BLOCK = 1024
 _LOW = np.uint64(127)
@@ -69,12 +67,16 @@ def _sums(key: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
     return low + (np.bincount(key, (x >> np.uint64(32)).astype(np.float64), n).astype(np.uint64) << np.uint64(32))
 
 
-def fingerprints(row: np.ndarray, item: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Node of each set, a 57-bit hash of all its items with its band in the low 7 bits, and its size."""
+def fingerprints(row: np.ndarray, item: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Node of each set, a 57-bit hash of all its items with its band in the low 7 bits; 64 bits more; and its size.
+
+    Both together tell sets apart. Signatures carry the node alone, as it only leads to candidates.
+    """
     size = np.bincount(row, minlength=n)
     band = np.searchsorted(bands()[0], size, "right") - 1
     h = mixed(_sums(row, mixed(item + np.uint64(0x632BE59BD9B4E019)), n) + size.astype(np.uint64))
-    return (h & ~_LOW) | np.maximum(band, 0).astype(np.uint64), size
+    more = mixed(_sums(row, mixed(item ^ np.uint64(0x2545F4914F6CDD1D)), n) + size.astype(np.uint64))
+    return (h & ~_LOW) | np.maximum(band, 0).astype(np.uint64), more, size
 
 
 def _signatures(row: np.ndarray, item: np.ndarray, band: np.ndarray, use: np.ndarray, ahead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,25 +105,26 @@ def _signatures(row: np.ndarray, item: np.ndarray, band: np.ndarray, use: np.nda
     return owner[give], sig[give], empty
 
 
-ROWS = "kind int, block int, a long, b long, n int, m int, blob binary"
+ROWS = "kind int, block int, a long, b long, c long, d long, n int, m int, blob binary"
 
 
 def _batch(kind: int, rows: int, /, **cols: np.ndarray | list) -> pa.RecordBatch:
-    types = {"block": pa.int32(), "a": pa.int64(), "b": pa.int64(), "n": pa.int32(), "m": pa.int32(), "blob": pa.binary()}
+    types = {"block": pa.int32(), "a": pa.int64(), "b": pa.int64(), "c": pa.int64(), "d": pa.int64(), "n": pa.int32(), "m": pa.int32(), "blob": pa.binary()}
     made = [pa.array(np.full(rows, kind), pa.int32())]
     for name, t in types.items():
         made.append(pa.array(cols[name], t) if name in cols else pa.nulls(rows, t))
     return pa.RecordBatch.from_arrays(made, ["kind", *types])
 
 
-#: Kinds of rows: of a document (a id or null, b node, n size), of a node (a node, n and m its empty partitions),
+#: Kinds of rows: of a document (a id or null, b node, c the rest of its set's hash, d hash of its text, n size),
+#: of a node (a node, b the rest of its hash, n and m its empty partitions),
 #: packed signatures, a pair (a, b, n bucket, m shared), a hot node (a, n bucket, m how many), a hot group (a signature, blob nodes).
 DOC, NODE, PACKED, PAIR, HOT_NODE, HOT_GROUP = range(6)
 
 
 def _emit(blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         count = 0
 
@@ -139,14 +142,15 @@ def _emit(blocks: int):
         for batch in batches:
             for lo, hi, row, item in shingle_sets(batch.column(1)):
                 n = hi - lo
-                node, size = fingerprints(row, item, n)
+                node, more, size = fingerprints(row, item, n)
                 ids = batch.column(0).slice(lo, n)
                 real = size > 0
-                yield _batch(DOC, n, block=node % np.uint64(blocks), a=ids, b=pa.array(node.view(np.int64), pa.int64(), mask=~real), n=size)
+                yield _batch(DOC, n, block=node % np.uint64(blocks), a=ids, b=pa.array(node.view(np.int64), pa.int64(), mask=~real), c=more.view(np.int64), d=batch.column(2).slice(lo, n), n=size)
                 use = real.copy()
                 for i in np.flatnonzero(real).tolist():  # one of equal sets goes on
-                    use[i] = int(node[i]) not in seen
-                    seen.add(int(node[i]))
+                    name = int(node[i]), int(more[i])
+                    use[i] = name not in seen
+                    seen.add(name)
                 band = (node & _LOW).astype(np.int64)
                 empty = []
                 for ahead in (0, 1):
@@ -154,7 +158,7 @@ def _emit(blocks: int):
                     held.append((sig, node[owner]))
                     count += len(sig)
                     empty.append(e[use])
-                yield _batch(NODE, int(use.sum()), block=node[use] % np.uint64(blocks), a=node[use].view(np.int64), n=empty[0], m=empty[1])
+                yield _batch(NODE, int(use.sum()), block=node[use] % np.uint64(blocks), a=node[use].view(np.int64), b=more[use].view(np.int64), n=empty[0], m=empty[1])
                 if count >= FLUSH:
                     yield from flush()
                     held, count = [], 0
@@ -247,7 +251,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for sig, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             node = np.frombuffer(blob, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), sig), pa.int64()), pa.array(node)], ["sig", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), sig), pa.int64()), pa.array(node)], ["sig", "hash"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,26 +270,11 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * same >= 80 * (F.size("x") + F.size("y") - same)).select("a", "b")
 
 
-def _stars(members: DataFrame, edges: DataFrame, comp: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, DataFrame, DataFrame]:
-    """Rounds in which each hot group (sig, node) that holds several components is compared with one member.
-
-    Returns the members of the groups that hold several even then (None: no such), the edges and components.
-    """
-    for turn in range(STAR_ROUNDS + 1):
-        now = members.join(comp, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
-        torn = now.groupBy("sig").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn))).alias("pivot")).where("least <> most")
-        torn = saved(torn)
-        if torn.isEmpty():
-            return None, edges, comp
-        now = now.join(torn, "sig")
-        members = saved(now.select("sig", "node"))
-        if turn == STAR_ROUNDS:
-            return members, edges, comp
-        asked = now.where(F.col("comp") != F.col("pivot.comp"))
-        more = _linked(asked.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")), sets)
-        edges = saved(edges.unionByName(more).distinct())
-        comp = saved(components(edges))
-    return members, edges, comp
+def _torn(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members (sig, node) of the hot groups that hold several components."""
+    now = members.join(comp, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
+    torn = now.groupBy("sig").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
+    return members.join(saved(torn.select("sig")), "sig")
 
 
 def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,11 +335,8 @@ def _compared(members: DataFrame, comp: DataFrame, sets: DataFrame, parts: int)
     return dealt.mapInArrow(_tile_links, "a long, b long")
 
 
-def link_classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs`` (key, text).
-
-    Two documents link when their sets of five-word shingles have Jaccard 4/5 or more; a component is
-    what links reach, and its id the smallest doc_id in it. Documents of one set are one node.
+def _classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """doc_id, th (hash of the text), n_shingles and comp (null: no shingles) of every row; see link_classes().
 
     1. Each set is partitioned by hash into enough parts that a linked pair shares one (see bands()).
        Signatures travel packed by hash block; a block is sorted once and gives the pairs that share
@@ -358,58 +344,63 @@ def link_classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     2. A signature of over HOT nodes gives no pairs. A pair shares at least spare + 1 signatures, so one
        with a node that has no more hot and empty partitions than spare ones is found by another, and
        pairs that share too few of theirs are dropped before they are compared.
-    3. Candidates are compared exactly, by their whole sets.
+    3. Candidates are compared exactly, by their whole sets. A set is known by 121 bits and numbered;
+       where two share the 57 bits that signatures carry, both are compared. It is fetched from one of
+       its rows, by id (null too) and text hash, so repeated and null ids take part as any other.
     4. Nodes with more hot partitions than spare ones (large groups of near copies, short texts around
-       a frequent passage) matter where a hot group holds several components (first compared with one
-       member STAR_ROUNDS times). Two of them either share a shingle that at most HOT of them have, and
-       meet there; or most of both is hot, and these are compared in tiles, as products
-       of 0/1 matrices that give a forest of links each. So no link between components is lost.
-
-    Null texts and texts without words have no shingles and are a component of their own. A null id
-    keeps null, as component id too unless its component has an id. Rows that repeat are reported
-    each. Very long texts are one row's work: memory is linear in them.
+       a frequent passage) matter where a hot group holds several components. Two of them either share
+       a shingle that at most HOT of them have, and meet there; or most of both is hot, and these are
+       compared in tiles, as products of 0/1 matrices that give a forest of links each. So no link
+       between components is lost.
     """
     spark = docs.sparkSession
     _, size = rows_and_bytes(docs)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 16, 3 * size // 2 // BLOCK_BYTES))
-    blocks = 4 * parts
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), "text")
+    blocks, parts = partitions(spark, 3 * size // 2, BLOCK_BYTES)
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     rows = texts.mapInArrow(_emit(blocks), ROWS)
-    rows = saved(rows.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_match, ROWS))
+    rows, at_rows = saved_at(rows.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_match, ROWS))
+    freed(spark)
     of = lambda kind, *cols: rows.where(F.col("kind") == kind).select(*[F.col(c).alias(n) for c, n in cols])
-    doc = of(DOC, ("a", "doc_id"), ("b", "node"), ("n", "n_shingles"))
-    nodes = of(NODE, ("a", "node"), ("n", "e0"), ("m", "e1")).groupBy("node").agg(F.max("e0").alias("e0"), F.max("e1").alias("e1"))
+    doc = of(DOC, ("a", "doc_id"), ("b", "hash"), ("c", "more"), ("d", "th"), ("n", "n_shingles"))
+    nodes = of(NODE, ("a", "hash"), ("b", "more"), ("n", "e0"), ("m", "e1")).groupBy("hash", "more").agg(F.max("e0").alias("e0"), F.max("e1").alias("e1"))
+    nodes = saved(nodes.select(F.monotonically_increasing_id().alias("node"), "hash", "more", "e0", "e1"))
     spare = [int(b - a - 1) for a, b in zip(bands()[1].tolist(), bands()[2].tolist(), strict=True)]
     spare_of = lambda bucket: F.element_at(F.array(*map(F.lit, spare)), bucket + 1)
-    hot = of(HOT_NODE, ("a", "node"), ("n", "bucket"), ("m", "m")).groupBy("node", "bucket").agg(F.sum("m").alias("hot"))
-    band = F.col("node").bitwiseAND(F.lit(127)).cast("int")
-    hot = hot.join(nodes, "node").withColumn("empty", F.when(F.col("bucket") == band, F.col("e0")).otherwise(F.col("e1")))
-    hot = saved(hot.where(F.col("hot") + F.col("empty") > spare_of(F.col("bucket"))).select("node", "bucket", "hot"))
+    all_hot = saved(of(HOT_NODE, ("a", "hash"), ("n", "bucket"), ("m", "m")).groupBy("hash", "bucket").agg(F.sum("m").alias("hot")))
+    band = F.col("hash").bitwiseAND(F.lit(127)).cast("int")
+    hot = all_hot.join(nodes, "hash").withColumn("empty", F.when(F.col("bucket") == band, F.col("e0")).otherwise(F.col("e1")))
+    hot = saved(hot.where(F.col("hot") + F.col("empty") > spare_of(F.col("bucket"))).select("node", "hash", "bucket"))
+    any_hot = all_hot.groupBy("hash").agg(F.sum("hot").alias("hots"))
     pairs = of(PAIR, ("a", "a"), ("b", "b"), ("n", "bucket"), ("m", "m")).groupBy("a", "b", "bucket").agg(F.sum("m").alias("m"))
-    pairs = pairs.where("m > 0")
+    info = saved(nodes.join(any_hot, "hash", "left").select("hash", "node", "e0", "e1", F.coalesce("hots", F.lit(0)).alias("hots")))
     for side in ("a", "b"):
-        own = nodes.select(F.col("node").alias(side), F.col("e0").alias(f"{side}0"), F.col("e1").alias(f"{side}1"))
-        its_hot = hot.select(F.col("node").alias(side), "bucket", F.lit(True).alias(f"{side}hot"))
-        pairs = pairs.join(own, side).join(its_hot, [side, "bucket"], "left")
-    empty = lambda s: F.when(F.col("bucket") == F.col(s).bitwiseAND(F.lit(127)), F.col(f"{s}0")).otherwise(F.col(f"{s}1"))
+        pairs = pairs.join(info.select(F.col("hash").alias(side), *[F.col(c).alias(side + c) for c in ("node", "e0", "e1", "hots")]), side)
+        pairs = pairs.join(hot.select(F.col("node").alias(f"{side}node"), "bucket", F.lit(True).alias(f"{side}hot")), [f"{side}node", "bucket"], "left")
+    empty = lambda s: F.when(F.col("bucket") == F.col(s).bitwiseAND(F.lit(127)), F.col(f"{s}e0")).otherwise(F.col(f"{s}e1"))
     # both sides with many hot partitions: any shared one counts; else those that neither skipped must be there
-    need = spare_of(F.col("bucket")) + 1 - F.least(empty("a"), empty("b"))
+    need = spare_of(F.col("bucket")) + 1 - F.least(empty("a"), empty("b")) - F.least("ahots", "bhots")
     few_hot = F.col("ahot").isNull() | F.col("bhot").isNull()
-    any_hot = of(HOT_NODE, ("a", "node"), ("m", "m")).groupBy("node").agg(F.sum("m").alias("hots"))
-    for side in ("a", "b"):
-        pairs = pairs.join(any_hot.select(F.col("node").alias(side), F.col("hots").alias(f"{side}hots")), side, "left")
-    need = need - F.least(F.coalesce("ahots", F.lit(0)), F.coalesce("bhots", F.lit(0)))
-    pairs = saved(pairs.where(~few_hot | (F.col("m") >= F.greatest(need, F.lit(1)))).select("a", "b"))
-    hot_nodes = hot.select("node").distinct()
-    wanted = saved(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(hot_nodes).distinct())
-    one = doc.where("node is not null").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = saved(texts.join(one, "doc_id").select("node", "text").dropDuplicates(["node"]).mapInArrow(_sets, "node long, items array<long>"))
+    pairs = pairs.where(~few_hot | (F.col("m") >= F.greatest(need, F.lit(1))))
+    pairs, at_pairs = saved_at(pairs.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct())
+    freed(spark)
+    doc = doc.join(nodes.select("hash", "more", "node"), ["hash", "more"], "left").select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
+    doc = saved(doc)
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(hot.select("node")).distinct()
+    one = doc.where("node is not null").join(wanted, "node", "left_semi").groupBy("node").agg(F.min_by("doc_id", "th").alias("doc_id"), F.min("th").alias("th"))
+    one = saved(one)
+    place = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no"), "th"]
+    fetched = texts.select(*place, "text").join(one.select(*place, "node"), ["id", "no", "th"]).groupBy("id", "no", "th").agg(F.first("node").alias("node"), F.first("text").alias("text"))
+    sets, at_sets = saved_at(fetched.select("node", "text").mapInArrow(_sets, "node long, items array<long>"))
+    freed(spark)
     edges = saved(_linked(pairs, sets))
-    groups_ = of(HOT_GROUP, ("a", "sig"), ("blob", "blob"))
-    members = saved(groups_.mapInArrow(_unpacked, "sig long, node long").withColumn("bucket", F.col("sig").bitwiseAND(F.lit(127)).cast("int")).join(hot.select("node", "bucket"), ["node", "bucket"]).select("sig", "node"))
+    removed(spark, at_pairs)
+    freed(spark)
+    members = of(HOT_GROUP, ("a", "sig"), ("blob", "blob")).mapInArrow(_unpacked, "sig long, hash long").withColumn("bucket", F.col("sig").bitwiseAND(F.lit(127)).cast("int"))
+    members = saved(members.join(hot, ["hash", "bucket"]).select("sig", "node"))
+    removed(spark, at_rows)
     comp = saved(components(edges))
-    members, edges, comp = _stars(members, edges, comp, sets)
-    if members is not None:
+    members = saved(_torn(members, comp))
+    if not members.isEmpty():
         # members of groups that still hold several components: what two of them share beside hot shingles
         left = members.select("node").distinct().join(sets, "node")
         # of each shingle HOT + 1 nodes at most are looked at: enough to know which ones are hot
@@ -429,7 +420,25 @@ def link_classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         more = _linked(asked, sets).unionByName(_compared(hot_ones, comp, sets, parts))
         edges = saved(edges.unionByName(more))
         comp = saved(components(edges))
-    found = doc.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    removed(spark, at_sets)
+    freed(spark)
+    return doc.join(comp, "node", "left").select("doc_id", "th", "n_shingles", F.coalesce("comp", "node").alias("comp"))
+
+
+def link_classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs`` (key, text).
+
+    Two documents link when their sets of five-word shingles have Jaccard 4/5 or more; a component is
+    what links reach, and its id the smallest doc_id in it. Documents of one set are one node. Two
+    that link share a signature of a partition, or several hot ones; see _classes().
+
+    Null texts and texts without words have no shingles and are a component of their own. Rows with a
+    null id link as any other; their component's id is its smallest id, null where it has none. Rows
+    that repeat, and rows of one id with different texts, are reported and linked each. Ties need no
+    rule. Very long texts are one row's work: memory is linear in them. An empty table gives none.
+    Other columns, whatever their names, are not read.
+    """
+    found = _classes(docs, key)
     least = found.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     found = found.join(saved(least), "comp", "left")
     component = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
@@ -437,9 +446,18 @@ def link_classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Of each component of links the row with the smallest doc_id, all columns. Rows without an id stay."""
-    heads = link_classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """Of each component of links one row, all columns: the one with the smallest doc_id (null last, then by a hash of its text).
+
+    Of repeated rows one stays. Rows without words are linked with nothing and stay, all of them.
+    """
+    found = _classes(docs).where("comp is not null")
+    heads = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("h")).select("h.doc_id", "h.th").distinct()
+    heads = saved(heads)
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    marked = docs.withColumn("_th", F.xxhash64("text"))
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("h.doc_id")) & (F.col("d._th") == F.col("h.th"))
+    kept = marked.where(worded).alias("d").join(heads.alias("h"), same, "left_semi").dropDuplicates(["doc_id", "_th"])
+    return kept.drop("_th").unionByName(docs.where(~worded))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,6 +123,28 @@ def test_jaccard_join(docs, nothing):
     assert {r["doc_id"] for r in one.collect()} == set(want["component_id"]) and one.columns == docs.columns
 
 
+def test_jaccard_join_with_null_and_repeated_ids(spark):
+    """A row is known by its id and text: null ids bridge, and each text of a repeated id links on its own."""
+    rnd = random.Random(12)
+    a, x = words(rnd, 100), words(rnd, 100)
+    near = lambda t, *at: " ".join("edit" if i in at else w for i, w in enumerate(t))
+    a0, a1, a2 = near(a, 40), near(a, 60), near(a, 40, 60)
+    rows = [(1, a0), (None, a2), (2, a1), (3, " ".join(x)), (3, "quite another text of few words"), (4, near(x, 50)), (5, "quite another text of few words"), (None, None), (None, "alone without any id or partner")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(partenum.link_classes(df).collect(), key=str)
+    key = [(r[0], i) for i, r in enumerate(rows)]
+    want = partenum.brute_force(list(range(len(rows))), [r[1] for r in rows])
+    ids = {}
+    for (i, _), c in zip(key, want["component_id"], strict=True):
+        ids.setdefault(c, []).append(i)
+    least = {c: min((i for i in v if i is not None), default=None) for c, v in ids.items()}
+    expected = [(i, n, least[c]) for (i, _), n, c in zip(key, want["n_shingles"], want["component_id"], strict=True)]
+    assert sorted(map(str, expected)) == sorted(str(tuple(r)) for r in got)
+    assert [e for e in expected if e[0] is None] == [(None, 96, 1), (None, 0, None), (None, 2, None)]
+    kept = partenum.one_of_each(df).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == sorted(["1", "3", "3", "None", "None"]) and len(kept) == 5
+
+
 @pytest.mark.parametrize("hot", [1, 2])
 def test_jaccard_join_with_hot_signatures(spark, hot, monkeypatch):
     """A limit so low that nearly all links must come from the rounds and tiles for hot groups."""
@@ -186,7 +208,7 @@ def test_null_ids_keep_their_text(spark):
     b = suffixdedup.dedup_bytes(df)
     assert b.where("doc_id is null and n_removed > 0").count() == 0 and b.where("doc_id = 2 and n_removed = n_bytes").count() == 1
     assert {r["doc_id"]: r["component_id"] for r in partenum.link_classes(df).where("doc_id is not null").collect()} == {1: 1, 2: 1}
-    assert partenum.one_of_each(df.withColumn("lang", F.lit("x"))).count() == 3
+    assert partenum.one_of_each(df.withColumn("lang", F.lit("x"))).count() == 2
     assert sharding.shard(df).count() == 4 and decontaminate.spans(df, df.selectExpr("1 as item_id", "text").limit(1)).count() == 4
 
 
