@@ -389,7 +389,7 @@ def _classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     one = doc.where("node is not null").join(wanted, "node", "left_semi").groupBy("node").agg(F.min_by("doc_id", "th").alias("doc_id"), F.min("th").alias("th"))
     one = saved(one)
     place = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no"), "th"]
-    fetched = texts.select(*place, "text").join(one.select(*place, "node"), ["id", "no", "th"]).groupBy("id", "no", "th").agg(F.first("node").alias("node"), F.first("text").alias("text"))
+    fetched = texts.select(*place, "text").join(one.select(*place, "node").hint("merge"), ["id", "no", "th"]).groupBy("id", "no", "th").agg(F.first("node").alias("node"), F.first("text").alias("text"))
     sets, at_sets = saved_at(fetched.select("node", "text").mapInArrow(_sets, "node long, items array<long>"))
     freed(spark)
     edges = saved(_linked(pairs, sets))

@@ -3,10 +3,10 @@
 Every window of ``window`` units has an anchor, its smallest k-mer by hash, so equal windows have equal
 anchors at equal places. Windows of a document that follow each other and share an anchor are a
 path. Only paths at anchors of several documents can hold a shared window, so only these go on, by
-their anchor, to an index that compares them. An anchor with very many paths is taken apart into
-single windows, and those of several documents go on by their hash. What is hashed here chooses
-what is compared; it removes nothing, but for equal paths that one task holds at once, which are
-pre-aggregated to the one of the smallest document (128 bits of hashes).
+their anchor, to an index that compares them. Paths at an anchor with very many of them go on as
+single windows, by each window's hash, so no anchor's paths meet in one place. What is hashed here
+chooses what is compared; it removes nothing, but for equal paths that one task holds at once,
+which are pre-aggregated to the one of the smallest document (128 bits of hashes).
 
 Entries travel packed: by block of their anchor, and back by block of their document. There they
 meet the documents in one sorted stream, lists first, so no row is made for each entry.
@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import groups
-from .store import freed, partitions, rows_and_bytes, saved
+from .store import freed, rows_and_bytes, saved
 from .text import BYTE_KEYS, SPACE, Hasher, Words, slices
 
 #: Paths that a task holds before it hands them on.
 FLUSH = 1 << 19
 #: Bytes of text that one block stands for.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 2 << 20
 #: Paths at one anchor from which on its windows go on by their hashes, not by the anchor.
 HOT = 4096
 #: Texts with over 1 / COPY_SHARE of all rows are set aside but for their first document.
@@ -38,9 +38,10 @@ _ZSTD = pa.Codec("zstd", compression_level=1)
 
 ROWS = "kind int, block int, blob binary"
 #: Kinds of rows: entries by block of their anchor; lists by block of their document; documents.
-PACKED, REMOVE, PIECES, WINDOWS, DOCUMENT = range(5)
-#: A path or window: its anchor within the block, and where it is.
+PACKED, REMOVE, PIECES, DOCUMENT = range(4)
+#: A path: its anchor within the block, and where it is. At a hot anchor the anchor's offset is APART.
 ENTRY = np.dtype([("doc", "<i8"), ("key", "<u4"), ("start", "<u4"), ("length", "<u2"), ("offset", "<u2")])
+APART = 0xFFFF
 #: A removed span, and a hash of its units: ids may repeat, and it counts only in the rows that have it.
 SPAN = np.dtype([("doc", "<i8"), ("start", "<u4"), ("length", "<u2"), ("hash", "<u4")])
 
@@ -163,8 +164,8 @@ class Outbox:
         yield from dealt_out(PACKED, block, np.lexsort((entries["doc"], block)), lambda e: pack(entries[e]))
 
 
-def resolve(blocks: int, hot: int | None):
-    """Of the packed entries of each block: those whose anchor several documents have; over ``hot`` of one anchor apart."""
+def resolve(blocks: int, hot: int):
+    """Of the packed entries of each block: those whose anchor several documents have; over ``hot`` of one anchor marked APART."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         others: list[pa.RecordBatch] = []
@@ -191,10 +192,8 @@ def resolve(blocks: int, hot: int | None):
             at = np.flatnonzero(np.append(True, entries["key"][1:] != entries["key"][:-1]))
             size = np.diff(np.append(at, len(entries)))
             shared = np.minimum.reduceat(entries["doc"], at) < np.maximum.reduceat(entries["doc"], at)
-            many = size > hot if hot else np.zeros(len(at), bool)
-            head = np.uint32(tile["block"][0].as_py()).tobytes()
-            for kind, some in ((PIECES, shared & ~many), (WINDOWS, shared & many)):
-                yield from to_documents(kind, entries[np.repeat(some, size)], blocks, head)
+            entries["offset"][np.repeat(size > hot, size)] = APART
+            yield from to_documents(PIECES, entries[np.repeat(shared, size)], blocks, np.uint32(tile["block"][0].as_py()).tobytes())
         yield from others
 
     return run
@@ -248,30 +247,6 @@ def of_rows(ids: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.repeat(np.arange(len(ids)), hi - lo), spread(lo, hi - lo)
 
 
-def find_windows(window: int, blocks: int):
-    """Packed single windows of the listed paths; a window is known by two hashes of its units."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        box = Outbox(blocks)
-        for entries, _, docs in meeting(batches, ENTRY):
-            ids = docs.column("doc").to_numpy()
-            for lo, hi, data, at in slices(docs.column("text")):
-                row, e = of_rows(ids[lo:hi], entries)
-                if not len(row):
-                    continue
-                units = Units(data, at, False)
-                many = entries["length"][e].astype(np.int64) - window + 1
-                w, row = spread(units.first[row] + entries["start"][e], many), np.repeat(row, many)
-                fits = w + window <= units.first[row + 1]
-                w, row = w[fits], row[fits]
-                second = Hasher(units.items ^ np.uint64(0x5851F42D4C957F2D), 1).windows(w, w + window)
-                base = units.first[row]
-                yield from box.add(second, units.hasher.windows(w, w + window), ids[lo:hi][row], w - base, w + window - base, w - base)
-        yield from box.flush()
-
-    return run
-
-
 def set_aside(docs: DataFrame, key: str) -> tuple[DataFrame, int]:
     """(doc long, text, first) and the bytes of all texts. first: of copies of a very frequent text, the smallest id.
 
@@ -289,11 +264,12 @@ def removed_spans(texts: DataFrame, size: int, k: int, window: int, pieces, inde
     """What kept() makes of all documents and their SPANs: of windows that a smaller document has.
 
     pieces(blocks) makes packed texts of listed entries, index(blocks) the removed spans of those of
-    each block. Blocks stand for BLOCK_BYTES of text each at any size; where there are more of them
-    than partitions, a task works on one after the other.
+    each block. Blocks stand for BLOCK_BYTES of text each at any size; a task works on several, one
+    after the other.
     """
     spark = texts.sparkSession
-    blocks, parts = partitions(spark, size, BLOCK_BYTES)
+    blocks = max(16, size // BLOCK_BYTES)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 16, blocks // 4))
     while any(blocks % p == 0 for p in range(2, int(blocks**0.5) + 1)):
         blocks += 1  # a prime: ids in steps are spread all the same
     others = texts.where("doc is not null and (first is null or doc <= first)")
@@ -311,15 +287,9 @@ def removed_spans(texts: DataFrame, size: int, k: int, window: int, pieces, inde
     of = lambda df, kind: df.where(F.col("kind") == kind)
     found = saved(dealt(others.mapInArrow(find_paths(k, window, blocks), ROWS)).mapInArrow(resolve(blocks, HOT), ROWS))
     freed(spark)
-    tables = [found]
-    if not (hot := of(found, WINDOWS)).isEmpty():
-        single = beside([hot], others).mapInArrow(find_windows(window, blocks), ROWS)
-        tables.append(saved(dealt(single).mapInArrow(resolve(blocks, None), ROWS)))
-        freed(spark)
-    listed = [of(t, PIECES) for t in tables]
-    tables.append(saved(dealt(beside(listed, others).mapInArrow(pieces(blocks), ROWS)).mapInArrow(index(blocks), ROWS)))
+    compared = saved(dealt(beside([of(found, PIECES)], others).mapInArrow(pieces(blocks), ROWS)).mapInArrow(index(blocks), ROWS))
     freed(spark)
-    return beside([of(t, REMOVE) for t in tables], texts).mapInArrow(kept, schema)
+    return beside([of(t, REMOVE) for t in (found, compared)], texts).mapInArrow(kept, schema)
 
 
 def marked(units: Units, row: np.ndarray, spans: np.ndarray, whole: np.ndarray) -> np.ndarray:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import groups
-from .repeats import ENTRY, PACKED, SPAN, Units, dealt_out, marked, meeting, of_rows, pack, removed, removed_spans, set_aside, spelled, spread, unpack
+from .repeats import APART, ENTRY, PACKED, SPAN, Units, dealt_out, marked, meeting, of_rows, pack, removed, removed_spans, set_aside, spelled, spread, unpack
 from .store import table
 from .suffixes import suffix_order
 from .text import BYTE_KEYS, Hasher, slices
@@ -144,8 +144,12 @@ def _equal(entries: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order, np.cumsum(new) - 1, np.minimum.reduceat(doc, np.flatnonzero(new)), two
 
 
-def _find_pieces(blocks: int):
-    """Texts of the listed paths and windows, by block of their anchor. Equal ones of a task go on for their smallest document."""
+def _find_pieces(window: int):
+    return lambda blocks: _pieces(window, blocks)
+
+
+def _pieces(window: int, blocks: int):
+    """Texts of the listed paths, or their windows, by block of their anchor. Equal ones of a task go on for their smallest document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -172,7 +176,17 @@ def _find_pieces(blocks: int):
                 e, start, n = e[fits], start[fits], n[fits]
                 if not len(e):
                     continue
-                held.append((entries[e], heads[e], data[spread(start, n)]))
+                own, block = entries[e], heads[e]
+                apart = own["offset"] == APART
+                if apart.any():  # windows instead, each by its hash
+                    many = np.where(apart, n - window + 1, 1)
+                    start, own, block = spread(start, many), np.repeat(own, many), np.repeat(block, many)
+                    inside, apart = np.arange(len(start)) - np.repeat(np.cumsum(many) - many, many), np.repeat(apart, many)
+                    h = Hasher(BYTE_KEYS[0][data], 1).windows(start[apart], start[apart] + window)
+                    own["start"] += inside.astype(np.uint32)
+                    own["key"][apart], own["length"][apart], own["offset"][apart] = h & np.uint64(0xFFFFFFFF), window, 0
+                    block[apart] = ((h >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
+                held.append((own, block, data[spread(start, own["length"].astype(np.int64))]))
                 count += len(held[-1][2])
                 if count >= FLUSH_BYTES:
                     yield from flush()
@@ -249,7 +263,7 @@ def _index_blocks(k: int, window: int):
                 e = entries[late]
                 yield from removed(e["doc"], e["start"], e["length"], h[late], blocks)
                 at = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
-                some = at[(np.bincount(piece, late) > 0) | _may_match(raw, data, order[at], k, window)]
+                some = at[_may_match(raw, data, order[at], k, window)]
                 some = some[np.argsort(entries["key"][some])]
                 key, total = entries["key"][some], np.cumsum(n[some])
                 edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(some) else np.zeros(1, np.int64)
@@ -323,7 +337,7 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, key: str = "doc_id") -> D
     whatever their names, are not read.
     """
     texts, size = set_aside(docs, key)
-    return removed_spans(texts, size, K, window, _find_pieces, _index_blocks(K, window), _kept(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return removed_spans(texts, size, K, window, _find_pieces(window), _index_blocks(K, window), _kept(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
