@@ -9,8 +9,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .store import table
+from .store import saved, table
 from .suffixes import suffix_order
 from .text import LOWER, NOT_ALNUM, Words, slices, small_ints
 
@@ -215,12 +216,34 @@ def _blocks(benchmark: DataFrame, id_col: str, limit: int) -> Iterator[tuple[lis
     yield ids, texts
 
 
-def _first_block(benchmark: DataFrame, id_col: str) -> tuple[Benchmark, list[Benchmark]]:
-    made = [Benchmark(i, t) for i, t in _blocks(benchmark, id_col, BLOCK_BYTES)]
-    return made[0], made[1:]
-
-
 HITS = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
+_STATE = "doc_id long, text string, hit binary, items array<string>"
+
+
+def _each_block(benchmark: DataFrame, id_col: str) -> Iterator[tuple[Benchmark, bool]]:
+    """The blocks of the benchmark, one at a time, and whether it is the last."""
+    before = None
+    for ids, texts in _blocks(benchmark, id_col, BLOCK_BYTES):
+        if before is not None:
+            if not ids:
+                break
+            yield Benchmark(*before), False
+        before = ids, texts
+    yield Benchmark(*before), True
+
+
+def _hits(batch: pa.RecordBatch, bench: Benchmark) -> Iterator[tuple]:
+    """first row, last row + 1, words, hit words and items of each row, those of earlier blocks included."""
+    known = "hit" in batch.schema.names
+    for lo, hi, _, words, hit, rows, item in _scan(batch.column("text"), bench):
+        items: list[list] = [[] for _ in range(hi - lo)]
+        for r, i in zip(rows.tolist(), item.tolist(), strict=True):
+            items[r].append(bench.ids[i])
+        if known:
+            part = batch.slice(lo, hi - lo)
+            hit |= np.concatenate([np.unpackbits(np.frombuffer(h, np.uint8), count=n) for h, n in zip(part.column("hit").to_pylist(), words.per_row.tolist(), strict=True)]).astype(bool)
+            items = [a + b for a, b in zip(items, part.column("items").to_pylist(), strict=True)]
+        yield lo, hi, words, hit, [sorted(set(x)) for x in items]
 
 
 def spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id") -> DataFrame:
@@ -228,45 +251,52 @@ def spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id") -> Dat
 
     A shard is a run of whole documents inside a task; its index is built, searched and dropped
     there, so a lost executor costs the shards of its tasks and no shuffle is needed. The benchmark is
-    the query set: it goes to all tasks in blocks of BLOCK_BYTES, one pass over the documents for
-    each, merged by document where there is more than one block.
-
-    Null and empty texts have no words. Rows that repeat are reported each. Items of equal text
-    are all reported; items without words never. Null ids stay null.
+    the query set: it goes to all tasks in blocks of BLOCK_BYTES. The driver and each task hold one
+    block at a time: with more than one, there is a pass over the documents for each, which carries
+    the hits so far along with the row and is written before the next.
+
+    Null and empty texts have no words. Rows that repeat are reported each, so ties need no rule.
+    Items of equal text are all reported; items without words never. Null ids stay null. Memory is
+    linear in the longest text. An empty table gives none. Other columns, whatever their names, are
+    not read.
     """
-    first, others = _first_block(benchmark, id_col)
     sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(b) for b in [first, *others]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, text = batch.column(0), batch.column(1)
-            got = [_scan(text, b.value) for b in shared]
-            for parts in zip(*got, strict=True):
-                lo, hi, _, words, _, _, _ = parts[0]
-                hit = np.logical_or.reduce([p[4] for p in parts])
-                items = [[] for _ in range(hi - lo)]
-                for b, p in zip(shared, parts, strict=True):
-                    for r, i in zip(p[5].tolist(), p[6].tolist(), strict=True):
-                        items[r].append(b.value.ids[i])
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                s, e = edge[0::2], edge[1::2]
-                # a run that goes on over a document's end is two spans
-                cut = words.first_word[1:-1]
-                extra = cut[(cut > 0) & (cut < len(hit))]
-                extra = np.unique(extra[hit[extra] & hit[extra - 1]]) if len(extra) else extra
-                s, e = np.sort(np.concatenate([s, extra])), np.sort(np.concatenate([e, extra]))
-                row = words.row[s] if len(s) else s
-                runs: list[list] = [[] for _ in range(hi - lo)]
-                for r, x, y in zip(row.tolist(), (s - words.first_word[row]).tolist(), (e - words.first_word[row]).tolist(), strict=True):
-                    runs[r].append({"start": x, "end": y})
-                n_hit = np.bincount(words.row[hit], minlength=hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(words.per_row, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                    ["doc_id", "n_words", "n_hit", "items", "spans"],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(run, HITS)
+    table_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    for bench, last in _each_block(benchmark, id_col):
+        shared = sc.broadcast(bench)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            for batch in batches:
+                for lo, hi, words, hit, items in _hits(batch, shared.value):
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+                    s, e = edge[0::2], edge[1::2]
+                    # a run that goes on over a document's end is two spans
+                    cut = words.first_word[1:-1]
+                    extra = cut[(cut > 0) & (cut < len(hit))]
+                    extra = np.unique(extra[hit[extra] & hit[extra - 1]]) if len(extra) else extra
+                    s, e = np.sort(np.concatenate([s, extra])), np.sort(np.concatenate([e, extra]))
+                    row = words.row[s] if len(s) else s
+                    runs: list[list] = [[] for _ in range(hi - lo)]
+                    for r, x, y in zip(row.tolist(), (s - words.first_word[row]).tolist(), (e - words.first_word[row]).tolist(), strict=True):
+                        runs[r].append({"start": x, "end": y})
+                    n_hit = np.bincount(words.row[hit], minlength=hi - lo)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").slice(lo, hi - lo), pa.array(words.per_row, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
+                        ["doc_id", "n_words", "n_hit", "items", "spans"],
+                    )
+
+        def so_far(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            for batch in batches:
+                for lo, hi, words, hit, items in _hits(batch, shared.value):
+                    packed = [np.packbits(hit[a:b]).tobytes() for a, b in zip(words.first_word[:-1].tolist(), words.first_word[1:].tolist(), strict=True)]
+                    part = batch.slice(lo, hi - lo)
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(packed, pa.binary()), pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", "hit", "items"])
+
+        if last:
+            return table_.mapInArrow(run, HITS)
+        table_ = saved(table_.mapInArrow(so_far, _STATE))
+        shared.unpersist()
+    raise AssertionError("there is always a last block")
 
 
 def cut(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id") -> DataFrame:
@@ -274,21 +304,21 @@ def cut(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id") -> DataF
 
     A removed span becomes one space. Where the rest still holds a window, because words came
     together, it is cut again. Documents without a hit are unchanged; those with no word left go.
+    The benchmark is cut out a block of BLOCK_BYTES at a time, each pass written before the next;
+    with more than one block, all again until a round finds no hit.
+
+    Null and empty texts are unchanged. Rows that repeat are cut alike. An empty table gives none.
     """
-    first, others = _first_block(benchmark, id_col)
     sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(b) for b in [first, *others]]
     names = docs.columns
 
-    def clean(column: pa.Array) -> tuple[list[str | None], list[bool]]:
+    def clean(column: pa.Array, bench: Benchmark) -> tuple[list[str | None], list[bool]]:
         texts, keep = column.to_pylist(), [True] * len(column)
         again = list(range(len(texts)))
         while again:
             part = pa.array([texts[i] for i in again], pa.string())
             hits: list[int] = []
-            for parts in zip(*[_scan(part, b.value) for b in shared], strict=True):
-                lo, hi, at, words, _, _, _ = parts[0]
-                gone = np.logical_or.reduce([p[4] for p in parts])
+            for lo, _, at, words, gone, _, _ in _scan(part, bench):
                 for r in np.unique(words.row[gone]).tolist():
                     i, (a, b) = again[lo + r], words.first_word[r : r + 2]
                     raw, out, last = texts[i].encode(), [], 0
@@ -302,23 +332,37 @@ def cut(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id") -> DataF
             again = hits
         return texts, keep
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            before = batch.column("text")
-            texts, keep = clean(before)
-            cols = {n: batch.column(n) for n in names}
-            changed = [a != b for a, b in zip(texts, before.to_pylist(), strict=True)]
-            cols["text"] = pa.array(texts, before.type)
-            if "n_chars" in cols:
-                cols["n_chars"] = pa.array([len(t) if c else n for t, c, n in zip(texts, changed, cols["n_chars"].to_pylist(), strict=True)], cols["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(cols.values()), names).filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    def one_pass(table_: DataFrame, bench: Benchmark) -> DataFrame:
+        shared = sc.broadcast(bench)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                before = batch.column("text")
+                texts, keep = clean(before, shared.value)
+                cols = {n: batch.column(n) for n in names}
+                changed = [a != b for a, b in zip(texts, before.to_pylist(), strict=True)]
+                cols["text"] = pa.array(texts, before.type)
+                if "n_chars" in cols:
+                    cols["n_chars"] = pa.array([len(t) if c else n for t, c, n in zip(texts, changed, cols["n_chars"].to_pylist(), strict=True)], cols["n_chars"].type)
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names).filter(pa.array(keep, pa.bool_()))
+
+        return table_.mapInArrow(run, table_.schema)
+
+    blocks = _each_block(benchmark, id_col)
+    bench, last = next(blocks)
+    if last:
+        return one_pass(docs, bench)
+    while True:
+        docs = saved(one_pass(docs, bench))
+        for bench, _ in blocks:
+            docs = saved(one_pass(docs, bench))
+        if spans(docs, benchmark, id_col).where("n_hit > 0").isEmpty():
+            return docs
+        blocks = _each_block(benchmark, id_col)
+        bench, _ = next(blocks)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     found = spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

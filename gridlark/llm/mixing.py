@@ -46,9 +46,11 @@ def mix(docs: DataFrame, size: str = "size", key: str = "doc_id", weights: tuple
     passes exist, so no document exceeds ``most`` times its size.
 
     Sums are two-level: by (source, bucket of the shuffle key), then within a bucket of about
-    ``bucket_rows`` rows (65536 buckets at most), so a source of any share is spread. Null keys shuffle as the empty key,
+    ``bucket_rows`` rows (65,536 buckets at most, which Spark sums in a sort that can spill), so a
+    source of any share is spread. Null keys shuffle as the empty key,
     null sources are a source, empty documents take 0, and equal rows are ordered arbitrarily among
-    themselves, which changes no row. Columns of the input named as a new column are replaced.
+    themselves, which changes no row. Columns of the input named as a new column are replaced, and
+    ``_key``, ``_bucket``, ``_sum`` and ``_upto`` are dropped. An empty table gives none.
     """
     docs = docs.drop("source_size", "target", "taken")
     n = docs.count()

@@ -127,6 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     """None where the labels don't hold both classes."""
     spark = docs.sparkSession
     marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    marked = marked.join(docs.select("doc_id").where("doc_id is not null"), "doc_id", "left_semi")
     marked = first_by_hash(marked, max_labelled, 3).toPandas()
     pool = first_by_hash(docs.where("doc_id is not null").select("doc_id").distinct(), max_pool, 4).toPandas()
     if marked["quality"].nunique() < 2:
@@ -150,7 +151,9 @@ def score(docs: DataFrame, model: CoTraining | None) -> DataFrame:
     """doc_id, p_text, p_meta (calibrated views) and score of every whole document.
 
     Null and empty texts have the features of no word, null metadata is a value of its own. Without
-    a model every score is 1, so nothing is rejected.
+    a model every score is 1, so nothing is rejected. Rows that repeat are scored each, and alike;
+    ties need no rule. Memory is linear in the longest text. An empty table gives none. Other
+    columns, whatever their names, are not read.
     """
     if model is None:
         return docs.select("doc_id", *[F.lit(1.0).alias(c) for c in ("p_text", "p_meta", "score")])

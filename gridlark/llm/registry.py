@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, partenum, quality, sharding, substrings, suffixdedup, toxicity, vectors
+from . import decontaminate, language, mixing, oracles, partenum, quality, sharding, substrings, suffixdedup, toxicity, vectors
 
 
 def queries() -> dict:
@@ -10,4 +10,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.OP7_SQL}
+    return {
+        "op3_fm_decontaminate": oracles.OP3_SQL, "op5_partenum_join": oracles.OP5_SQL, "op7_mixing": mixing.OP7_SQL, "op8_debruijn_substrings": oracles.OP8_SQL,
+        "op9_runlength_suffixes": oracles.OP9_SQL, "op10_collision_vectors": oracles.OP10_SQL,
+    }

@@ -33,7 +33,8 @@ def _quotas(demand: list, load: dict[int, float], room: float, shards: int) -> d
 def propagate(nodes: DataFrame, shards: int, capacity: float, held: list[int], most_rounds: int = 20) -> DataFrame:
     """Labels of linked nodes when balanced label propagation has settled.
 
-    nodes: node, parent long, label int (its first shard), w long (rows it stands for). Links are
+    nodes: node, parent long, label int (its first shard), w long (rows it stands for), h long (a hash of
+    its content, so that runs agree). Links are
     stars: leaves are linked with their parent, a centre is its own. In even rounds leaves ask for
     their centre's label, in odd rounds centres ask for a label that more of their leaves have than
     have their own, so each move makes more links whole and none is undone. Moves from i to j are
@@ -55,7 +56,7 @@ def propagate(nodes: DataFrame, shards: int, capacity: float, held: list[int], m
             asked = nodes.join(wish, "node", "left").join(own, ["node", "label"], "left")
             asks = (F.col("node") == F.col("parent")) & (F.col("v") > F.coalesce("own", F.lit(0)))
             asked = asked.withColumn("to", F.when(asks, F.col("to")).otherwise(F.col("label")))
-        asked = saved(asked.select("node", "parent", "label", "w", "to"))
+        asked = saved(asked.select("node", "parent", "label", "w", "h", "to"))
         counted = asked.groupBy(F.col("label").alias("src_label"), F.col("to").alias("dst_label")).agg(F.sum("w").alias("w")).collect()
         load = {s: float(h) for s, h in enumerate(held)}
         for r in counted:
@@ -65,8 +66,8 @@ def propagate(nodes: DataFrame, shards: int, capacity: float, held: list[int], m
         share = F.lit(0.0)
         for (a, b), part in parts.items():
             share = F.when((F.col("label") == a) & (F.col("to") == b), F.lit(part)).otherwise(share)
-        luck = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        nodes = asked.select("node", "parent", F.when(luck < share, F.col("to")).otherwise(F.col("label")).alias("label"), "w")
+        luck = F.pmod(F.xxhash64("h", F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        nodes = asked.select("node", "parent", F.when(luck < share, F.col("to")).otherwise(F.col("label")).alias("label"), "w", "h")
         idle = 0 if parts else idle + 1
         if idle == 2 or turn % 2 == 0 and not demand:
             break
@@ -101,14 +102,17 @@ def shard(docs: DataFrame, shards: int = 8, bucket_rows: int = 1000) -> DataFram
     first, and only what no shard has room for is cut. Rows without links fill the shards up, and a
     shard's surplus goes to those short of rows. Slots of a shard run from 0 without gaps; they are
     sums over (shard, bucket) plus a rank in a bucket, never a sort of all; the rows of a weighted
-    node are dealt over buckets of its own.
+    node are dealt over buckets of its own. There are 65,536 buckets at most, whose rows Spark ranks in
+    a sort that can spill.
 
     A null text has size 1 and crc32 0 and is linked with nothing; empty texts are equal texts. Rows
-    that repeat, ids included, are rows of their own. Null ids are kept. An empty table gives none.
+    that repeat, ids included, are rows of their own, known by a number. Ties go by a hash. Null ids
+    are kept. Memory is linear in the longest text. An empty table gives none. Other columns,
+    whatever their names, are not read.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long")
-    rows = saved(docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("_group")))
+    rows = saved(docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("_group"), F.monotonically_increasing_id().alias("_row")))
     n = rows.count()
     groups = saved(rows.where("_group is not null").groupBy("_group").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
     quota = [n // shards + (s < n % shards) for s in range(shards)]
@@ -120,13 +124,13 @@ def shard(docs: DataFrame, shards: int = 8, bucket_rows: int = 1000) -> DataFram
     large = [(g, c, i, [sum(k for _, k in p[:j]) for j in range(1, len(p))], [to for to, _ in p]) for i, ((g, c), p) in enumerate(zip(large, plan, strict=True))]
     large = rows.sparkSession.createDataFrame(large, "_group binary, _n long, _i long, _cuts array<long>, _to array<int>")
     rows = rows.join(F.broadcast(large), "_group", "left")
-    node = F.xxhash64("_group", "doc_id")
+    node = F.col("_row")
     small = rows.where("_group is not null and _n is null")
     first = small.groupBy("_group").agg(F.min_by(node, F.struct("doc_id")).alias("_first"), F.count(F.lit(1)).alias("_rows"))
     first = first.where("_rows > 1").drop("_rows")
-    nodes = small.join(first, "_group").groupBy(node.alias("node"), F.col("_first").alias("parent")).agg(F.count(F.lit(1)).alias("w"))
+    nodes = small.join(first, "_group").select(node.alias("node"), F.col("_first").alias("parent"), F.lit(1).cast("long").alias("w"), F.xxhash64("_group", "doc_id").alias("h"))
     # first labels in proportion to the room that the weighted nodes leave
-    luck = F.pmod(F.xxhash64("node", F.lit("start")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    luck = F.pmod(F.xxhash64("h", F.lit("start")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     room = [q - h for q, h in zip(quota, held, strict=True)]
     start = sum(((luck >= sum(room[:s]) / max(1, sum(room))).cast("int") for s in range(1, shards)), F.lit(0))
     labels = propagate(saved(nodes.withColumn("label", start)), shards, n / shards, held)

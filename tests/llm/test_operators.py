@@ -110,11 +110,30 @@ def test_cut_leaves_no_window(docs, benchmark):
 
 def test_benchmark_in_several_blocks(docs, benchmark, monkeypatch):
     whole = decontaminate.spans(docs, benchmark).select("doc_id", "n_hit", "items").toPandas().sort_values("doc_id").reset_index(drop=True)
+    whole_cut = {r["doc_id"]: r["text"] for r in decontaminate.cut(docs, benchmark).collect()}
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)
+    parts_cut = {r["doc_id"]: r["text"] for r in decontaminate.cut(docs, benchmark).collect()}
+    assert decontaminate.spans(docs.sparkSession.createDataFrame(list(parts_cut.items()), "doc_id long, text string"), benchmark).where("n_hit > 0").isEmpty()
+    assert parts_cut.keys() == whole_cut.keys()
     parts = decontaminate.spans(docs, benchmark).select("doc_id", "n_hit", "items").toPandas().sort_values("doc_id").reset_index(drop=True)
     assert whole["n_hit"].tolist() == parts["n_hit"].tolist() and [list(x) for x in whole["items"]] == [list(x) for x in parts["items"]]
 
 
+def test_sql_says_the_same(docs, benchmark, tmp_path):
+    """The SQL of the contracts, on the fixture with null and empty texts and copies."""
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": IDS, "text": TEXTS}))
+    con.register("benchmark", pa.Table.from_pandas(benchmark.toPandas()))
+    sql = registry.oracle_sql()
+    b = benchmark.toPandas()
+    for name, want in (
+        ("op3_fm_decontaminate", decontaminate.brute_force(IDS, TEXTS, b["item_id"].tolist(), b["text"].tolist())), ("op5_partenum_join", partenum.brute_force(IDS, TEXTS)),
+        ("op8_debruijn_substrings", substrings.brute_force(IDS, TEXTS)), ("op9_runlength_suffixes", suffixdedup.brute_force(IDS, TEXTS)),
+    ):
+        got = con.sql(sql[name]).df()[list(want.columns)].sort_values("doc_id").reset_index(drop=True)
+        pd.testing.assert_frame_equal(got, want, check_dtype=False)
+
+
 def test_jaccard_join(docs, nothing):
     same(partenum.link_classes(docs), partenum.brute_force(IDS, TEXTS))
     assert partenum.link_classes(nothing).count() == 0
@@ -373,6 +392,13 @@ def test_classifiers_on_odd_tables(docs, labels, nothing):
     assert quality.accepted(docs, quality.fit(docs, labels)).columns == docs.columns
 
 
+def test_labels_of_other_documents_do_not_crowd_out_ours(spark, docs, labels):
+    """Samples are of labels that our documents have."""
+    foreign = spark.range(1000, 3000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "cast(id % 2 as int) as toxic")
+    more = labels.unionByName(foreign)
+    assert quality.fit(docs, more, max_labelled=30) is not None and toxicity.fit(docs, more, max_positive=5) is not None
+
+
 # ---- parts
 
 
