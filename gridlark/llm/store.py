@@ -37,8 +37,9 @@ def partitions(spark: SparkSession, size: int, block_bytes: int, most: int = 1 <
 
 
 def freed(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of plans that nothing refers to any more."""
+    """Lets Spark delete shuffle files of plans that nothing refers to any more; a small job makes it forget the last one."""
     gc.collect()
+    spark.range(1).collect()
     spark.sparkContext._jvm.System.gc()
 
 
