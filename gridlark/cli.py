@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import sinks
 from .operators import estimate, exact, features, gbm
 from .operators.potentials import Potentials
-from .operators.reuse import once_for_each
+from .operators.reuse import known_answers, once_for_each, with_known
 from .plans.arch import Arch
 from .sources import architecture, requests
 
@@ -34,6 +34,10 @@ def options(args: list[str]) -> argparse.Namespace:
     p.add_argument("--limit", type=int, default=0)
     p.add_argument("--margin")
     p.add_argument("--relative-gap-est", "--est", dest="relative", action="store_true")
+    p.add_argument("--known", help="Parquet table (from, to, delay) of answers that go before any estimate")
+    p.add_argument("--no-public-cache", action="store_true", help="don't look answers up in --known")
+    p.add_argument("--workers", type=int, help="partitions that requests are dealt over")
+    p.add_argument("--progress", type=int, default=0, help="seconds between lines on rows done; 0: none")
     p.add_argument("--permissive", action="store_true", help="set rows with errors aside instead of failing")
     o = p.parse_args(args)
     if bool(o.source) != bool(o.target):
@@ -77,7 +81,7 @@ def solve(bound: DataFrame, arch: Arch, o: argparse.Namespace) -> DataFrame:
         est = estimate.raw_estimates(pairs, arch, potentials)
         if o.model:
             feats = features.features(est, arch)
-            return gbm.predict(feats, gbm.read_model(spark, o.model)).select(*estimate.KEYS, "features", F.col("prediction").alias("delay"))
+            return gbm.predict(feats, gbm.read_model(spark, model_file(spark, o.model))).select(*estimate.KEYS, "features", F.col("prediction").alias("delay"))
         if o.calibration:
             return estimate.calibrated(est, spark.read.parquet(o.calibration)).withColumn("delay", F.col("calibrated"))
         return est.withColumn("delay", F.col("raw"))
@@ -85,19 +89,38 @@ def solve(bound: DataFrame, arch: Arch, o: argparse.Namespace) -> DataFrame:
     return once_for_each(bound, estimate.KEYS, fast)
 
 
+def answered(bound: DataFrame, arch: Arch, o: argparse.Namespace) -> DataFrame:
+    """Known answers first, then one solution for each other pair: by the model if there is one, else calibrated, else raw."""
+    if not o.known or o.no_public_cache or o.solver != "fast" or o.feature_output or o.model_feature_output:
+        return solve(bound, arch, o)
+    known = known_answers(bound.sparkSession.read.parquet(o.known), arch.ports)
+    return with_known(bound, known, lambda rest: solve(rest, arch, o))
+
+
+def model_file(spark: SparkSession, name: str) -> str:
+    """The file itself, or the first of that name in models/ and the working folder."""
+    found = gbm.find_model(spark, name, ["", "models", "."] if not name.startswith("/") and "://" not in name else [""])
+    if found is None:
+        raise FileNotFoundError(name)
+    return found
+
+
 def main(args: list[str] | None = None) -> int:
     o = options(sys.argv[1:] if args is None else args)
     spark = SparkSession.builder.appName("gridlark").getOrCreate()
     arch = load_arch(spark, o)
     asked = requests.read_requests(spark, o.input, o.limit) if o.input else requests.single_request(spark, o.source, o.target)
     bound, rejected = requests.bind(asked, arch, strict=not o.permissive)
-    solved = solve(bound, arch, o)
+    if o.workers:
+        bound = bound.repartition(o.workers)
+    solved = answered(bound, arch, o)
     if o.source:
         print(sinks.single_line(solved if "path" in solved.columns else solved.withColumn("path", F.lit(None).cast("string")), paths=True))
         return 0
     solved, seen = sinks.run_report(solved)
     solved = solved.persist()
-    sinks.write_results(solved, o.output)
+    with sinks.progress(spark, o.progress):
+        sinks.write_results(solved, o.output)
     if o.path_output:
         sinks.write_paths(solved, o.path_output)
     if o.feature_output:

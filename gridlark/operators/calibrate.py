@@ -12,6 +12,10 @@ from ..plans.lineage import cut
 from .estimate import calibration_keys
 
 
+#: Cells of a stage that are broadcast, 24 bytes each; all twelve tables of the published form together have fewer.
+MOST_CELLS = 1 << 19
+
+
 def effects(df: DataFrame, cell: Column, shrink: float, golden: str = "golden", prediction: str = "prediction") -> DataFrame:
     """(cell, effect): sum of log(golden / prediction) over (rows + shrink). Rows that are not positive don't count."""
     use = df.where((F.col(golden) > 0) & (F.col(prediction) > 0))
@@ -22,15 +26,17 @@ def effects(df: DataFrame, cell: Column, shrink: float, golden: str = "golden",
 def staged_fit(df: DataFrame, stages: list[tuple[str, Column, float]], golden: str = "golden", prediction: str = "prediction") -> tuple[DataFrame, DataFrame]:
     """(tables (name, cell, effect), df with the fitted ``prediction``).
 
-    Each stage sees the prediction of the one before. Effects are aggregated before the shuffle, and
-    joined back by their cell; the lineage is cut every fourth stage.
+    Each stage sees the prediction of the one before. Effects are aggregated before the shuffle and
+    joined back by their cell: sent to all tasks where MOST_CELLS or fewer were counted, so the rows
+    stay where they are; else by a shuffle. The lineage is cut every fourth stage.
     """
     tables = None
     for i, (name, cell, shrink) in enumerate(stages):
         df = df.withColumn("_cell", cell.cast("long"))
         fitted = effects(df, F.col("_cell"), shrink, golden, prediction)
         fitted = cut(fitted)
-        df = df.join(fitted.withColumnRenamed("cell", "_cell"), "_cell", "left").withColumn(prediction, F.col(prediction) * F.exp(F.coalesce("effect", F.lit(0.0)))).drop("_cell", "effect")
+        beside = fitted.withColumnRenamed("cell", "_cell")
+        df = df.join(F.broadcast(beside) if fitted.count() <= MOST_CELLS else beside, "_cell", "left").withColumn(prediction, F.col(prediction) * F.exp(F.coalesce("effect", F.lit(0.0)))).drop("_cell", "effect")
         own = fitted.select(F.lit(name).alias("name"), "cell", "effect")
         tables = own if tables is None else tables.unionByName(own)
         if i % 4 == 3:

@@ -148,15 +148,38 @@ def decode(data: bytes) -> Model:
     return Model(roots.astype(np.int64), rows["left"].astype(np.int64), rows["right"].astype(np.int64), decision, count, rows["feature"].astype(np.int64), rows["categorical"], values, words if len(words) else np.zeros(1, np.uint64), n_features).check()
 
 
-def encode(m: Model) -> bytes:
-    """Version 3."""
-    rows = np.empty(len(m.left), np.dtype([("left", "<i4"), ("right", "<i4"), ("decision", "<i4"), ("count", "<u2"), ("feature", "u1"), ("categorical", "u1")]))
+def encode(m: Model, version: int = 3) -> bytes:
+    """A model file of version 3 (masks, integer thresholds) or 1 (compact: thresholds as float, listed categories)."""
     if m.count.max(initial=0) > 65535 or m.feature.max(initial=0) > 255:
         raise ValueError("too many categories or features for the format")
-    for k in rows.dtype.names:
+    common = [("count", "<u2"), ("feature", "u1"), ("categorical", "u1")]
+    if version == 3:
+        rows = np.empty(len(m.left), np.dtype([("left", "<i4"), ("right", "<i4"), ("decision", "<i4"), *common]))
+        rows["count"], rows["decision"], cats = m.count, m.decision, m.masks.astype("<u8")
+    elif version == 1:
+        rows = np.zeros(len(m.left), np.dtype([("left", "<i4"), ("right", "<i4"), ("threshold", "<f8"), ("offset", "<u4"), *common]))
+        rows["threshold"] = np.where(m.categorical.astype(bool), 0, m.decision)
+        listed: list[int] = []
+        for i in np.flatnonzero(m.categorical):
+            words = m.masks[m.decision[i] : m.decision[i] + m.count[i]].tolist()
+            own = [64 * w + b for w, x in enumerate(words) for b in range(64) if x >> b & 1]
+            rows["offset"][i], rows["count"][i] = len(listed), len(own)
+            listed += own
+        if max(listed, default=0) > 65535:
+            raise ValueError("a category doesn't fit the format")
+        cats = np.array(listed, "<u2")
+    else:
+        raise ValueError(f"version {version} can't be written")
+    for k in ("left", "right", "feature", "categorical"):
         rows[k] = getattr(m, k)
-    head = struct.pack(HEADER, MAGIC[3], 3, m.n_features, len(m.roots), len(m.left), len(m.leaves), len(m.masks))
-    return head + m.roots.astype("<i4").tobytes() + rows.tobytes() + m.leaves.astype("<f8").tobytes() + m.masks.astype("<u8").tobytes()
+    head = struct.pack(HEADER, MAGIC[version], version, m.n_features, len(m.roots), len(m.left), len(m.leaves), len(cats))
+    return head + m.roots.astype("<i4").tobytes() + rows.tobytes() + m.leaves.astype("<f8").tobytes() + cats.tobytes()
+
+
+def same_residuals(a: Model, b: Model, rows: int = 128, seed: int = 1, most: float = 1e-12) -> bool:
+    """Whether two models agree on random whole numbers, negative ones and categories over 64 among them."""
+    x = np.random.Generator(np.random.PCG64(seed)).integers(-5, 700, (rows, a.n_features)).astype(np.int32)
+    return a.n_features == b.n_features and bool((np.abs(a.residual(x) - b.residual(x)) <= most).all())
 
 
 def read_model(spark: SparkSession, path: str) -> Model:
@@ -167,7 +190,7 @@ def find_model(spark: SparkSession, name: str, places: list[str]) -> str | None:
     """The first of the folders that has the file."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for place in places:
-        p = jvm.org.apache.hadoop.fs.Path(f"{place.rstrip('/')}/{name}")
+        p = jvm.org.apache.hadoop.fs.Path(f"{place.rstrip('/')}/{name}" if place else name)
         if p.getFileSystem(conf).exists(p):
             return p.toString()
     return None

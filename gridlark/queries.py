@@ -5,7 +5,6 @@ Requests come from ``orders``; small tables stand as VALUES in the SQL.
 
 from __future__ import annotations
 
-import tempfile
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +17,7 @@ from .functions.scalar import block_mask, crossing, nearest, on_block, zone
 from .operators import calibrate, estimate, exact, features, gbm, potentials, reuse, score
 from .plans import arch as archs
 from .plans import chip
+from .plans.lineage import cut, shared_folder
 from .sources import requests as reqs
 from .streaming import estimates as streams
 
@@ -256,51 +256,19 @@ def _walk_sql(w: int, h: int, blocks: list[tuple], lx: list, ly: list, nets: lis
     UNION ALL SELECT net_id, a.x, a.y, b.x, b.y, abs(b.p - a.p)::INT, {line('a.y', 'b.y', ly)}::INT FROM net JOIN sy_ a ON dx = 0 JOIN sy_ b ON b.x = a.x AND b.r = a.r + dy)"""
 
 
-@cache
-def _kinds() -> list[int]:
-    """One net of each wire and compass."""
-    seen: dict[tuple[int, int], int] = {}
-    for i, (_, _, dx, dy) in enumerate(chip.nets()):
-        seen.setdefault((dx, dy), i)
-    return sorted(seen.values())
-
-
-_KIND_NETS = [(i, *chip.nets()[i]) for i in _kinds()]
-_WALK = _walk_sql(120, 550, BLOCKS, LINES_X, LINES_Y, chip.nets()).replace(_values("net", "net_id, fp, tp, dx, dy", [(i, *n) for i, n in enumerate(chip.nets())]), _values("net", "net_id, fp, tp, dx, dy", _KIND_NETS))
+_WALK = _walk_sql(120, 550, BLOCKS, LINES_X, LINES_Y, chip.nets())
 
 
 @query(f"WITH {REQ_SQL}, {_WALK} SELECT o_orderkey, net_id, to_x, to_y, block_delay, line_delay FROM req JOIN walk ON from_x = sx AND from_y = sy")
 def net_walk(spark: SparkSession, sf: str) -> DataFrame:
-    a = _full(spark)
-    w = _kind_walks(a)
+    """All 160 nets from the source of every request."""
+    w = _full(spark).walks
     return _requests(spark, sf).join(w, (F.col("sx") == F.col("from_x")) & (F.col("sy") == F.col("from_y"))).select("o_orderkey", "net_id", "to_x", "to_y", "block_delay", "line_delay")
 
 
-def _kind_walks(a: archs.Arch) -> DataFrame:
-    a.nets = a.nets.where(F.col("net_id").isin(_kinds()))
-    return a.walks
-
-
 @query(f"WITH {REQ_SQL}, {_WALK} SELECT o_orderkey, net_id, from_x, from_y, block_delay, line_delay FROM req JOIN walk ON to_x = tx AND to_y = ty")
 def reverse_walk(spark: SparkSession, sf: str) -> DataFrame:
-    a = _full(spark)
-    _kind_walks(a)
-    return _requests(spark, sf).join(a.reverse_walks(), (F.col("tx") == F.col("to_x")) & (F.col("ty") == F.col("to_y"))).select("o_orderkey", "net_id", "from_x", "from_y", "block_delay", "line_delay")
-
-
-_ALL_WALKS = _walk_sql(120, 550, BLOCKS, LINES_X, LINES_Y, chip.nets())
-
-
-@query(f"WITH {REQ_SQL}, {_ALL_WALKS} SELECT o_orderkey, net_id, to_x, to_y, block_delay, line_delay FROM req JOIN walk ON from_x = sx AND from_y = sy")
-def net_walk_all(spark: SparkSession, sf: str) -> DataFrame:
-    """As net_walk, for all 160 nets."""
-    w = _full(spark).walks
-    return _requests(spark, sf).join(w, (F.col("sx") == F.col("from_x")) & (F.col("sy") == F.col("from_y"))).select("o_orderkey", "net_id", "to_x", "to_y", "block_delay", "line_delay")
-
-
-@query(f"WITH {REQ_SQL}, {_ALL_WALKS} SELECT o_orderkey, net_id, from_x, from_y, block_delay, line_delay FROM req JOIN walk ON to_x = tx AND to_y = ty")
-def reverse_walk_all(spark: SparkSession, sf: str) -> DataFrame:
-    """As reverse_walk, for all 160 nets."""
+    """All 160 nets into the target of every request."""
     w = _full(spark).reverse_walks()
     return _requests(spark, sf).join(w, (F.col("tx") == F.col("to_x")) & (F.col("ty") == F.col("to_y"))).select("o_orderkey", "net_id", "from_x", "from_y", "block_delay", "line_delay")
 
@@ -370,6 +338,7 @@ _DIRECT = "(SELECT min(delay) FROM arc WHERE arc.fp = p.sp AND arc.tp = p.tp AND
 _SAME = "(p.sx = p.tx AND p.sy = p.ty AND p.sp = p.tp)"
 _RAW = f"""part AS (SELECT l.*, direction, coalesce(CASE WHEN scalar*(ux*(tx-x)+uy*(ty-y)) + pot > 0 THEN (scalar*(ux*(tx-x)+uy*(ty-y)) + pot + 255)//256 END, 0)::INT AS h FROM land l CROSS JOIN scalar LEFT JOIN pot USING (direction, internal) WHERE pot.target = l.tp OR pot.target IS NULL),
   val AS (SELECT *, initial + h AS v FROM (SELECT sx, sy, sp, tx, ty, tp, o1, o2, x, y, internal, initial, max(h) AS h FROM part GROUP BY ALL)),
+  low AS (SELECT sx, sy, sp, tx, ty, tp, direction, min(initial + h) AS d FROM part GROUP BY ALL),
   best AS (SELECT sx, sy, sp, tx, ty, tp, min(v) AS best, (list_sort(list(v)))[2] AS second, count(*) AS candidates, min(initial) AS min_initial, max(initial) AS max_initial, arg_min(struct_pack(i := initial, x := x, y := y, n := internal), (v, o1, o2)) AS top FROM val GROUP BY ALL)"""
 
 
@@ -377,11 +346,13 @@ _RAW = f"""part AS (SELECT l.*, direction, coalesce(CASE WHEN scalar*(ux*(tx-x)+
 SELECT o_orderkey, (CASE WHEN {_SAME} THEN 0 ELSE least(best, {_DIRECT}) END)::INT AS raw, (CASE WHEN {_SAME} THEN 0 ELSE best END)::INT AS best, (CASE WHEN {_SAME} THEN 0 ELSE second END)::INT AS second,
   (CASE WHEN {_SAME} THEN 0 ELSE {_DIRECT} END)::INT AS direct, (CASE WHEN {_SAME} THEN 0 ELSE coalesce(candidates, 0) END)::INT AS candidates, (CASE WHEN {_SAME} THEN 0 ELSE min_initial END)::INT AS min_initial,
   (CASE WHEN {_SAME} THEN 0 ELSE coalesce(max_initial, 0) END)::INT AS max_initial, (CASE WHEN {_SAME} THEN 0 ELSE coalesce(top.i, 0) END)::INT AS best_initial, (CASE WHEN {_SAME} THEN 0 ELSE coalesce(top.x, 0) END)::INT AS best_x,
-  (CASE WHEN {_SAME} THEN 0 ELSE coalesce(top.y, 0) END)::INT AS best_y, (CASE WHEN {_SAME} THEN 0 ELSE coalesce(top.n, 0) END)::INT AS best_internal FROM small p LEFT JOIN best USING (sx, sy, sp, tx, ty, tp)""")
+  (CASE WHEN {_SAME} THEN 0 ELSE coalesce(top.y, 0) END)::INT AS best_y, (CASE WHEN {_SAME} THEN 0 ELSE coalesce(top.n, 0) END)::INT AS best_internal,
+  {", ".join(f"(CASE WHEN {_SAME} THEN 0 ELSE d.d{i} END)::INT AS d{i}" for i in range(8))} FROM small p LEFT JOIN best USING (sx, sy, sp, tx, ty, tp)
+  LEFT JOIN (SELECT sx, sy, sp, tx, ty, tp, {", ".join(f"min(d) FILTER (direction = {i}) AS d{i}" for i in range(8))} FROM low GROUP BY ALL) d USING (sx, sy, sp, tx, ty, tp)""")
 def raw_estimate(spark: SparkSession, sf: str) -> DataFrame:
     a = _mini(spark)
     small = _small(spark, sf)
-    cols = ["raw", "best", "second", "direct", "candidates", "min_initial", "max_initial", "best_initial", "best_x", "best_y", "best_internal"]
+    cols = ["raw", "best", "second", "direct", "candidates", "min_initial", "max_initial", "best_initial", "best_x", "best_y", "best_internal", *[f"d{i}" for i in range(8)]]
     return reuse.once_for_each(small, estimate.KEYS, lambda p: estimate.raw_estimates(p, a, potentials.Potentials(a))).select("o_orderkey", *cols)
 
 
@@ -424,6 +395,13 @@ def bounded_search(spark: SparkSession, sf: str) -> DataFrame:
     return reuse.once_for_each(_small(spark, sf), estimate.KEYS, lambda p: exact.kernel_search(p, a, "dijkstra", margin=2)).select("o_orderkey", "delay")
 
 
+@query(_search_sql())
+def astar_shortest(spark: SparkSession, sf: str) -> DataFrame:
+    """A* alone, with its paths; their delays."""
+    a = _mini(spark)
+    return reuse.once_for_each(_small(spark, sf), estimate.KEYS, lambda p: exact.kernel_search(p, a, "astar", paths=True)).select("o_orderkey", "delay")
+
+
 @query()
 def shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
     """Any shortest path is right, so only its cost could be compared; see tests."""
@@ -446,7 +424,7 @@ def _spread(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def raw_estimate_spread(spark: SparkSession, sf: str) -> DataFrame:
     a = _mini(spark)
-    cols = ["raw", "best", "second", "direct", "candidates", "min_initial", "max_initial", "best_initial", "best_x", "best_y", "best_internal"]
+    cols = ["raw", "best", "second", "direct", "candidates", "min_initial", "max_initial", "best_initial", "best_x", "best_y", "best_internal", *[f"d{i}" for i in range(8)]]
     return reuse.once_for_each(_spread(spark, sf), estimate.KEYS, lambda p: estimate.raw_estimates(p, a, potentials.Potentials(a))).select("o_orderkey", *cols)
 
 
@@ -609,7 +587,17 @@ def fold_template(spark: SparkSession, sf: str) -> DataFrame:
     return _requests(spark, sf).select("o_orderkey", hashing.template_key(*args).alias("template"), hashing.template_fold(*args).alias("fold"))
 
 
-@query()
+_BYTES = f"""pin AS (SELECT o_orderkey, 'SRB_'||sx||'_'||sy||'/'||a.name||',SRB_'||tx||'_'||ty||'/'||b.name AS t FROM req JOIN names a ON a.port_id = sp JOIN names b ON b.port_id = tp),
+bits(b, k, v) AS (SELECT i, 0, i::UBIGINT FROM range(256) r(i) UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END FROM bits WHERE k < 8),
+tab AS MATERIALIZED (SELECT b, v FROM bits WHERE k = 8),
+roll(o_orderkey, t, i, c, h) AS (SELECT o_orderkey, t, 1, 4294967295::UBIGINT, 14695981039346656037::UHUGEINT FROM pin
+  UNION ALL SELECT o_orderkey, t, i + 1, xor(c >> 8, v), (xor(h, ascii(substr(t, i, 1))::UHUGEINT) * 1099511628211::UHUGEINT) & {_M64} FROM roll JOIN tab ON b = xor(c, ascii(substr(t, i, 1))::UBIGINT) & 255 WHERE i <= length(t))"""
+
+
+@query(f"""WITH RECURSIVE {REQ_SQL}, {_names_sql()}, {_BYTES},
+y AS (SELECT o_orderkey, (xor((o_orderkey + 7)::UHUGEINT, (o_orderkey + 7)::UHUGEINT >> 30) * 13787848793156543929::UHUGEINT) & {_M64} AS y FROM req), x AS (SELECT o_orderkey, (xor(y, y >> 27) * 10723151780598845931::UHUGEINT) & {_M64} AS x FROM y)
+SELECT o_orderkey, (xor(c, 4294967295::UBIGINT) % 5)::INT AS fold, (CASE WHEN h > 9223372036854775807::UHUGEINT THEN h::HUGEINT - 18446744073709551616::HUGEINT ELSE h::HUGEINT END)::BIGINT AS fnv,
+  (xor(x, x >> 31) >> 11) < 2251799813685248::UHUGEINT AS sampled FROM roll JOIN x USING (o_orderkey) WHERE i = length(t) + 1""")
 def fold_crc(spark: SparkSession, sf: str) -> DataFrame:
     r = pin_format_parse(spark, sf)
     return r.select("o_orderkey", hashing.text_fold(F.col("from_pin"), F.col("to_pin")).alias("fold"), hashing.fnv1a64(F.concat_ws(",", "from_pin", "to_pin")).alias("fnv"), hashing.sampled(F.col("o_orderkey"), 7, 0.25).alias("sampled"))
@@ -628,10 +616,10 @@ def gbm_inference(spark: SparkSession, sf: str) -> DataFrame:
     return gbm.predict(f, gbm.from_trees(TREES, 4)).select("o_orderkey", "residual", "prediction")
 
 
-@query("SELECT event_id, k, ((k*k) % 1009)::BIGINT AS answer FROM (SELECT event_id, user_id % 97 AS k FROM events)")
+@query("SELECT event_id, k, ((k*k) % 1009)::BIGINT AS answer FROM (SELECT event_id, user_id AS k FROM events)")
 def dedup_memo(spark: SparkSession, sf: str) -> DataFrame:
     """Each key is solved once and joined back."""
-    e = _read(spark, sf, "events").select("event_id", (F.col("user_id") % 97).alias("k"))
+    e = _read(spark, sf, "events").select("event_id", F.col("user_id").alias("k"))
     return reuse.once_for_each(e, ["k"], lambda keys: keys.withColumn("answer", (F.col("k") * F.col("k") % 1009).cast("long")))
 
 
@@ -640,10 +628,10 @@ def duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return reuse.repeated(_read(spark, sf, "events"), ["user_id", "event_type"])
 
 
-@query("SELECT o_orderkey AS row_id, o_custkey, sum(o_custkey) OVER (ORDER BY o_orderkey)::BIGINT AS running FROM orders WHERE o_orderkey < 500")
+@query("SELECT o_orderkey AS row_id, o_custkey, sum(o_custkey) OVER (ORDER BY o_orderkey)::BIGINT AS running FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 500)")
 def order_limit(spark: SparkSession, sf: str) -> DataFrame:
     """The first 500 rows in order (a limit is the feature); the running sum shows the order."""
-    o = _read(spark, sf, "orders").where("o_orderkey < 500").select(F.col("o_orderkey").alias("row_id"), "o_custkey")
+    o = _read(spark, sf, "orders").orderBy("o_orderkey").limit(500).select(F.col("o_orderkey").alias("row_id"), "o_custkey")
     return o.withColumn("running", F.sum("o_custkey").over(W.orderBy("row_id"))).orderBy("row_id")
 
 
@@ -657,10 +645,7 @@ def zipped_results(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {REQ_SQL}, {_names_sql()} SELECT 'SRB_'||sx||'_'||sy||'/'||a.name AS \"from\", 'SRB_'||tx||'_'||ty||'/'||b.name AS \"to\", ({_cross_sql('sx', 'tx', LINES_X, 'delay')} + {_cross_sql('sy', 'ty', LINES_Y, 'delay')})::INT AS delay FROM req JOIN names a ON a.port_id = sp JOIN names b ON b.port_id = tp")
 def stream_estimate(spark: SparkSession, sf: str) -> DataFrame:
     """Requests as a stream of text files; each batch is bound, answered by its line delays and written under its number."""
-    from .plans.lineage import cut
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridlark-")
-    base = f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{abs(hash(sf))}-{spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()}"
+    base = f"{shared_folder(spark)}/stream-{spark.sparkContext.applicationId}-{abs(hash(sf))}-{spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()}"
     arch = _full(spark)
     pin_format_parse(spark, sf).select(F.concat_ws(",", "from_pin", "to_pin").alias("value")).write.text(f"{base}/in")
 

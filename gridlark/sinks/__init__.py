@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import contextlib
+import sys
+import threading
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -61,3 +66,26 @@ def run_report(df: DataFrame, name: str = "run"):  # noqa: ANN201
 
     seen = Observation(name)
     return df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(F.col("delay").isNull().cast("long")).alias("unreachable"), F.max("delay").alias("longest")), seen
+
+
+@contextlib.contextmanager
+def progress(spark: SparkSession, every: float) -> Iterator[None]:
+    """Every so many seconds a line on standard error: tasks done of the running stages. 0: none."""
+    stop = threading.Event()
+    tracker = spark.sparkContext.statusTracker()
+
+    def say() -> None:
+        while not stop.wait(every):
+            found = [i for s in tracker.getActiveStageIds() if (i := tracker.getStageInfo(s))]
+            if found:
+                print(f"progress: {sum(i.numCompletedTasks for i in found)} of {sum(i.numTasks for i in found)} tasks", file=sys.stderr, flush=True)
+
+    thread = threading.Thread(target=say, daemon=True)
+    if every > 0:
+        thread.start()
+    try:
+        yield
+    finally:
+        stop.set()
+        if every > 0:
+            thread.join()

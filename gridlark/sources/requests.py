@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions.scalar import on_block, trim_ascii
 from ..plans.arch import Arch
 
@@ -21,10 +22,14 @@ def read_requests(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
     """row_id, from, to, error of a request file with the header From,To; further columns are ignored.
 
     Empty lines are skipped and don't count. error is set for rows of fewer than two cells or with an
-    empty one. The row number is the line's order in the file, by a running index over its partitions.
+    empty one. The row number is the line's order in the file: its place in its partition, which
+    monotonically_increasing_id tells, after the lines of the partitions before, which are counted.
     """
-    lines = spark.read.text(path, lineSep="\n").where("value <> '' and value <> '\r'").select("value")
-    numbered = lines.rdd.map(lambda r: r[0]).zipWithIndex().toDF("value string, row_id long")
+    lines = spark.read.text(path, lineSep="\n").where("value <> '' and value <> '\r'").select("value", F.monotonically_increasing_id().alias("_id"))
+    part, place = F.shiftright("_id", 33).cast("int"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted((r["part"], r["n"]) for r in lines.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row a partition
+    before = spark.createDataFrame([(p, sum(n for _, n in counts[:i])) for i, (p, _) in enumerate(counts)], "_part int, _before long")
+    numbered = lines.withColumn("_part", part).join(F.broadcast(before), "_part").select("value", (F.col("_before") + place).alias("row_id"))
     a, b = split_pair(F.col("value"))
     rows = numbered.select("row_id", a.alias("from"), b.alias("to"))
     head = rows.where("row_id = 0").first()
@@ -86,3 +91,33 @@ def bind(requests: DataFrame, arch: Arch, strict: bool = True) -> tuple[DataFram
         checked = parsed.withColumn("row_id", F.when(F.col("error").isNotNull(), F.raise_error(said).cast("long")).otherwise(F.col("row_id")))
         return checked.select(*cols), rejected.limit(0)
     return parsed.where("error is null").select(*cols), rejected
+
+
+def read_search_features(spark: SparkSession, path: str, requests: DataFrame) -> DataFrame:
+    """``requests`` (row_id, ...) with the search features of a file that write_search_features() made, row by row.
+
+    -1 stands for unreachable and is read as null; raises where the numbers of rows differ.
+    """
+    schema = ", ".join(f"`{c}` int" for c in fixed.SEARCH_COLUMNS)
+    found = spark.read.csv(path, header=True, schema=schema).withColumn("_id", F.monotonically_increasing_id())
+    part, place = F.shiftright("_id", 33).cast("int"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted((r["part"], r["n"]) for r in found.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    rows = requests.count()
+    if sum(n for _, n in counts) != rows:
+        raise ValueError(f"{path}: {sum(n for _, n in counts)} rows of features for {rows} requests")
+    before = spark.createDataFrame([(p, sum(n for _, n in counts[:i])) for i, (p, _) in enumerate(counts)], "_part int, _before long")
+    numbered = found.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("row_id", F.col("_before") + place)
+    return requests.join(numbered.select("row_id", *[F.when(F.col(c) >= 0, F.col(c)).alias(c) for c in fixed.SEARCH_COLUMNS]), "row_id")
+
+
+def read_predictions(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """row, golden and p0, p1, ... of several holdout tables (row, golden, prediction); raises where rows or goldens differ."""
+    out = None
+    for i, path in enumerate(paths):
+        one = spark.read.parquet(path).select("row", F.col("golden").alias(f"_g{i}"), F.col("prediction").alias(f"p{i}"))
+        out = one if out is None else out.join(one, "row", "full")
+    same = F.col("_g0").isNotNull()
+    for i in range(1, len(paths)):
+        same = same & F.col(f"_g{i}").eqNullSafe(F.col("_g0"))
+    wrong = F.raise_error(F.concat(F.lit("predictions differ in row "), F.col("row").cast("string"))).cast("int")
+    return out.select("row", F.when(same, F.col("_g0")).otherwise(wrong).alias("golden"), *[f"p{i}" for i in range(len(paths))])

@@ -1,5 +1,6 @@
 """Operators on the grid against SQL, brute force and hand-made cases."""
 
+import argparse
 import heapq
 import random
 import re
@@ -66,7 +67,7 @@ def step_walk(a, x, y, dx, dy):
     return at[0], at[1], block, sum(d for p, d in lines if low <= p < high)
 
 
-@pytest.mark.parametrize("name", ["net_walk_all", "reverse_walk_all"])
+@pytest.mark.parametrize("name", ["net_walk", "reverse_walk"])
 def test_all_nets_are_walked(spark, name):
     assert queries.QUERIES[name](spark, SF).select("net_id").distinct().count() == len(chip.nets()) == 160
 
@@ -363,3 +364,68 @@ def test_entry_and_contract(spark):
 
     assert 0 < e.entry(spark).count() <= 9
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_search_features_come_back(spark, tmp_path):
+    rows = spark.createDataFrame([(i, *[None if (i + k) % 5 == 0 else i * 100 + k for k in range(len(fixed.SEARCH_COLUMNS))]) for i in range(50)], "row_id long, " + ", ".join(f"`{c}` int" for c in fixed.SEARCH_COLUMNS))
+    sinks.write_search_features(rows.repartition(3), str(tmp_path / "f"))
+    asked = spark.range(50).withColumnRenamed("id", "row_id")
+    back = requests.read_search_features(spark, str(tmp_path / "f"), asked)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    with pytest.raises(ValueError, match="50 rows of features for 49"):
+        requests.read_search_features(spark, str(tmp_path / "f"), asked.limit(49))
+
+
+def test_holdout_predictions_side_by_side(spark, tmp_path):
+    for i, wrong in enumerate((0, 0, 1)):
+        spark.range(20).selectExpr("id as row", f"cast(id * 3 + {wrong} * (id div 19) as int) as golden", f"id + {i} as prediction").write.parquet(str(tmp_path / str(i)))
+    got = requests.read_predictions(spark, [str(tmp_path / "0"), str(tmp_path / "1")])
+    assert sorted(map(tuple, got.collect())) == [(i, 3 * i, i, i + 1) for i in range(20)]
+    with pytest.raises(Exception, match="predictions differ in row 19"):
+        requests.read_predictions(spark, [str(tmp_path / "0"), str(tmp_path / "2")]).collect()
+
+
+@pytest.mark.parametrize("version", [1, 3])
+def test_written_models_agree_on_random_rows(version):
+    m = gbm.from_trees([t | {} for t in queries.TREES], 105)
+    assert gbm.same_residuals(m, gbm.decode(gbm.encode(m, version)))
+    other = gbm.from_trees([queries.TREES[0]], 105)
+    assert not gbm.same_residuals(m, other)
+
+
+def test_row_numbers_follow_the_file(spark, tmp_path):
+    lines = ["From,To", *[f"a{i},b{i}" for i in range(5000)], "", "x,y"]
+    (tmp_path / "r.csv").write_text("\n".join(lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = sorted((r["row_id"], r["from"]) for r in requests.read_requests(spark, str(tmp_path / "r.csv")).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [*((i, f"a{i}") for i in range(5000)), (5000, "x")]
+
+
+def test_quantiles_of_few_and_equal_errors(spark):
+    for errors in ([], [3], [5] * 30 + [7], list(range(100))):
+        df = spark.createDataFrame([(100, 100 + e) for e in errors], "golden int, estimate int").repartition(3)
+        got = list(score.error_quantiles(df).first())
+        assert got == ([None] * 4 if not errors else pytest.approx(np.quantile(np.array(errors, float), [0.5, 0.9, 0.95, 0.99]).tolist()))
+
+
+def test_known_answers_go_first(spark, tmp_path):
+    a = queries._full(spark)
+    pins = queries.pin_format_parse(spark, SF).limit(6).select("from_pin", "to_pin").collect()
+    bound, _ = requests.bind(spark.createDataFrame([(i, r[0], r[1], None) for i, r in enumerate(pins)], "row_id long, from string, to string, error string"), a)
+    spark.createDataFrame([(pins[2][0], pins[2][1], 777)], "from string, to string, delay int").write.parquet(str(tmp_path / "known"))
+    o = argparse.Namespace(known=str(tmp_path / "known"), no_public_cache=False, solver="fast", feature_output=None, model_feature_output=None)
+    seen = []
+    old, cli.solve = cli.solve, lambda rest, arch, o: (seen.append(rest.count()), rest.withColumn("delay", F.lit(1)))[1]
+    try:
+        got = {r["row_id"]: r["delay"] for r in cli.answered(bound, a, o).collect()}
+        assert got == {i: 777 if i == 2 else 1 for i in range(6)} and seen == [5]
+        o.no_public_cache = True
+        assert {r["delay"] for r in cli.answered(bound, a, o).collect()} == {1}
+    finally:
+        cli.solve = old
+    with sinks.progress(spark, 0.01):
+        spark.range(1000).count()
