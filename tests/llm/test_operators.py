@@ -373,6 +373,11 @@ def test_held_out_accuracy(spark):
     assert (lang["held_out"] == [zlib.crc32(str(i).encode()) % 3 == 1 for i in lang["doc_id"]]).all()
     h = lang[lang["held_out"]].merge(d, on="doc_id")
     assert (h["lang"] == h["lang_pred"]).mean() > 0.97
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    seen = spark.read.parquet(f"{sf}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 0)
+    q = quality.score(docs, quality.fit(docs, seen)).toPandas().merge(lab, on="doc_id")
+    q = q[[zlib.crc32(str(i).encode()) % 4 == 0 for i in q["doc_id"]]]  # labels that the model has not seen
+    assert auc(q["quality"].to_numpy(), q["score"]) > 0.95
     q = quality.op1(spark, sf).toPandas().merge(lab, on="doc_id")
     assert auc(q["quality"].to_numpy(), q["score"]) > 0.97 and q["keep"][q["quality"] == 1].mean() > 0.97
 
@@ -498,3 +503,25 @@ def test_pipeline(spark):
         if i == 4:
             assert sorted(after["doc_id"]) == sorted(mixed["doc_id"])
     assert cp.run(spark, sf).count() == len(after)
+
+
+def test_pipeline_stages_on_odd_tables(spark, docs, labels, benchmark, nothing, tmp_path):
+    """Null and empty texts, null metadata, repeated rows and clashing names pass every stage; an empty table stays empty."""
+    cp = importlib.import_module("corpus_pipeline")
+    sf = str(tmp_path)
+    labels.write.parquet(f"{sf}/labels.parquet")
+    benchmark.write.parquet(f"{sf}/benchmark.parquet")
+    more = docs.unionByName(docs.where("doc_id in (3, 13, 20)")).unionByName(docs.where("doc_id in (14, 21)").withColumn("doc_id", F.lit(None).cast("long")))
+    for now in (more, nothing):
+        empty = now is nothing
+        for name, stage in cp.STAGES:
+            before = now
+            now = saved(stage(spark, before, sf))
+            assert empty == now.isEmpty(), name
+            if name != "sharding":
+                assert now.columns == before.columns and now.where("doc_id is not null").select("doc_id").distinct().join(before, "doc_id", "left_anti").isEmpty()
+            if name == "n-gram Jaccard join":
+                texts = [r["text"] for r in now.collect() if (r["text"] or "").split()]
+                assert partenum.link_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string") if texts else nothing).where("doc_id <> component_id").isEmpty()
+            if name == "sharding":
+                assert now.count() == before.count()
