@@ -49,50 +49,66 @@ class Model:
             raise ValueError("categories are out of range")
         return self
 
-    def residual(self, x: np.ndarray, trees: int | None = None, rows: int = 4096) -> np.ndarray:
+    def _laid_out(self) -> list[tuple[np.ndarray, ...]]:
+        """Each tree on its own, level by level with the children of a node side by side, so that its tables fit the nearest cache.
+
+        (left child, feature, decision, value, node's number, depth); the right child is the next one. A leaf
+        leads to itself, as no feature is over its decision. Made once.
+        """
+        if not hasattr(self, "_trees"):
+            most = np.iinfo(np.int32).max
+            trees = []
+            for root in self.roots.tolist():
+                levels, cur, end = [], np.array([root]), 1
+                while True:
+                    inner = cur >= 0
+                    levels.append((cur, np.where(inner, end + 2 * (np.cumsum(inner) - 1), np.arange(end - len(cur), end))))
+                    if not inner.any():
+                        break
+                    cur = np.stack([self.left[cur[inner]], self.right[cur[inner]]], 1).ravel()
+                    end += len(cur)
+                node, left = (np.concatenate(x) for x in zip(*levels, strict=True))
+                inner = node >= 0
+                at = np.where(inner, node, 0)
+                pick = lambda x, other, inner=inner, at=at: np.where(inner, x[at], other) if len(x) else np.full(len(at), other)
+                value = np.where(inner, 0.0, self.leaves[np.where(inner, 0, -node - 1)])
+                trees.append((left, pick(self.feature, 0), pick(np.clip(self.decision, -most - 1, most), most).astype(np.int32), value, np.where(inner, node, -1), len(levels) - 1))
+            self._trees = trees
+        return self._trees
+
+    def residual(self, x: np.ndarray, trees: int | None = None, rows: int = 8192) -> np.ndarray:
         """Sums of the trees in order for rows of integers: blocks of rows, in each tree after tree, a level at a time."""
-        kids = np.stack([self.right, self.left], 1).ravel().astype(np.int32)
-        feature, decision = self.feature.astype(np.int32), self.decision.astype(np.int32)
         any_cat = bool(self.categorical.any())
         out = np.zeros(len(x))
         for lo in range(0, len(x), rows):
-            part = np.ascontiguousarray(x[lo : lo + rows], np.int32)
-            flat, base = part.ravel(), np.arange(len(part), dtype=np.int32) * part.shape[1]
-            total = out[lo : lo + rows]
-            for root in self.roots[:trees].tolist():
-                if root < 0:
-                    total += self.leaves[-root - 1]
-                    continue
-                at, live, mine = np.full(len(part), root, np.int32), None, base
-                while True:
-                    v = flat.take(mine + feature.take(at))
-                    go = v <= decision.take(at)
-                    if any_cat:
-                        self._by_category(at, v, go)
-                    at = kids.take(2 * at + go)
-                    done = at < 0
-                    if done.all():
-                        leaf = self.leaves.take(-at - 1)
-                        if live is None:
-                            total += leaf
-                        else:
-                            total[live] += leaf
-                        break
-                    if done.any():
-                        live = np.arange(len(part)) if live is None else live
-                        total[live[done]] += self.leaves.take(-at[done] - 1)
-                        live, at, mine = live[~done], at[~done], mine[~done]
+            part = np.ascontiguousarray(x[lo : lo + rows].T, np.int32)
+            n = part.shape[1]
+            flat, row, total = part.ravel(), np.arange(n), out[lo : lo + rows]
+            for left, feature, decision, value, node, depth in self._laid_out()[:trees]:
+                by_category = any_cat and self.categorical[node[node >= 0]].any()
+                first = feature * n
+                at = np.zeros(n, np.int64)
+                for _ in range(depth):
+                    place = first.take(at)
+                    place += row
+                    v = flat.take(place)
+                    right = v > decision.take(at)
+                    if by_category:
+                        self._by_category(node.take(at), v, right)
+                    at = left.take(at)
+                    at += right
+                total += value.take(at)
         return out
 
-    def _by_category(self, at: np.ndarray, v: np.ndarray, go: np.ndarray) -> None:
-        """Sets ``go`` at categorical nodes: left for the listed categories, right for others and negative ones."""
-        cat = self.categorical[at].astype(bool)
+    def _by_category(self, node: np.ndarray, v: np.ndarray, right: np.ndarray) -> None:
+        """Sets ``right`` at categorical nodes: left for the listed categories, right for others and negative ones."""
+        cat = (node >= 0) & self.categorical[node].astype(bool)
         if cat.any():
-            c, w = at[cat], v[cat].astype(np.int64)
+            c, w = node[cat], v[cat].astype(np.int64)
             known = (w >= 0) & ((w >> 6) < self.count[c])
             word = np.where(known, self.decision[c] + (w >> 6), 0)
             bit = (self.masks[word] >> (np.maximum(w, 0) & 63).astype(np.uint64)) & np.uint64(1)
-            go[cat] = known & (bit == 1)
+            right[cat] = ~known | (bit == 0)
 
     def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
         """gbm_roots, gbm_nodes, gbm_leaves, gbm_masks."""
@@ -248,8 +264,8 @@ def from_text(text: str) -> Model:
     return from_trees(trees)
 
 
-def residuals(df: DataFrame, model: Model, column: str = "features", trees: int | None = None) -> DataFrame:
-    """``df`` with ``residual``. The model goes to each executor once; a batch of rows runs through tree after tree."""
+def residuals(df: DataFrame, model: Model, column: str = "features", trees: int | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``df`` (of it the columns ``keep``, where given) with ``residual``. The model goes to each executor once; a batch of rows runs through tree after tree."""
     ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -257,10 +273,11 @@ def residuals(df: DataFrame, model: Model, column: str = "features", trees: int
         m = shared.value
         for batch in batches:
             x = batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.residual(x, trees))], [*batch.schema.names, "residual"])
+            kept = [n for n in batch.schema.names if keep is None or n in keep]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(m.residual(x, trees))], [*kept, "residual"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, fields + ", residual double")
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields if keep is None or f.name in keep)
+    return df.mapInArrow(run, fields + "residual double")
 
 
 def predicted(raw: Column, residual: Column) -> Column:
@@ -270,8 +287,9 @@ def predicted(raw: Column, residual: Column) -> Column:
     return F.when(raw.isNull() | (raw == 0), raw).otherwise(v).cast("long")
 
 
-def predict(df: DataFrame, model: Model) -> DataFrame:
-    return residuals(df, model).withColumn("prediction", predicted(F.col("raw"), F.col("residual")))
+def predict(df: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """``df``, or of it the columns ``keep`` (raw among them), with residual and prediction."""
+    return residuals(df, model, keep=keep).withColumn("prediction", predicted(F.col("raw"), F.col("residual")))
 
 
 def train(df: DataFrame, column: str = "features", target: str = "residual", trees: int = 20, depth: int = 5, rate: float = 0.1, seed: int = 7) -> tuple[Model, list[tuple[int, float]]]:

@@ -56,8 +56,14 @@ def _all_requests(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _spread_out(df: DataFrame) -> DataFrame:
+    """Rows over at least as many partitions as there are cores; a table of one small file is read by one task."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def _requests(spark: SparkSession, sf: str) -> DataFrame:
-    r = _all_requests(spark, sf)
+    r = _spread_out(_all_requests(spark, sf))
     return r.where(~on_block(F.col("sx"), F.col("sy"), BLOCKS) & ~on_block(F.col("tx"), F.col("ty"), BLOCKS))
 
 
