@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from ..cluster import ship
 from ..functions.scalar import crossing
 from ..plans.arch import Arch
-from ..plans.lineage import cut
+from ..plans.lineage import Table
 from .estimate import KEYS, hops
 from .kernel import Grid
 from .potentials import Potentials
 
-STATE = ["q", "x", "y", "internal_id"]
+#: Up to so many targets of one source, each target's own lower bound says whether a state may go on; beyond, the farthest answer.
+FEW_TARGETS = 16
 
 
 def frontier_search(requests: DataFrame, arch: Arch, potentials: Potentials | None = None, relative: bool = False, margin: int | None = None, most_rounds: int = 200) -> DataFrame:
@@ -24,56 +25,60 @@ def frontier_search(requests: DataFrame, arch: Arch, potentials: Potentials | No
 
     Label-correcting: each round joins the frontier with macros and walks, keeps the least delay of
     each state, and goes on with states that got better and, by their lower bound, may still beat the
-    pair's best answer. relative: lines count once, straight from source to target. margin: only
-    landings within so many cells of the pins' rectangle.
+    best answer of a pair. Pairs of one source share one search; so labels are at most sources times
+    the grid's states, however many pairs there are. relative: lines count once, straight from source
+    to target. margin: only landings within so many cells of the pins' rectangle, which is each
+    pair's own, and so is its search.
     """
-    spark = requests.sparkSession
-    pairs = cut(requests.select(*KEYS).distinct().withColumn("q", F.monotonically_increasing_id()))
+    own = KEYS[:3] if margin is None else KEYS
+    state = [*own, "x", "y", "internal_id"]
     gap = F.col("block_delay") if relative else F.col("block_delay") + F.col("line_delay")
     walks = arch.walks.select("from_x", "from_y", "net_id", "to_x", "to_y", gap.alias("gap")).persist()
 
     def within(df: DataFrame) -> DataFrame:
         if margin is None:
             return df
-        ok = F.col("x").between(F.least("sx", "tx") - margin, F.greatest("sx", "tx") + margin) & F.col("y").between(F.least("sy", "ty") - margin, F.greatest("sy", "ty") + margin)
-        return df.join(pairs.select("q", "sx", "sy", "tx", "ty"), "q").where(ok).select(*STATE, "g")
+        return df.where(F.col("x").between(F.least("sx", "tx") - margin, F.greatest("sx", "tx") + margin) & F.col("y").between(F.least("sy", "ty") - margin, F.greatest("sy", "ty") + margin))
 
-    first = pairs.join(F.broadcast(arch.first_hops), F.col("sp") == F.col("source_port"))
-    stay = first.where("net_id is null").select("q", F.col("sx").alias("x"), F.col("sy").alias("y"), "internal_id", F.lit(0).cast("long").alias("g"))
-    move = first.where("net_id is not null").join(walks, (F.col("sx") == F.col("from_x")) & (F.col("sy") == F.col("from_y")) & (first["net_id"] == walks["net_id"]))
-    move = within(move.select("q", F.col("to_x").alias("x"), F.col("to_y").alias("y"), "internal_id", (F.col("arc_delay") + F.col("gap")).cast("long").alias("g")))
-    labels = cut(stay.unionByName(move).groupBy(*STATE).agg(F.min("g").alias("g")))
-    frontier = labels
     same_site = (F.col("sx") == F.col("tx")) & (F.col("sy") == F.col("ty"))
     arcs = arch.arcs.groupBy(F.col("from_port").alias("sp"), F.col("to_port").alias("tp")).agg(F.min("delay").alias("arc"))
-    start = pairs.join(F.broadcast(arcs), ["sp", "tp"], "left").select("q", F.when(same_site & (F.col("sp") == F.col("tp")), 0).when(same_site, F.col("arc")).cast("long").alias("best"))
-    best = cut(start)
-    goal = pairs.select("q", "tx", "ty", "tp")
+    start = requests.select(*KEYS).distinct().join(F.broadcast(arcs), ["sp", "tp"], "left")
+    best = Table(start.select(*KEYS, F.when(same_site & (F.col("sp") == F.col("tp")), 0).when(same_site, F.col("arc")).cast("long").alias("best")))
+    first = best.df.select(*own).distinct().join(F.broadcast(arch.first_hops), F.col("sp") == F.col("source_port"))
+    stay = first.where("net_id is null").select(*own, F.col("sx").alias("x"), F.col("sy").alias("y"), "internal_id", F.lit(0).cast("long").alias("g"))
+    move = first.where("net_id is not null").join(walks, (F.col("sx") == F.col("from_x")) & (F.col("sy") == F.col("from_y")) & (first["net_id"] == walks["net_id"]))
+    move = within(move.select(*own, F.col("to_x").alias("x"), F.col("to_y").alias("y"), "internal_id", (F.col("arc_delay") + F.col("gap")).cast("long").alias("g")))
+    labels = Table(stay.unionByName(move).groupBy(*state).agg(F.min("g").alias("g")).withColumn("better", F.lit(True)))
     pot = F.broadcast(potentials.frame().withColumnRenamed("target_port", "tp")) if potentials and not relative else None
     for _ in range(most_rounds):
-        done = frontier.join(goal, "q").where("x = tx and y = ty").join(F.broadcast(arch.terminals), (F.col("tp") == F.col("target_port")) & (frontier["internal_id"] == arch.terminals["internal_id"]))
-        done = done.groupBy("q").agg(F.min(F.col("g") + F.col("cost")).alias("new"))
-        best = cut(best.join(done, "q", "left").select("q", F.least("best", "new").alias("best")))
-        bounded = frontier.join(best, "q")
-        if pot is not None:
-            bounded = bounded.join(goal, "q").join(pot, ["tp", "internal_id"])
-            bounded = bounded.withColumn("h", F.greatest(*potentials.components(F.col("tx") - F.col("x"), F.col("ty") - F.col("y"), F.col("pot"))))
+        frontier = labels.df.where("better").drop("better")
+        if margin is None:
+            there = frontier.withColumns({"tx": F.col("x"), "ty": F.col("y")}).join(best.df.select(*KEYS), KEYS[:5])
         else:
-            bounded = bounded.withColumn("h", F.lit(0))
-        live = bounded.where(F.col("best").isNull() | (F.col("g") + F.col("h") < F.col("best"))).select(*STATE, "g")
+            there = frontier.where("x = tx and y = ty")
+        done = there.join(F.broadcast(arch.terminals.withColumnRenamed("target_port", "tp")), ["tp", "internal_id"])
+        done = done.groupBy(*KEYS).agg(F.min(F.col("g") + F.col("cost")).alias("new"))
+        best.replace(best.df.join(done, KEYS, "left").select(*KEYS, F.least("best", "new").alias("best")))
+        top = best.df.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), F.when(F.count("best") == F.count(F.lit(1)), F.max("best")).alias("top"))
+        live = frontier.join(top, own).where("top is null or g < top")
+        if pot is not None:
+            few = live.where(F.col("n") <= FEW_TARGETS).select(*state, "g").join(best.df, own).join(pot, ["tp", "internal_id"])
+            h = F.greatest(*potentials.components(F.col("tx") - F.col("x"), F.col("ty") - F.col("y"), F.col("pot")))
+            few = few.where(F.col("best").isNull() | (F.col("g") + h < F.col("best"))).select(*state, "g").distinct()
+            live = live.where(F.col("n") > FEW_TARGETS).select(*state, "g").unionByName(few)
         step = live.join(F.broadcast(arch.macros), live["internal_id"] == F.col("from_internal"))
         step = step.join(walks, (F.col("x") == F.col("from_x")) & (F.col("y") == F.col("from_y")) & (arch.macros["net_id"] == walks["net_id"]))
-        step = step.select("q", F.col("to_x").alias("x"), F.col("to_y").alias("y"), F.col("to_internal").alias("internal_id"), (F.col("g") + F.col("arc_delay") + F.col("gap")).alias("g"))
-        step = within(step).groupBy(*STATE).agg(F.min("g").alias("g"))
-        old = labels.select(*STATE, F.col("g").alias("old"))
-        frontier = cut(step.join(old, STATE, "left").where("old is null or g < old").select(*STATE, "g"))
-        if frontier.isEmpty():
+        step = step.select(*own, F.col("to_x").alias("x"), F.col("to_y").alias("y"), F.col("to_internal").alias("internal_id"), (F.col("g") + F.col("arc_delay") + F.col("gap")).alias("g"))
+        both = labels.df.select(*state, "g", F.col("g").alias("old")).unionByName(within(step).withColumn("old", F.lit(None).cast("long")))
+        both = both.groupBy(*state).agg(F.min("g").alias("g"), F.max("old").alias("old"))
+        labels.replace(both.select(*state, "g", (F.col("old").isNull() | (F.col("g") < F.col("old"))).alias("better")))
+        if labels.df.where("better").isEmpty():
             break
-        labels = cut(labels.unionByName(frontier).groupBy(*STATE).agg(F.min("g").alias("g")))
     else:
         raise RuntimeError(f"search did not end in {most_rounds} rounds")
     walks.unpersist()
-    out = pairs.join(best, "q")
+    labels.remove()
+    out = best.df
     if relative:
         lines = crossing(F.col("sx"), F.col("tx"), arch.vertical)[0] + crossing(F.col("sy"), F.col("ty"), arch.horizontal)[0]
         same = same_site & (F.col("sp") == F.col("tp"))

@@ -169,6 +169,32 @@ def test_searches_agree_and_bounds_hold(spark, kind):
             assert cost == r["delay"]
 
 
+def test_pairs_of_one_source_share_a_frontier(spark, monkeypatch):
+    a = archs.synthetic(spark, 12, 12, 6, blocks=[queries.MINI_BLOCK])
+    pots, drawn = potentials.Potentials(a), some_pairs(a, 60, 7)
+    many = [(*drawn[i][:3], *p[3:]) for i in range(2) for p in drawn]  # over FEW_TARGETS of each
+    pairs = spark.createDataFrame([*many, *drawn[2:], (1, 1, 0, 1, 1, 0), (2, 2, 3, 2, 2, 4), (0, 0, 3, 0, 0, 0)], SIX).distinct()
+    assert len({p[3:] for p in many}) > exact.FEW_TARGETS
+    by = lambda df: {tuple(r[c] for c in estimate.KEYS): r["delay"] for r in df.collect()}
+    sizes, replace = [], exact.Table.replace
+
+    def noted(table, df):
+        replace(table, df)
+        if "internal_id" in df.columns:
+            sizes.append(table.df.count())
+
+    monkeypatch.setattr(exact.Table, "replace", noted)
+    found = by(exact.frontier_search(pairs, a, pots))
+    sources = len({p[:3] for p in found})
+    assert len(found) > 2 * sources and max(sizes) <= sources * 135 * len(a.internal)
+    monkeypatch.undo()
+    assert found == by(exact.kernel_search(pairs, a, "verify", pots)) == by(exact.frontier_search(pairs, a))
+    for how in ({"margin": 2}, {"relative": True}):
+        assert by(exact.frontier_search(pairs, a, pots, **how)) == by(exact.kernel_search(pairs, a, "dijkstra", **how))
+    none = (None, 1, 0, 2, 2, 1)
+    assert by(exact.frontier_search(spark.createDataFrame([none, many[0]], SIX), a, pots)) == {none: None, many[0]: found[many[0]]}
+
+
 def test_unreachable_is_null_and_minus_one_in_files(spark, tmp_path):
     a = archs.synthetic(spark)
     a.port_list.append(("ZQE[0]", "Output"))
