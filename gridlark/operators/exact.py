@@ -33,7 +33,10 @@ def frontier_search(requests: DataFrame, arch: Arch, potentials: Potentials | No
     own = KEYS[:3] if margin is None else KEYS
     state = [*own, "x", "y", "internal_id"]
     gap = F.col("block_delay") if relative else F.col("block_delay") + F.col("line_delay")
-    walks = arch.walks.select("from_x", "from_y", "net_id", "to_x", "to_y", gap.alias("gap")).persist()
+    walks = arch.walks.select("from_x", "from_y", "net_id", "to_x", "to_y", gap.alias("gap"))
+    # small, or fixed by the chip: written once, so that no round plans or makes them again
+    fixed = [Table(df) for df in (walks, arch.macros, arch.terminals.withColumnRenamed("target_port", "tp"))]
+    walks, macros, terminals = (t.df for t in fixed)
 
     def within(df: DataFrame) -> DataFrame:
         if margin is None:
@@ -49,14 +52,17 @@ def frontier_search(requests: DataFrame, arch: Arch, potentials: Potentials | No
     move = first.where("net_id is not null").join(walks, (F.col("sx") == F.col("from_x")) & (F.col("sy") == F.col("from_y")) & (first["net_id"] == walks["net_id"]))
     move = within(move.select(*own, F.col("to_x").alias("x"), F.col("to_y").alias("y"), "internal_id", (F.col("arc_delay") + F.col("gap")).cast("long").alias("g")))
     labels = Table(stay.unionByName(move).groupBy(*state).agg(F.min("g").alias("g")).withColumn("better", F.lit(True)))
-    pot = F.broadcast(potentials.frame().withColumnRenamed("target_port", "tp")) if potentials and not relative else None
+    pot = None
+    if potentials and not relative:
+        fixed.append(Table(potentials.frame().withColumnRenamed("target_port", "tp")))
+        pot = F.broadcast(fixed[-1].df)
     for _ in range(most_rounds):
         frontier = labels.df.where("better").drop("better")
         if margin is None:
             there = frontier.withColumns({"tx": F.col("x"), "ty": F.col("y")}).join(best.df.select(*KEYS), KEYS[:5])
         else:
             there = frontier.where("x = tx and y = ty")
-        done = there.join(F.broadcast(arch.terminals.withColumnRenamed("target_port", "tp")), ["tp", "internal_id"])
+        done = there.join(F.broadcast(terminals), ["tp", "internal_id"])
         done = done.groupBy(*KEYS).agg(F.min(F.col("g") + F.col("cost")).alias("new"))
         best.replace(best.df.join(done, KEYS, "left").select(*KEYS, F.least("best", "new").alias("best")))
         top = best.df.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), F.when(F.count("best") == F.count(F.lit(1)), F.max("best")).alias("top"))
@@ -66,8 +72,8 @@ def frontier_search(requests: DataFrame, arch: Arch, potentials: Potentials | No
             h = F.greatest(*potentials.components(F.col("tx") - F.col("x"), F.col("ty") - F.col("y"), F.col("pot")))
             few = few.where(F.col("best").isNull() | (F.col("g") + h < F.col("best"))).select(*state, "g").distinct()
             live = live.where(F.col("n") > FEW_TARGETS).select(*state, "g").unionByName(few)
-        step = live.join(F.broadcast(arch.macros), live["internal_id"] == F.col("from_internal"))
-        step = step.join(walks, (F.col("x") == F.col("from_x")) & (F.col("y") == F.col("from_y")) & (arch.macros["net_id"] == walks["net_id"]))
+        step = live.join(F.broadcast(macros), F.col("internal_id") == F.col("from_internal"))
+        step = step.join(walks, (F.col("x") == F.col("from_x")) & (F.col("y") == F.col("from_y")) & (macros["net_id"] == walks["net_id"]))
         step = step.select(*own, F.col("to_x").alias("x"), F.col("to_y").alias("y"), F.col("to_internal").alias("internal_id"), (F.col("g") + F.col("arc_delay") + F.col("gap")).alias("g"))
         both = labels.df.select(*state, "g", F.col("g").alias("old")).unionByName(within(step).withColumn("old", F.lit(None).cast("long")))
         both = both.groupBy(*state).agg(F.min("g").alias("g"), F.max("old").alias("old"))
@@ -76,8 +82,8 @@ def frontier_search(requests: DataFrame, arch: Arch, potentials: Potentials | No
             break
     else:
         raise RuntimeError(f"search did not end in {most_rounds} rounds")
-    walks.unpersist()
-    labels.remove()
+    for t in (*fixed, labels):
+        t.remove()
     out = best.df
     if relative:
         lines = crossing(F.col("sx"), F.col("tx"), arch.vertical)[0] + crossing(F.col("sy"), F.col("ty"), arch.horizontal)[0]
